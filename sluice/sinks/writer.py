@@ -22,6 +22,11 @@ from pyspark.sql import functions as F
 from sluice.functions import as_list, require_columns
 
 FORMATS = ("parquet", "orc", "json", "csv", "delta", "avro", "text")
+# Text formats default to millisecond timestamps; keep microseconds instead.
+TEXT_TIME_OPTIONS = {
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
+}
 MODES = ("append", "overwrite", "error", "errorifexists", "ignore")
 
 
@@ -61,7 +66,9 @@ def write_table(
     if parts and rebalance:
         out = out.hint("rebalance", *parts)
     out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
-    writer = out.write.format(fmt).mode(mode).options(**dict(options or {}))
+    opts = dict(TEXT_TIME_OPTIONS) if fmt in ("csv", "json") else {}
+    opts.update(dict(options or {}))
+    writer = out.write.format(fmt).mode(mode).options(**opts)
     if parts:
         writer = writer.partitionBy(*parts)
     if overwrite_partitions:

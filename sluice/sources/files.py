@@ -43,6 +43,10 @@ def read_table(
     if fmt not in FILE_FORMATS:
         raise ValueError(f"unknown file format {format!r}; known: {FILE_FORMATS}; jdbc and kafka have their own readers")
     opts: dict[str, str] = {}
+    if fmt in ("csv", "json"):
+        # parse 1-6 fraction digits (the writer's default keeps microseconds)
+        opts["timestampNTZFormat"] = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+        opts["timestampFormat"] = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"
     if fmt == "csv":
         opts["header"] = "true"
         if schema is None:
