@@ -25,7 +25,7 @@ def _level(path: Column, level: str) -> Column:
         return path
     if level == "directory":
         # last directory name, e.g. ``o_year=1996`` for a hive-style partition
-        return F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)
+        return F.substring_index(F.substring_index(path, "/", -2), "/", 1)
     raise ValueError(f"level must be 'file' or 'directory', not {level!r}")
 
 
@@ -35,15 +35,21 @@ def lineage_edges(written: DataFrame, level: str = "file", source_col: str = SOU
     ``written`` must be a file scan of the sink output (so ``_metadata`` exists) that holds
     the ``_source_file`` column written with the data.
     """
+    if level not in ("file", "directory"):
+        raise ValueError(f"level must be 'file' or 'directory', not {level!r}")
     if source_col not in written.columns:
         raise ValueError(f"{source_col!r} is not in the written table; read the source with with_source_file=True")
+    # Count per (source file, target file) first: a handful of groups per task, so the
+    # string work of the directory level runs on those groups, not on every row.
+    per_file = written.groupBy(F.col(source_col).alias("source"), F.col("_metadata.file_path").alias("target")).agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+    if level == "file":
+        return per_file
     return (
-        written.select(
-            _level(F.col(source_col), level).alias("source"),
-            _level(F.col("_metadata.file_path"), level).alias("target"),
-        )
+        per_file.select(_level(F.col("source"), level).alias("source"), _level(F.col("target"), level).alias("target"), "rows")
         .groupBy("source", "target")
-        .agg(F.count(F.lit(1)).alias("rows"))
+        .agg(F.sum("rows").alias("rows"))
     )
 
 

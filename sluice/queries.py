@@ -248,7 +248,7 @@ def q_partition_manifest(spark, sf):
     path = scratch_path(spark, "partition_manifest")
     write_table(_t(spark, sf, "events"), path, mode="error", partition_cols=["event_type"])
     return written_partitions(spark, path).select(
-        F.regexp_extract("partition_dir", r"([^/]+)$", 1).alias("partition"), "rows"
+        F.substring_index("partition_dir", "/", -1).alias("partition"), "rows"
     )
 
 

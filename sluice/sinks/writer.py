@@ -90,9 +90,7 @@ def partition_manifest(df: DataFrame, partition_cols: str | Sequence[str]) -> Da
 def written_partitions(spark, path: str, format: str = "parquet") -> DataFrame:
     """Rows and files per output partition directory, read from what is on storage."""
     df = spark.read.format(format).load(path)
-    file_dir = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]+$", 1)
-    return (
-        df.select(file_dir.alias("partition_dir"), F.col("_metadata.file_path").alias("file"))
-        .groupBy("partition_dir")
-        .agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("file").alias("files"))
-    )
+    per_file = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
+    # the directory of each file: everything before the last '/', derived once per file
+    file_dir = F.expr("substring(file, 1, length(file) - length(substring_index(file, '/', -1)) - 1)")
+    return per_file.groupBy(file_dir.alias("partition_dir")).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("files"))

@@ -32,7 +32,8 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def file_format(path: Column) -> Column:
     """Format from the extension (``part-0.snappy.parquet`` -> parquet, ``x.csv.gz`` -> csv)."""
-    ext = F.lower(F.regexp_extract(path, _EXT, 1))
+    name = F.substring_index(path, "/", -1)  # match on the short file name only
+    ext = F.lower(F.regexp_extract(name, _EXT, 1))
     return F.when(ext == "", F.lit("unknown")).otherwise(ext)
 
 

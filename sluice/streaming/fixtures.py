@@ -22,5 +22,5 @@ def write_time_ordered_files(df: DataFrame, path: str, staging: str, ts_col: str
     # part-00000 holds the earliest range; names sort in range order. One path per file.
     parts = [r["path"] for r in list_files(spark, staging).filter(F.col("format") == "parquet").select("path").orderBy("path").collect()]
     for p in parts:
-        spark.read.parquet(p).write.mode("append").parquet(path)
+        spark.read.schema(df.schema).parquet(p).write.mode("append").parquet(path)
     return len(parts)

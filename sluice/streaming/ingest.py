@@ -4,10 +4,10 @@ source (Kafka, or files arriving in a folder) -> stateless steps (fill, audit, d
 -> optional dedupe within a watermark -> file sink partitioned by hour (or day), with the
 checkpoint under the shared folder so a restarted query resumes exactly where it stopped.
 
-Small-file control: each micro-batch is repartitioned by the partition column(s) (plus an
-optional deterministic salt, so one hot hour can be spread over ``files_per_partition``
-tasks); a batch then writes about one file per partition value instead of one per task.
-AQE does not run inside micro-batches, so this is explicit here.
+Small-file control: each micro-batch gets a ``rebalance`` hint on the partition column(s).
+AQE runs inside stateless micro-batches, so a batch writes about one file per partition value
+(instead of one per task and value), while a hot hour is still split over several tasks by
+AQE's skew handling for rebalance shuffles.
 """
 
 from __future__ import annotations
@@ -125,7 +125,6 @@ def write_stream_files(
     checkpoint: str,
     partition_cols: str | Sequence[str] = ("hour",),
     format: str = "parquet",
-    files_per_partition: int = 1,
     available_now: bool = True,
     processing_time: str | None = None,
     timeout_s: float | None = None,
@@ -139,11 +138,7 @@ def write_stream_files(
     require_columns(df, parts, "partition column")
     out = df
     if parts:
-        if files_per_partition > 1:
-            salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
-            out = out.repartition(*[F.col(c) for c in parts], salt)
-        else:
-            out = out.repartition(*parts)
+        out = out.hint("rebalance", *parts)
     writer = out.writeStream.format(format).outputMode("append").option("checkpointLocation", checkpoint).option("path", path)
     if parts:
         writer = writer.partitionBy(*parts)
@@ -192,7 +187,6 @@ class StreamSpec:
     steps: tuple[Any, ...] = ()
     dedupe_keys: tuple[str, ...] = ()
     dedupe_delay: str = "1 hour"
-    files_per_partition: int = 1
 
 
 def run_stream_ingest(stream: DataFrame, spec: StreamSpec) -> StreamResult:
@@ -201,4 +195,4 @@ def run_stream_ingest(stream: DataFrame, spec: StreamSpec) -> StreamResult:
     if spec.dedupe_keys:
         df = dedupe_within_watermark(df, list(spec.dedupe_keys), spec.ts_col, spec.dedupe_delay)
     df = with_time_partition(df, spec.ts_col, spec.grain)
-    return write_stream_files(df, spec.target_path, spec.checkpoint, partition_cols=[spec.grain], files_per_partition=spec.files_per_partition)
+    return write_stream_files(df, spec.target_path, spec.checkpoint, partition_cols=[spec.grain])
