@@ -20,14 +20,7 @@ from sluice.plans import PipelineSpec, lineage_edges, lineage_nodes, metrics_fra
 from sluice.session import scratch_path
 from sluice.sinks import merge_upsert, write_table, written_partitions
 from sluice.sources import read_table, sink_layout, source_inventory
-from sluice.streaming import (
-    dedupe_within_watermark,
-    read_file_stream,
-    stream_steps,
-    with_time_partition,
-    write_stream_files,
-    write_time_ordered_files,
-)
+from sluice.streaming import StreamSpec, read_file_stream, run_stream_ingest, write_time_ordered_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -388,30 +381,35 @@ def q_stream_ingest_hourly(spark, sf):
     events = _t(spark, sf, "events")
     src = _stream_input(spark, events, "stream_hourly")
     stream = read_file_stream(spark, src, events.schema, max_files_per_trigger=2)
-    out, ckpt = scratch_path(spark, "stream_hourly_out"), scratch_path(spark, "stream_hourly_ckpt")
-    write_stream_files(with_time_partition(stream, "ts", "hour"), out, ckpt, partition_cols=["hour"])
-    return spark.read.schema(events.schema.add("hour", T.StringType())).parquet(out)
+    spec = StreamSpec(target_path=scratch_path(spark, "stream_hourly_out"), checkpoint=scratch_path(spark, "stream_hourly_ckpt"), ts_col="ts", grain="hour")
+    run_stream_ingest(stream, spec)
+    return spark.read.schema(events.schema.add("hour", T.StringType())).parquet(spec.target_path)
 
 
 def q_stream_dedupe(spark, sf):
     events = _t(spark, sf, "events")
     src = _stream_input(spark, events.unionByName(events), "stream_dedupe")
     stream = read_file_stream(spark, src, events.schema, max_files_per_trigger=1)
-    deduped = with_time_partition(dedupe_within_watermark(stream, "event_id", "ts", "10 minutes"), "ts", "day")
-    out, ckpt = scratch_path(spark, "stream_dedupe_out"), scratch_path(spark, "stream_dedupe_ckpt")
-    write_stream_files(deduped, out, ckpt, partition_cols=["day"])
-    return spark.read.schema(events.schema.add("day", T.StringType())).parquet(out).drop("day")
+    spec = StreamSpec(
+        target_path=scratch_path(spark, "stream_dedupe_out"),
+        checkpoint=scratch_path(spark, "stream_dedupe_ckpt"),
+        ts_col="ts",
+        grain="day",
+        dedupe_keys=("event_id",),
+        dedupe_delay="10 minutes",
+    )
+    run_stream_ingest(stream, spec)
+    return spark.read.schema(events.schema.add("day", T.StringType())).parquet(spec.target_path).drop("day")
 
 
 def q_stream_transform_chain(spark, sf):
     en = events_nulls(spark, sf)
     src = _stream_input(spark, en, "stream_chain")
     stream = read_file_stream(spark, src, en.schema, max_files_per_trigger=2)
-    steps = [{"op": "fill_nulls", "values": {"value": 0.0, "user_id": -1}}, {"op": "add_audit_columns", "source_name": "stream"}]
-    shaped = with_time_partition(stream_steps(stream, steps), "ts", "day")
-    out, ckpt = scratch_path(spark, "stream_chain_out"), scratch_path(spark, "stream_chain_ckpt")
-    write_stream_files(shaped, out, ckpt, partition_cols=["day"])
-    back = spark.read.parquet(out)
+    steps = ({"op": "fill_nulls", "values": {"value": 0.0, "user_id": -1}}, {"op": "add_audit_columns", "source_name": "stream"})
+    spec = StreamSpec(target_path=scratch_path(spark, "stream_chain_out"), checkpoint=scratch_path(spark, "stream_chain_ckpt"), ts_col="ts", grain="day", steps=steps)
+    run_stream_ingest(stream, spec)
+    back = spark.read.parquet(spec.target_path)
     return back.withColumn("has_ingestion_ts", F.col("_ingestion_ts").isNotNull()).drop("_ingestion_ts", "day")
 
 
