@@ -67,3 +67,20 @@ def test_dq_suite_publishes_the_report(spark, scratch):
     report, res = run_dq_suite(df, rules, report_path=scratch("suite"))
     assert res.rows_written == report.count() == 6  # 2 null rates, duplicates, freshness, score, all
     assert all(r["passed"] for r in report.collect())
+
+
+def test_etl_staged_gate_runs_the_steps_once(spark, scratch):
+    src = staged(spark, scratch)
+    spec = PipelineSpec(
+        source_path=src,
+        target_path=scratch("staged"),
+        rules={"null_threshold": 0.01, "dupe_check": True, "dupe_keys": ["id"]},
+        steps=({"op": "deduplicate", "keys": ["id"]}, {"op": "fill_nulls", "values": {"x": 0.0}}),
+        stage=True,
+    )
+    res = run_etl(spark, spec)
+    assert res.passed and res.metrics.rows_in == 330 and res.metrics.rows_out == 300
+    assert spark.read.parquet(spec.target_path).count() == 300
+    bad = PipelineSpec(source_path=src, target_path=scratch("staged_bad"), rules={"null_threshold": 0.01}, stage=True)
+    with pytest.raises(DQGateError):
+        run_etl(spark, bad)
