@@ -9,6 +9,7 @@ from sluice.functions.columns import (
     null_count,
     require_columns,
     require_orderable,
+    try_cast_col,
     ts_literal_like,
 )
 
@@ -23,5 +24,6 @@ __all__ = [
     "null_count",
     "require_columns",
     "require_orderable",
+    "try_cast_col",
     "ts_literal_like",
 ]

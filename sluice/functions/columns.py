@@ -83,3 +83,24 @@ def day_bucket(c: str) -> Column:
 
 def epoch_micros(col: Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
+
+
+_DIGIT_GUARDED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
+
+
+def try_cast_col(df: DataFrame, c: str, target: str | T.DataType) -> Column:
+    """``try_cast`` of column ``c``, fast on text that cannot be a number.
+
+    Casting a non-numeric string to an integral or decimal type returns NULL, but Spark gets
+    there through a slow failure path (about 10x the cost of a good value). Any string that
+    does cast to those types contains a decimal digit (``\\p{Nd}``, which also covers the
+    non-ASCII digits ``BigDecimal`` accepts), so strings without one are NULL up front; the
+    result is identical to a plain ``try_cast``.
+    """
+    out = F.col(c).try_cast(target)
+    src = df.schema[c].dataType
+    if isinstance(src, T.StringType):
+        dst = df.select(out.alias("_t")).schema[0].dataType
+        if isinstance(dst, _DIGIT_GUARDED):
+            return F.when(F.col(c).rlike(r"\p{Nd}"), out)
+    return out

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions import require_columns
+from sluice.functions import require_columns, try_cast_col
 
 # ---------------------------------------------------------------- T2 fill nulls
 
@@ -64,8 +64,9 @@ def cast_types(df: DataFrame, types: Mapping[str, str | T.DataType], strict: boo
     """Cast columns. Default is ``try_cast`` (a value that does not fit becomes NULL);
     ``strict=True`` uses ``cast``, which raises under ANSI mode."""
     require_columns(df, list(types), "cast column")
-    fn = (lambda c, t: F.col(c).cast(t)) if strict else (lambda c, t: F.col(c).try_cast(t))
-    return df.withColumns({c: fn(c, t) for c, t in types.items()})
+    if strict:
+        return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
+    return df.withColumns({c: try_cast_col(df, c, t) for c, t in types.items()})
 
 
 def cast_failures(df: DataFrame, types: Mapping[str, str | T.DataType]) -> DataFrame:
@@ -76,7 +77,7 @@ def cast_failures(df: DataFrame, types: Mapping[str, str | T.DataType]) -> DataF
     require_columns(df, list(types), "cast column")
     names = list(types)
     target_names = {f.name: f.dataType.simpleString() for f in df.select(*[F.col(c).try_cast(t).alias(c) for c, t in types.items()]).schema.fields}
-    aggs = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast(t).isNull()).alias(f"_f{i}") for i, (c, t) in enumerate(types.items())]
+    aggs = [F.count_if(F.col(c).isNotNull() & try_cast_col(df, c, t).isNull()).alias(f"_f{i}") for i, (c, t) in enumerate(types.items())]
     aggs.append(F.count(F.lit(1)).alias("_rows"))
     one = df.agg(*aggs)
     rows = F.array(*[
@@ -120,7 +121,7 @@ def migrate_schema(
         if src in df.columns:
             c = F.col(src)
             if df.schema[src].dataType != f.dataType:
-                c = c.cast(f.dataType) if strict else c.try_cast(f.dataType)
+                c = c.cast(f.dataType) if strict else try_cast_col(df, src, f.dataType)
         elif f.name in defaults:
             c = F.lit(defaults[f.name]).cast(f.dataType)
         else:

@@ -357,6 +357,7 @@ def q_etl_flow(spark, sf):
         steps=tuple(ETL_STEPS),
         rules={"null_threshold": 0.01, "dupe_check": True},
         gate="block",
+        stage=True,
     )
     run_etl(spark, spec)
     out = spark.read.parquet(target)

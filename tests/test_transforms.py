@@ -78,3 +78,25 @@ def test_partitions_for_bytes(spark):
     df = spark.createDataFrame([(1,), (20 * gib,), (200 * gib,), (100_000 * gib,)], "b bigint")
     got = [r[0] for r in df.select(ops.partitions_for_bytes(F.col("b"))).collect()]
     assert got == [50, 200, 800, 400_000]
+
+
+def test_guarded_try_cast_equals_plain_try_cast(spark):
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from pyspark.sql import functions as F
+
+    from sluice.functions import try_cast_col
+
+    pieces = st.sampled_from(["1", "2", "9", "0", "-", "+", ".", "e", "E", " ", "\t", "x", "１", "٣", ",", "NaN", "Inf", "9999999999", "1e400"])
+    texts = st.one_of(st.none(), st.lists(pieces, max_size=6).map("".join), st.text(max_size=6))
+
+    @settings(max_examples=15, deadline=None)
+    @given(st.lists(texts, min_size=1, max_size=40))
+    def check(values):
+        df = spark.createDataFrame([(v,) for v in values], "s string")
+        for t in ("int", "bigint", "tinyint", "decimal(10,2)", "decimal(38,0)", "double"):
+            plain = [r[0] for r in df.select(F.col("s").try_cast(t)).collect()]
+            guarded = [r[0] for r in df.select(try_cast_col(df, "s", t)).collect()]
+            assert [repr(x) for x in plain] == [repr(x) for x in guarded], t
+
+    check()
