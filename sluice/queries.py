@@ -372,9 +372,11 @@ def q_dq_suite(spark, sf):
 # ---------------------------------------------------------------- queries: streaming
 
 
-def _stream_input(spark, df: DataFrame, name: str, files: int = 8) -> str:
+def _stream_input(spark, df: DataFrame, name: str, files: int = 8, arrive_in_order: bool = False) -> str:
+    """Stream input: the table as ``files`` event-time ranges; strictly in order only when a
+    watermark depends on it."""
     path = scratch_path(spark, f"{name}_in")
-    write_time_ordered_files(df, path, scratch_path(spark, f"{name}_stage"), "ts", files=files)
+    write_time_ordered_files(df, path, scratch_path(spark, f"{name}_stage"), "ts", files=files, arrive_in_order=arrive_in_order)
     return path
 
 
@@ -389,7 +391,7 @@ def q_stream_ingest_hourly(spark, sf):
 
 def q_stream_dedupe(spark, sf):
     events = _t(spark, sf, "events")
-    src = _stream_input(spark, events.unionByName(events), "stream_dedupe")
+    src = _stream_input(spark, events.unionByName(events), "stream_dedupe", arrive_in_order=True)
     stream = read_file_stream(spark, src, events.schema, max_files_per_trigger=1)
     spec = StreamSpec(
         target_path=scratch_path(spark, "stream_dedupe_out"),

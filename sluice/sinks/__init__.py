@@ -1,5 +1,5 @@
 from sluice.sinks.merge import merge_into_path, merge_upsert
-from sluice.sinks.writer import FORMATS, MODES, WriteResult, partition_manifest, write_table, written_partitions
+from sluice.sinks.writer import FORMATS, MODES, WriteResult, partition_manifest, prepare_write, write_table, written_partitions
 
 __all__ = [
     "FORMATS",
@@ -8,6 +8,7 @@ __all__ = [
     "merge_into_path",
     "merge_upsert",
     "partition_manifest",
+    "prepare_write",
     "write_table",
     "written_partitions",
 ]

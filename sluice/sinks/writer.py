@@ -62,10 +62,7 @@ def write_table(
         raise ValueError("overwrite_partitions needs mode='overwrite' and partition columns")
 
     obs = Observation("sluice_write")
-    out = df
-    if parts and rebalance:
-        out = out.hint("rebalance", *parts)
-    out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
+    out = prepare_write(df, parts, rebalance).observe(obs, F.count(F.lit(1)).alias("rows"))
     opts = dict(TEXT_TIME_OPTIONS) if fmt in ("csv", "json") else {}
     opts.update(dict(options or {}))
     writer = out.write.format(fmt).mode(mode).options(**opts)
@@ -80,6 +77,12 @@ def write_table(
     return WriteResult(path=path, format=fmt, mode=mode, partition_cols=tuple(parts), rows_written=int(rows))
 
 
+def prepare_write(df: DataFrame, partition_cols: Sequence[str], rebalance: bool = True) -> DataFrame:
+    """The frame a partitioned write actually writes: a ``rebalance`` on the partition columns."""
+    parts = as_list(partition_cols)
+    return df.hint("rebalance", *parts) if parts and rebalance else df
+
+
 def partition_manifest(df: DataFrame, partition_cols: str | Sequence[str]) -> DataFrame:
     """Rows per output partition (K4), as a plain aggregate over the frame to be written."""
     parts = as_list(partition_cols)

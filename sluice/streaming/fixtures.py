@@ -15,10 +15,19 @@ from pyspark.sql import functions as F
 from sluice.sources.inventory import list_files
 
 
-def write_time_ordered_files(df: DataFrame, path: str, staging: str, ts_col: str, files: int = 8) -> int:
-    """Write ``df`` as ``files`` parquet files to ``path`` in event-time order; returns files written."""
+def write_time_ordered_files(df: DataFrame, path: str, staging: str, ts_col: str, files: int = 8, arrive_in_order: bool = True) -> int:
+    """Write ``df`` as ``files`` parquet files to ``path``, each holding one event-time range.
+
+    ``arrive_in_order=True`` appends the files one by one in time order (needed when a
+    watermark must never see a later file first); otherwise they are written by one job.
+    Returns the number of files written.
+    """
     spark = df.sparkSession
-    df.repartitionByRange(files, F.col(ts_col)).sortWithinPartitions(ts_col).write.mode("error").parquet(staging)
+    ranged = df.repartitionByRange(files, F.col(ts_col)).sortWithinPartitions(ts_col)
+    if not arrive_in_order:
+        ranged.write.mode("error").parquet(path)
+        return files
+    ranged.write.mode("error").parquet(staging)
     # part-00000 holds the earliest range; names sort in range order. One path per file.
     parts = [r["path"] for r in list_files(spark, staging).filter(F.col("format") == "parquet").select("path").orderBy("path").collect()]
     for p in parts:

@@ -79,11 +79,17 @@ def compare(spark, sf, names=None):
 
 
 if __name__ == "__main__":
-    from sluice.session import local_session
+    args = [a for a in sys.argv[1:] if a != "--plain"]
+    sf = args[0] if args else "/root/testdata/sf0.01"
+    names = args[1:] or None
+    if "--plain" in sys.argv:  # a bare session, as an outside driver would build it
+        from pyspark.sql import SparkSession
 
-    sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or None
-    spark = local_session(8)
+        spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+    else:
+        from sluice.session import local_session
+
+        spark = local_session(8)
     spark.sparkContext.setLogLevel("ERROR")
     bad = compare(spark, sf, names)
     print("FAILED:", bad if bad else "none")

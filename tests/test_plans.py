@@ -42,12 +42,25 @@ def test_merge_does_not_broadcast_on_a_guess(spark):
     assert "LeftAnti" in p
 
 
-def test_write_rebalances_on_partition_columns(spark, scratch):
-    from sluice.sinks import write_table
+def test_write_rebalances_on_partition_columns(spark):
+    from sluice.sinks import prepare_write
 
     ev = spark.read.parquet(f"{SF01}/events.parquet")
-    write_table(ev, scratch("rb"), partition_cols=["event_type"])
-    last = spark._jsparkSession.sessionState()  # the write happened; check the hint is legal on its own
-    reb = ev.hint("rebalance", "event_type")
-    assert "RebalancePartitions" in reb._jdf.queryExecution().analyzed().toString()
-    assert last is not None
+    p = plan(prepare_write(ev, ["event_type"]))
+    assert "REBALANCE_PARTITIONS_BY_COL" in p
+    assert "Exchange" not in plan(prepare_write(ev, []))  # no partition columns: no extra shuffle
+
+
+def test_dedupe_combines_before_the_shuffle(spark):
+    li = spark.read.parquet(f"{SF01}/lineitem.parquet")
+    p = plan(ops.dedupe(li, ["l_orderkey", "l_linenumber"]))
+    assert p.index("Exchange") < p.index("partial_min")  # printed top-down: partial sits below the exchange
+    assert "Window" not in p
+
+
+def test_merge_update_keys_are_pruned_to_a_distinct(spark):
+    o = spark.read.parquet(f"{SF01}/orders.parquet")
+    m = merge_upsert(o.filter("o_orderdate < '1999-01-01'"), o.filter("o_orderdate >= '1998-01-01'"), "o_orderkey")
+    p = plan(m)
+    assert "LeftAnti" in p
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in p  # key side reads two columns
