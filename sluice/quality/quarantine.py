@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions import require_columns
 
 ERRORS = "_dq_errors"
 STATUS = "_dq_status"
@@ -52,7 +51,3 @@ def quarantine_summary(df: DataFrame, rules: Mapping[str, str | Column]) -> Data
     return one.select(
         F.inline(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"_b{i}").alias("broken_rows"), F.col("_rows").alias("total_rows")) for i, n in enumerate(names)]))
     )
-
-
-def require_rule_columns(df: DataFrame, cols: Sequence[str]) -> None:
-    require_columns(df, cols, "rule column")

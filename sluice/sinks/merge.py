@@ -49,7 +49,8 @@ def merge_upsert(
     if delete_col:
         require_columns(updates, [delete_col], "delete flag")
     latest = dedupe(updates, keys, order_by=order_by, keep="last")
-    kept = target.join(latest.select(*keys), on=[target[k] == latest[k] for k in keys], how="left_anti")
+    # USING-join on key names: safe when target and updates share lineage (a self-join).
+    kept = target.join(latest.select(*keys), on=keys, how="left_anti")
     if delete_col:
         latest = latest.filter(~latest[delete_col])
     shared = [c for c in target.columns if c in latest.columns]

@@ -62,3 +62,10 @@ def test_merge_into_path_refuses_to_overwrite_its_input(spark, scratch):
     out = scratch("m2")
     res = merge_into_path(spark, path, spark.range(3, 8).withColumnRenamed("id", "k"), "k", out)
     assert res.rows_written == 8
+
+
+def test_merge_of_a_frame_with_itself(spark):
+    base = spark.range(10).selectExpr("id AS k", "CAST(id AS STRING) AS v")
+    updates = base.filter("k >= 5").withColumn("v", F.lit("new"))
+    out = {r["k"]: r["v"] for r in merge_upsert(base.filter("k < 8"), updates, "k").collect()}
+    assert out == {**{i: str(i) for i in range(5)}, **{i: "new" for i in range(5, 10)}}
