@@ -152,16 +152,24 @@ def duplicates(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
-def freshness(df: DataFrame, ts_col: str, as_of: str, max_age_hours: float) -> DataFrame:
-    """Q5: one row: ``as_of``, ``max_ts``, ``lag_hours``, ``max_age_hours``, ``fresh``."""
-    p = _Pass(df, DQRules(null_columns=[], freshness_hours=max_age_hours, freshness_column=ts_col, as_of=as_of))
-    return p.one.select(
-        ts_literal_like(df, ts_col, as_of).alias("as_of"),
-        F.col("_max_ts").alias("max_ts"),
-        F.round(p.lag_hours(), 6).alias("lag_hours"),
-        F.lit(float(max_age_hours)).alias("max_age_hours"),
-        p.fresh().alias("fresh"),
-    )
+def freshness(df: DataFrame, ts_col: str, as_of: str | list[str], max_age_hours: float) -> DataFrame:
+    """Q5: one row per ``as_of``: ``as_of``, ``max_ts``, ``lag_hours``, ``max_age_hours``, ``fresh``.
+
+    Several ``as_of`` points share the one ``max`` aggregate.
+    """
+    points = [as_of] if isinstance(as_of, str) else list(as_of)
+    passes = [_Pass(df, DQRules(null_columns=[], freshness_hours=max_age_hours, freshness_column=ts_col, as_of=a)) for a in points]
+    structs = [
+        F.struct(
+            ts_literal_like(df, ts_col, a).alias("as_of"),
+            F.col("_max_ts").alias("max_ts"),
+            F.round(p.lag_hours(), 6).alias("lag_hours"),
+            F.lit(float(max_age_hours)).alias("max_age_hours"),
+            p.fresh().alias("fresh"),
+        )
+        for a, p in zip(points, passes)
+    ]
+    return _long(passes[0].one, structs)
 
 
 def dq_score(df: DataFrame, rules: DQRules | Mapping[str, Any] | None = None) -> DataFrame:

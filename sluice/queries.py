@@ -196,8 +196,7 @@ def q_expectations(spark, sf):
 
 
 def q_dq_freshness(spark, sf):
-    ev = _t(spark, sf, "events")
-    return dq.freshness(ev, "ts", AS_OF, 2).unionByName(dq.freshness(ev, "ts", AS_OF_STALE, 2))
+    return dq.freshness(_t(spark, sf, "events"), "ts", [AS_OF, AS_OF_STALE], 2)
 
 
 def q_dq_quarantine(spark, sf):

@@ -26,7 +26,7 @@ def read_table(
     path: str | list[str],
     format: str = "parquet",
     schema: T.StructType | str | None = None,
-    merge_schema: bool = True,
+    merge_schema: bool = False,
     options: Mapping[str, str] | None = None,
     with_source_file: bool = False,
 ) -> DataFrame:
@@ -35,7 +35,8 @@ def read_table(
     ``csv``: ``header=true``; types are inferred only when no ``schema`` is given.
     ``json``: parsed in FAILFAST mode so that non-JSON input raises instead of producing a
     silent ``_corrupt_record`` column.
-    ``parquet`` / ``orc``: ``mergeSchema`` as given.
+    ``parquet`` / ``orc``: ``mergeSchema`` only when asked for: it reads every file footer,
+    a full extra pass over a large table.
     ``with_source_file``: add ``_source_file`` from the hidden ``_metadata`` column at the scan
     (needed for file lineage; it must be taken before any shuffle).
     """
