@@ -299,6 +299,11 @@ def oracle_sql() -> dict[str, str]:
         "schema_profile": _schema_profile_sql(),
         "schema_drift": _schema_drift_sql(),
         "merge_upsert": _merge_sql(),
+        "merge_partitions": (
+            "SELECT o_orderkey, o_custkey, o_orderstatus, "
+            "CASE WHEN o_orderdate >= TIMESTAMP '2000-01-01' THEN o_totalprice + 2 ELSE o_totalprice END AS o_totalprice, "
+            "o_orderdate, o_orderpriority, CAST(year(o_orderdate) AS INTEGER) AS o_year FROM orders"
+        ),
         "write_readback": "SELECT * FROM orders",
         "overwrite_partitions": (
             "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, "

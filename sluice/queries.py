@@ -18,7 +18,7 @@ from sluice import operators as ops
 from sluice import quality as dq
 from sluice.plans import PipelineSpec, lineage_edges, lineage_nodes, metrics_frame, run_dq_suite, run_etl, run_with_metrics
 from sluice.session import scratch_path
-from sluice.sinks import merge_upsert, write_table, written_partitions
+from sluice.sinks import merge_partitions, merge_upsert, write_table, written_partitions
 from sluice.sources import read_table, sink_layout, source_inventory
 from sluice.streaming import StreamSpec, read_file_stream, run_stream_ingest, write_time_ordered_files
 
@@ -220,6 +220,17 @@ def q_merge_upsert(spark, sf):
     return merge_upsert(base, updates, "o_orderkey", order_by="version")
 
 
+def q_merge_partitions(spark, sf):
+    """orders stored by year; the batch updates every order from 2000 on (+2): only the 2000
+    and 2001 partitions are read and rewritten."""
+    orders = _t(spark, sf, "orders").withColumn("o_year", F.year("o_orderdate"))
+    path = scratch_path(spark, "merge_partitions")
+    write_table(orders, path, mode="error", partition_cols=["o_year"])
+    updates = orders.filter(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")).withColumn("o_totalprice", F.col("o_totalprice") + 2)
+    merge_partitions(spark, path, updates, "o_orderkey", ["o_year"])
+    return spark.read.parquet(path)
+
+
 def q_write_readback(spark, sf):
     orders = _t(spark, sf, "orders")
     path = scratch_path(spark, "write_readback")
@@ -437,6 +448,7 @@ QUERIES: dict[str, Query] = {
     "schema_profile": q_schema_profile,
     "schema_drift": q_schema_drift,
     "merge_upsert": q_merge_upsert,
+    "merge_partitions": q_merge_partitions,
     "write_readback": q_write_readback,
     "overwrite_partitions": q_overwrite_partitions,
     "partition_manifest": q_partition_manifest,

@@ -74,3 +74,71 @@ def merge_into_path(
     target = spark.read.format(format).load(target_path)
     merged = merge_upsert(target, updates, keys, order_by=order_by)
     return write_table(merged, out_path, format=format, mode="error", partition_cols=partition_cols)
+
+
+def merge_partitions(
+    spark,
+    target_path: str,
+    updates: DataFrame,
+    keys: str | Sequence[str],
+    partition_cols: Sequence[str],
+    format: str = "parquet",
+    order_by: str | Sequence[str] | None = None,
+    keys_may_move: bool = False,
+    max_listed_partitions: int = 10_000,
+) -> WriteResult:
+    """Merge into a partitioned table by rewriting only the partitions the updates touch.
+
+    1. Touched partitions = partition values present in the updates (plus, with
+       ``keys_may_move``, the partitions that currently hold an updated key, found from the
+       key and partition columns only).
+    2. The target scan is pruned to those partitions: a static ``isin`` filter when there
+       are at most ``max_listed_partitions`` values (partition values are table metadata,
+       not rows), otherwise a ``left_semi`` join on the partition columns.
+    3. The merged partitions are written to a staging folder under the shared checkpoint
+       folder, then replace their originals with dynamic partition overwrite. If the
+       publish fails it can be re-run from the staged copy; untouched partitions are never
+       read or rewritten.
+    """
+    from pyspark.sql import functions as F
+
+    from sluice.session import scratch_path
+
+    keys = as_list(keys)
+    parts = as_list(partition_cols)
+    require_columns(updates, keys + parts, "update key / partition")
+    target = spark.read.format(format).load(target_path)
+    require_columns(target, keys + parts, "target key / partition")
+
+    touched = updates.select(*parts)
+    if keys_may_move:
+        holders = target.select(*keys, *parts).join(updates.select(*keys), on=keys, how="left_semi").select(*parts)
+        touched = touched.unionByName(holders)
+    touched = touched.distinct()
+
+    listed = touched.limit(max_listed_partitions + 1).collect()
+    if len(listed) <= max_listed_partitions:
+        if not listed:
+            return WriteResult(path=target_path, format=format, mode="overwrite", partition_cols=tuple(parts), rows_written=0)
+        cond = None
+        for row in listed:
+            match = None
+            for c in parts:
+                eq = F.col(c).isNull() if row[c] is None else (F.col(c) == F.lit(row[c]))
+                match = eq if match is None else (match & eq)
+            cond = match if cond is None else (cond | match)
+        in_scope = target.filter(cond)
+    else:
+        in_scope = target.join(touched, on=parts, how="left_semi")
+
+    merged = merge_upsert(in_scope, updates, keys, order_by=order_by)
+    staged = scratch_path(spark, "merge-stage")
+    write_table(merged, staged, format=format, mode="error", partition_cols=parts)
+    published = spark.read.format(format).load(staged).select(*target.columns)
+    if keys_may_move:
+        # A partition whose rows all moved away has no rows to overwrite it with; dynamic
+        # overwrite would leave its old files in place. Refuse instead of publishing that.
+        emptied = touched.subtract(published.select(*parts).distinct()).limit(5).collect()
+        if emptied:
+            raise ValueError(f"merge would empty partitions {[r.asDict() for r in emptied]}; use merge_into_path for this batch")
+    return write_table(published, target_path, format=format, mode="overwrite", partition_cols=parts, overwrite_partitions=True)

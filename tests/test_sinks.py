@@ -69,3 +69,49 @@ def test_merge_of_a_frame_with_itself(spark):
     updates = base.filter("k >= 5").withColumn("v", F.lit("new"))
     out = {r["k"]: r["v"] for r in merge_upsert(base.filter("k < 8"), updates, "k").collect()}
     assert out == {**{i: str(i) for i in range(5)}, **{i: "new" for i in range(5, 10)}}
+
+
+def test_merge_partitions_rewrites_only_touched_partitions(spark, scratch):
+    from sluice.sinks import merge_partitions
+    from sluice.sources import list_files
+
+    base = spark.range(60).selectExpr("id AS k", "CAST(id AS STRING) AS v", "id % 3 AS p")
+    path = scratch("mp")
+    write_table(base, path, partition_cols=["p"])
+    before = {r["path"]: r["modificationTime"] for r in list_files(spark, path).collect()}
+    updates = spark.createDataFrame([(3, "u3", 0), (6, "u6", 0), (100, "new", 0)], "k bigint, v string, p bigint")
+    res = merge_partitions(spark, path, updates, "k", ["p"])
+    assert res.rows_written == 21  # partition p=0: 20 rows, one inserted
+    out = {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert len(out) == 61 and out[3] == "u3" and out[6] == "u6" and out[100] == "new" and out[1] == "1"
+    after = {r["path"]: r["modificationTime"] for r in list_files(spark, path).collect()}
+    untouched = {p: t for p, t in before.items() if "/p=0/" not in p}
+    assert all(after.get(p) == t for p, t in untouched.items())
+
+
+def test_merge_partitions_moving_keys_and_semi_join_path(spark, scratch):
+    from sluice.sinks import merge_partitions
+
+    base = spark.range(30).selectExpr("id AS k", "'old' AS v", "id % 3 AS p")
+    path = scratch("mp2")
+    write_table(base, path, partition_cols=["p"])
+    # key 4 lives in p=1 and moves to p=2
+    updates = spark.createDataFrame([(4, "moved", 2)], "k bigint, v string, p bigint")
+    merge_partitions(spark, path, updates, "k", ["p"], keys_may_move=True, max_listed_partitions=0)
+    rows = [r for r in spark.read.parquet(path).collect() if r["k"] == 4]
+    assert [(r["v"], r["p"]) for r in rows] == [("moved", 2)]
+    assert spark.read.parquet(path).count() == 30
+
+
+def test_merge_partitions_refuses_to_leave_an_emptied_partition(spark, scratch):
+    import pytest as _pytest
+
+    from sluice.sinks import merge_partitions
+
+    base = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k bigint, v string, p bigint")
+    path = scratch("mp3")
+    write_table(base, path, partition_cols=["p"])
+    updates = spark.createDataFrame([(1, "moved", 2)], "k bigint, v string, p bigint")
+    with _pytest.raises(ValueError):
+        merge_partitions(spark, path, updates, "k", ["p"], keys_may_move=True)
+    assert spark.read.parquet(path).count() == 2  # nothing published
