@@ -51,7 +51,9 @@ class _Pass:
         if rules.freshness_hours is not None:
             require_columns(df, [rules.freshness_column], "freshness column")
             aggs.append(F.max(rules.freshness_column).alias("_max_ts"))
-        self.one = df.agg(*aggs)
+        # The failure count is derived once on the one-row result and referenced by name, so
+        # a 500-column table does not repeat a 500-term sum in every report row.
+        self.one = df.agg(*aggs).withColumn("_fails", self._count_failures())
 
     # --- expressions over the one-row result
     rows = property(lambda self: F.col("_rows"))
@@ -65,11 +67,12 @@ class _Pass:
     def null_failed(self, i: int) -> Column:
         return self.rate(i) > F.lit(float(self.rules.null_threshold))
 
+    def _count_failures(self) -> Column:
+        flags = [F.when(self.null_failed(i), 1).otherwise(0) for i in range(len(self.null_cols))]
+        return F.aggregate(F.array(*flags), F.lit(0), lambda acc, x: acc + x) if flags else F.lit(0)
+
     def null_failures(self) -> Column:
-        total = F.lit(0)
-        for i in range(len(self.null_cols)):
-            total = total + F.when(self.null_failed(i), 1).otherwise(0)
-        return total
+        return F.col("_fails")
 
     def score(self) -> Column:
         return F.round(F.greatest(F.lit(0.0), F.lit(100.0) - F.lit(5.0) * self.null_failures()), 1)

@@ -142,3 +142,16 @@ def test_expectations(spark):
     assert out["expected_columns"]["met"] is True
     assert out["duplicates:id"]["observed"] == 5
     assert out["all"]["met"] is False
+
+
+def test_wide_table_report(spark):
+    n = 300
+    cols = ", ".join(f"c{i} int" for i in range(n))
+    rows = [tuple(None if (i + j) % 97 == 0 else j for i in range(n)) for j in range(50)]
+    df = spark.createDataFrame(rows, cols)
+    rep = dq.dq_report(df, {"null_threshold": 0.01}).collect()
+    rates = [r for r in rep if r["check"] == "null_rate"]
+    assert len(rates) == n
+    failing = sum(1 for r in rates if not r["passed"])
+    score = [r for r in rep if r["check"] == "dq_score"][0]
+    assert score["observed"] == max(0.0, 100.0 - 5 * failing)
