@@ -3,9 +3,13 @@ from sluice.streaming.ingest import (
     StreamResult,
     StreamSpec,
     dedupe_within_watermark,
+    ingest_plan,
     read_file_stream,
     read_kafka_stream,
     run_stream_ingest,
+    start_stream_files,
+    start_stream_ingest,
+    stream_result,
     stream_steps,
     with_time_partition,
     write_stream_files,
@@ -15,9 +19,13 @@ __all__ = [
     "StreamResult",
     "StreamSpec",
     "dedupe_within_watermark",
+    "ingest_plan",
     "read_file_stream",
     "read_kafka_stream",
     "run_stream_ingest",
+    "start_stream_files",
+    "start_stream_ingest",
+    "stream_result",
     "stream_steps",
     "with_time_partition",
     "write_stream_files",

@@ -119,34 +119,46 @@ class StreamResult:
     rows_dropped_by_watermark: int
 
 
-def write_stream_files(
+def start_stream_files(
     df: DataFrame,
     path: str,
     checkpoint: str,
     partition_cols: str | Sequence[str] = ("hour",),
     format: str = "parquet",
-    available_now: bool = True,
+    available_now: bool = False,
     processing_time: str | None = None,
-    timeout_s: float | None = None,
-) -> StreamResult:
-    """Append the stream to a partitioned file sink and wait (``availableNow``) for it to drain.
+    query_name: str | None = None,
+):
+    """Start the partitioned file sink and return the running ``StreamingQuery``.
 
     The file sink's ``_spark_metadata`` log makes the output exactly-once: a batch redone
     after a failure replaces, not duplicates, its files for readers that go through Spark.
     """
     parts = as_list(partition_cols)
     require_columns(df, parts, "partition column")
-    out = df
-    if parts:
-        out = out.hint("rebalance", *parts)
+    out = df.hint("rebalance", *parts) if parts else df
     writer = out.writeStream.format(format).outputMode("append").option("checkpointLocation", checkpoint).option("path", path)
     if parts:
         writer = writer.partitionBy(*parts)
-    if processing_time:
-        writer = writer.trigger(processingTime=processing_time)
-    elif available_now:
+    if query_name:
+        writer = writer.queryName(query_name)
+    if available_now:
         writer = writer.trigger(availableNow=True)
-    query = writer.start()
+    elif processing_time:
+        writer = writer.trigger(processingTime=processing_time)
+    return writer.start()
+
+
+def write_stream_files(
+    df: DataFrame,
+    path: str,
+    checkpoint: str,
+    partition_cols: str | Sequence[str] = ("hour",),
+    format: str = "parquet",
+    timeout_s: float | None = None,
+) -> StreamResult:
+    """Drain everything available now into the sink (``availableNow``), wait, and report."""
+    query = start_stream_files(df, path, checkpoint, partition_cols, format, available_now=True)
     try:
         finished = query.awaitTermination(timeout_s) if timeout_s else query.awaitTermination()
         if timeout_s and not finished:
@@ -156,6 +168,12 @@ def write_stream_files(
             query.stop()
     if query.exception():
         raise RuntimeError(f"stream to {path} failed: {query.exception()}")
+    return stream_result(query, path, checkpoint)
+
+
+def stream_result(query, path: str, checkpoint: str) -> StreamResult:
+    """Batches, input rows and rows dropped by the watermark from the query's recent progress
+    (the last ``spark.sql.streaming.numRecentProgressUpdates`` batches, 100 by default)."""
     progress = [_as_dict(p) for p in query.recentProgress]
     return StreamResult(
         path=path,
@@ -189,10 +207,25 @@ class StreamSpec:
     dedupe_delay: str = "1 hour"
 
 
-def run_stream_ingest(stream: DataFrame, spec: StreamSpec) -> StreamResult:
-    """stream -> stateless steps -> optional watermark dedupe -> hourly (or daily) files."""
+def ingest_plan(stream: DataFrame, spec: StreamSpec) -> DataFrame:
+    """F2 as a streaming plan: stateless steps -> optional watermark dedupe -> time partition."""
     df = stream_steps(stream, spec.steps)
     if spec.dedupe_keys:
         df = dedupe_within_watermark(df, list(spec.dedupe_keys), spec.ts_col, spec.dedupe_delay)
-    df = with_time_partition(df, spec.ts_col, spec.grain)
-    return write_stream_files(df, spec.target_path, spec.checkpoint, partition_cols=[spec.grain])
+    return with_time_partition(df, spec.ts_col, spec.grain)
+
+
+def run_stream_ingest(stream: DataFrame, spec: StreamSpec) -> StreamResult:
+    """F2, drained: process everything available now, then stop (a scheduled / catch-up run)."""
+    return write_stream_files(ingest_plan(stream, spec), spec.target_path, spec.checkpoint, partition_cols=[spec.grain])
+
+
+def start_stream_ingest(stream: DataFrame, spec: StreamSpec, processing_time: str = "1 minute", query_name: str | None = None):
+    """F2, continuous: start the query with a processing-time trigger and return it.
+
+    At scale, pair it with a bounded source batch (``maxOffsetsPerTrigger`` /
+    ``maxFilesPerTrigger``) and, for the dedupe state, the RocksDB state store provider.
+    """
+    return start_stream_files(
+        ingest_plan(stream, spec), spec.target_path, spec.checkpoint, partition_cols=[spec.grain], processing_time=processing_time, query_name=query_name
+    )

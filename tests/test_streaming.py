@@ -74,3 +74,20 @@ def test_stateful_steps_are_refused_on_streams(spark, scratch):
         stream_steps(stream, ["deduplicate"])
     ok = stream_steps(stream, [{"op": "fill_nulls", "values": {"v": 0.0}}, "add_audit_columns"])
     assert ok.isStreaming
+
+
+def test_continuous_ingest_query_runs_until_stopped(spark, scratch):
+    from sluice.streaming import StreamSpec, start_stream_ingest, stream_result
+
+    df = events(spark, 300)
+    src = scratch("in")
+    write_time_ordered_files(df, src, scratch("stage"), "ts", files=2, arrive_in_order=False)
+    spec = StreamSpec(target_path=scratch("out"), checkpoint=scratch("ckpt"), ts_col="ts", grain="day")
+    q = start_stream_ingest(read_file_stream(spark, src, df.schema), spec, processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        assert q.isActive
+    finally:
+        q.stop()
+    assert stream_result(q, spec.target_path, spec.checkpoint).input_rows == 300
+    assert spark.read.schema(df.schema.add("day", T.StringType())).parquet(spec.target_path).count() == 300
