@@ -81,7 +81,17 @@ def run_with_metrics(
     obs_in = Observation("sluice_rows_in")
     observed = source.observe(obs_in, F.count(F.lit(1)).alias("rows"))
     result = write_table(transform(observed), path, **write_args)
-    return RunMetrics(rows_in=int(obs_in.get.get("rows", 0)), rows_out=result.rows_written, write=result)
+    return RunMetrics(rows_in=observed_rows(obs_in, source), rows_out=result.rows_written, write=result)
+
+
+def observed_rows(obs: Observation, source: DataFrame) -> int:
+    """The observed row count. When the optimizer removed the observed node (the steps
+    folded to an empty result, so the source was never scanned), count the source instead."""
+    try:
+        rows = obs.get.get("rows")
+    except Exception:  # noqa: BLE001 - Spark raises when the observed node never ran
+        rows = None
+    return int(rows) if rows is not None else source.count()
 
 
 def metrics_frame(spark, m: RunMetrics) -> DataFrame:

@@ -84,3 +84,11 @@ def test_etl_staged_gate_runs_the_steps_once(spark, scratch):
     bad = PipelineSpec(source_path=src, target_path=scratch("staged_bad"), rules={"null_threshold": 0.01}, stage=True)
     with pytest.raises(DQGateError):
         run_etl(spark, bad)
+
+
+def test_metrics_when_the_steps_fold_to_nothing(spark, scratch):
+    from sluice.sinks import write_table as _write
+
+    m = run_with_metrics(spark.range(10).selectExpr("id AS a"), lambda df: df.filter("1 = 0"), scratch("fold"))
+    assert (m.rows_in, m.rows_out) == (10, 0)
+    assert _write(spark.createDataFrame([], "a int, p int"), scratch("empty"), partition_cols=["p"]).rows_written == 0
