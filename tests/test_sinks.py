@@ -115,3 +115,24 @@ def test_merge_partitions_refuses_to_leave_an_emptied_partition(spark, scratch):
     with _pytest.raises(ValueError):
         merge_partitions(spark, path, updates, "k", ["p"], keys_may_move=True)
     assert spark.read.parquet(path).count() == 2  # nothing published
+
+
+def test_hot_partition_value_is_split_across_tasks(spark, scratch):
+    """One partition value holds a third of the rows: the rebalance shuffle lets AQE split it
+    over several writer tasks (files) instead of one task writing it all."""
+    from sluice.sources import list_files
+
+    df = spark.range(0, 60000, numPartitions=8).selectExpr(
+        "id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id % 50 AS STRING) END AS part", "sha2(CAST(id AS STRING), 256) AS pad"
+    )
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        path = scratch("hot")
+        res = write_table(df, path, partition_cols=["part"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert res.rows_written == 60000
+    hot_files = list_files(spark, f"{path}/part=hot").count()
+    assert hot_files > 1
+    assert spark.read.parquet(path).filter("part = 'hot'").count() == 20000
