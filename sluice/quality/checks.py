@@ -1,13 +1,17 @@
-"""Every data-quality number from ONE aggregate pass.
+"""Every data-quality number from ONE job.
 
 The original tool ran one Spark job per column plus two more. Here all rules become
-aggregate expressions of a single ``df.agg(...)``; the long report table is then made from
-that one row with ``inline(array(struct(...)))``, which runs in the same job.
-
-Cost at scale: the null counts and row count are plain partial/final aggregates (map-side
-combined, a few bytes per task). The duplicate check is an exact ``count(DISTINCT
-struct(keys))``; Spark plans it as a partial aggregate per key, a shuffle on the key and a
-final merge, so a hot key is collapsed per map task before the shuffle.
+aggregate expressions evaluated in a single job; the long report table is then made from
+the resulting one row with ``inline(array(struct(...)))``, in the same job.
+
+Cost at scale: the null counts, row count and max event time are one plain global
+aggregate (partial per task, a few bytes each, no shuffle of rows). The duplicate check is
+an exact ``count(DISTINCT struct(keys))`` kept in its OWN aggregate branch that reads only
+the key columns: Spark plans it as a partial aggregate per key, a shuffle on the key and a
+merge, so a hot key is collapsed per map task before the shuffle. (Were it in the same
+aggregate as the null counts, Spark would group by the key first and carry every column's
+partial null count through that shuffle: C longs per distinct key.) The two one-row results
+are combined by ``union`` + ``max``, not by a join.
 """
 
 from __future__ import annotations
@@ -45,15 +49,19 @@ class _Pass:
         self.keys = list(rules.dupe_keys) if rules.dupe_keys else df.columns[:1]
         aggs = [F.count(F.lit(1)).alias("_rows")]
         aggs += [null_count(c).alias(f"_n{i}") for i, c in enumerate(self.null_cols)]
-        if rules.dupe_check:
-            require_columns(df, self.keys, "duplicate key")
-            aggs.append(F.count_distinct(key_struct(self.keys)).alias("_distinct"))
         if rules.freshness_hours is not None:
             require_columns(df, [rules.freshness_column], "freshness column")
             aggs.append(F.max(rules.freshness_column).alias("_max_ts"))
+        one = df.agg(*aggs)
+        if rules.dupe_check:
+            require_columns(df, self.keys, "duplicate key")
+            distinct = df.agg(F.count_distinct(key_struct(self.keys)).alias("_distinct"))
+            # two one-row branches -> one row; each column is non-NULL in exactly one branch
+            both = one.unionByName(distinct, allowMissingColumns=True)
+            one = both.agg(*[F.max(c).alias(c) for c in both.columns])
         # The failure count is derived once on the one-row result and referenced by name, so
         # a 500-column table does not repeat a 500-term sum in every report row.
-        self.one = df.agg(*aggs).withColumn("_fails", self._count_failures())
+        self.one = one.withColumn("_fails", self._count_failures())
 
     # --- expressions over the one-row result
     rows = property(lambda self: F.col("_rows"))

@@ -24,9 +24,12 @@ def test_filters_and_columns_reach_the_scan_through_a_chain(spark):
 
 def test_dq_report_is_a_single_aggregate_without_joins(spark):
     ev = spark.read.parquet(f"{SF01}/events.parquet")
-    p = plan(dq.dq_report(ev, {"dupe_check": True}))
+    p = plan(dq.dq_report(ev, {"dupe_check": True, "dupe_keys": ["user_id"]}))
     assert "Join" not in p
-    assert p.count("FileScan") == 1
+    # null counts: one global aggregate; duplicates: a branch that reads only the key column
+    assert "ReadSchema: struct<user_id:bigint>" in p
+    key_shuffle = [line for line in p.splitlines() if "hashpartitioning" in line]
+    assert len(key_shuffle) == 1 and "_n0" not in key_shuffle[0]
 
 
 def test_null_rates_without_distinct_do_not_shuffle_rows(spark):
