@@ -38,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Base folder for everything we write on our own.
 
     Reads ``spark.checkpoint.dir`` (or the checkpoint dir already set on the context).
-    Sets a fresh local folder only when neither is set, which is the test / bench case.
+    Sets a fresh local folder only when neither is set AND the master is ``local[...]``
+    (tests, bench); on a cluster a missing setting is an error, never a local folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,7 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="sluice-ckpt-")
+    if not sc.master.startswith("local"):
+        raise RuntimeError(
+            "spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+            "(HDFS / object store) that every executor and a restarted driver can reach"
+        )
+    local = tempfile.mkdtemp(prefix="sluice-ckpt-")  # local mode only (tests, bench)
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir().rstrip("/")
 
