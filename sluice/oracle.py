@@ -1,8 +1,8 @@
 """DuckDB SQL equal in meaning to each registered query (see ``sluice.queries``).
 
-Column names and types are aliased / cast to match the Spark results exactly. Queries whose
-values depend on the physical layout (``partition_skew``, ``sink_layout``) have no SQL here
-and get the driver's rows-only check.
+Column names and types are aliased / cast to match the Spark results exactly. The one query
+whose values depend on Spark's physical layout (``partition_skew``: rows per hash partition)
+has no SQL here and gets the driver's rows-only check.
 """
 
 from __future__ import annotations
@@ -320,6 +320,8 @@ def oracle_sql() -> dict[str, str]:
             "SELECT * FROM (VALUES ('csv', CAST(2 AS BIGINT), true), ('json', CAST(2 AS BIGINT), true), "
             "('orc', CAST(2 AS BIGINT), true), ('parquet', CAST(2 AS BIGINT), true)) t(format, files, has_bytes)"
         ),
+        # the given table is one parquet file of a few MB: the smallest size tier (50 partitions)
+        "sink_layout": "SELECT CAST(1 AS BIGINT) AS files, 50 AS partitions, true AS has_bytes",
         "lineage_edges": _lineage_edges_sql(),
         "lineage_nodes": _lineage_nodes_sql(),
         "run_metrics": _run_metrics_sql(),

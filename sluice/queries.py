@@ -313,7 +313,8 @@ def q_source_inventory(spark, sf):
 
 
 def q_sink_layout(spark, sf):
-    return sink_layout(spark, f"{sf}/lineitem.parquet")
+    layout = sink_layout(spark, f"{sf}/lineitem.parquet")
+    return layout.select("files", "partitions", (F.col("total_bytes") > 0).alias("has_bytes"))
 
 
 # ---------------------------------------------------------------- queries: lineage, metrics, flows

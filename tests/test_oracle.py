@@ -17,7 +17,7 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_sql_or_is_layout_dependent():
     missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == {"partition_skew", "sink_layout"}
+    assert missing == {"partition_skew"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
