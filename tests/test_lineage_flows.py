@@ -92,3 +92,25 @@ def test_metrics_when_the_steps_fold_to_nothing(spark, scratch):
     m = run_with_metrics(spark.range(10).selectExpr("id AS a"), lambda df: df.filter("1 = 0"), scratch("fold"))
     assert (m.rows_in, m.rows_out) == (10, 0)
     assert _write(spark.createDataFrame([], "a int, p int"), scratch("empty"), partition_cols=["p"]).rows_written == 0
+
+
+def test_etl_upsert_mode_merges_into_touched_partitions(spark, scratch):
+    from sluice.sources import list_files
+
+    first = scratch("up_src1")
+    write_table(spark.range(40).selectExpr("id", "id % 4 AS part", "'v1' AS v"), first)
+    target = scratch("up_target")
+    spec = dict(target_path=target, partition_cols=("part",), write_mode="upsert", merge_keys=("id",), rules={"null_threshold": 0.0})
+    res1 = run_etl(spark, PipelineSpec(source_path=first, **spec))
+    assert res1.write.rows_written == 40
+    before = {r["path"] for r in list_files(spark, target).collect()}
+    second = scratch("up_src2")
+    write_table(spark.createDataFrame([(1, 1, "v2"), (5, 1, "v2"), (100, 1, "new")], "id bigint, part bigint, v string"), second)
+    res2 = run_etl(spark, PipelineSpec(source_path=second, **spec))
+    assert res2.metrics.rows_in == 3 and res2.write.rows_written == 11  # partition part=1 only
+    out = {r["id"]: r["v"] for r in spark.read.parquet(target).collect()}
+    assert len(out) == 41 and out[1] == "v2" and out[5] == "v2" and out[100] == "new" and out[2] == "v1"
+    after = {r["path"] for r in list_files(spark, target).collect()}
+    assert {p for p in before if "part=1" not in p} <= after  # other partitions untouched
+    with pytest.raises(ValueError):
+        PipelineSpec(source_path=second, target_path=target, write_mode="merge")
