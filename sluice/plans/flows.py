@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from sluice.operators.chain import apply_steps
 from sluice.plans.lineage import SOURCE_FILE, RunMetrics, observed_rows, run_with_metrics
 from sluice.quality.checks import REPORT_SCHEMA, dq_report
+from sluice.quality.quarantine import ERRORS, STATUS, tag_rows
 from sluice.quality.rules import DQRules
 from sluice.session import scratch_path
 from sluice.sinks.merge import merge_partitions
@@ -61,12 +62,16 @@ class PipelineSpec:
     stage: bool = False
     merge_keys: tuple[str, ...] = ()
     merge_order_by: tuple[str, ...] = ()
+    quarantine_rules: Mapping[str, str] | None = None  # rule name -> SQL condition rows must meet
+    quarantine_path: str | None = None
 
     def __post_init__(self):
         if self.gate not in GATES:
             raise ValueError(f"gate must be one of {GATES}")
         if self.write_mode in MERGE_MODES and not (self.merge_keys and self.partition_cols):
             raise ValueError("write_mode merge / upsert needs merge_keys and partition_cols (only touched partitions are rewritten)")
+        if bool(self.quarantine_rules) != bool(self.quarantine_path):
+            raise ValueError("quarantine_rules and quarantine_path go together")
         object.__setattr__(self, "merge_keys", tuple(self.merge_keys))
         object.__setattr__(self, "merge_order_by", tuple(self.merge_order_by))
         if self.gate_on not in ("dq_score", "all_checks"):
@@ -81,6 +86,7 @@ class EtlResult:
     metrics: RunMetrics | None
     report: list[Row] = field(default_factory=list)
     passed: bool = True
+    quarantined: WriteResult | None = None
 
 
 def _gate_passed(report: list[Row], gate_on: str) -> bool:
@@ -126,6 +132,8 @@ def run_etl(spark: SparkSession, spec: PipelineSpec) -> EtlResult:
         return df.drop(SOURCE_FILE) if SOURCE_FILE in df.columns else df
 
     report: list[Row] = []
+    if spec.quarantine_rules:
+        return _run_with_quarantine(spark, spec, src, rules, checked)
     if rules is not None and spec.gate == "block" and spec.stage:
         staged_path = scratch_path(spark, "etl-stage")
         staged_run = run_with_metrics(src, lambda df: apply_steps(df, spec.steps), staged_path, mode="error")
@@ -152,6 +160,29 @@ def run_etl(spark: SparkSession, spec: PipelineSpec) -> EtlResult:
     return EtlResult(write=metrics.write, metrics=metrics, report=report, passed=passed)
 
 
+def _run_with_quarantine(spark, spec: PipelineSpec, src: DataFrame, rules: DQRules | None, checked) -> EtlResult:
+    """Q6 in the flow: rows breaking a quarantine rule go to ``quarantine_path`` with their
+    ``_dq_errors``; the rest is gated (on the clean rows) and published. The steps run once:
+    one job writes both sides to a staging folder partitioned by status, and the publish
+    jobs read that staged copy."""
+    staged_path = scratch_path(spark, "etl-quarantine-stage")
+    tagged = lambda df: tag_rows(apply_steps(df, spec.steps), spec.quarantine_rules)
+    staged_run = run_with_metrics(src, tagged, staged_path, mode="error", partition_cols=[STATUS])
+    staged = spark.read.parquet(staged_path)
+    clean = staged.filter(F.col(STATUS) == "clean").drop(STATUS, ERRORS)
+    bad = staged.filter(F.col(STATUS) == "quarantine").drop(STATUS)
+    report: list[Row] = []
+    if rules is not None and spec.gate != "off":
+        report = dq_report(checked(clean), rules).collect()
+        if spec.gate == "block" and not _gate_passed(report, spec.gate_on):
+            raise DQGateError(report)
+    published = _publish(spark, clean, spec)
+    quarantined = write_table(bad, spec.quarantine_path, mode="append")
+    metrics = RunMetrics(rows_in=staged_run.rows_in, rows_out=published.rows_written, write=published)
+    passed = _gate_passed(report, spec.gate_on) if report else True
+    return EtlResult(write=published, metrics=metrics, report=report, passed=passed, quarantined=quarantined)
+
+
 def report_frame(spark: SparkSession, report: Sequence[Row]) -> DataFrame:
     return spark.createDataFrame(list(report), REPORT_SCHEMA)
 

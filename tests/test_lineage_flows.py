@@ -114,3 +114,25 @@ def test_etl_upsert_mode_merges_into_touched_partitions(spark, scratch):
     assert {p for p in before if "part=1" not in p} <= after  # other partitions untouched
     with pytest.raises(ValueError):
         PipelineSpec(source_path=second, target_path=target, write_mode="merge")
+
+
+def test_etl_quarantines_broken_rows_and_publishes_the_rest(spark, scratch):
+    src = staged(spark, scratch)  # 330 rows, x NULL where id % 50 = 0
+    spec = PipelineSpec(
+        source_path=src,
+        target_path=scratch("q_target"),
+        steps=({"op": "deduplicate", "keys": ["id"]},),
+        rules={"null_threshold": 0.0, "dupe_check": True, "dupe_keys": ["id"]},
+        quarantine_rules={"x_present": "x IS NOT NULL", "x_small": "x < 400"},
+        quarantine_path=scratch("q_bad"),
+        partition_cols=("part",),
+    )
+    res = run_etl(spark, spec)
+    clean = spark.read.parquet(spec.target_path)
+    bad = spark.read.parquet(spec.quarantine_path)
+    assert res.passed and res.metrics.rows_in == 330
+    assert clean.count() + bad.count() == 300
+    assert clean.filter("x IS NULL OR x >= 400").count() == 0
+    errs = {r["id"]: r["_dq_errors"] for r in bad.collect()}
+    assert errs[0] == ["x_present", "x_small"] and errs[299] == ["x_small"]
+    assert res.quarantined.rows_written == bad.count()
