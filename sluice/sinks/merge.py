@@ -11,6 +11,9 @@ result = (target rows whose key is not in the updates) UNION (updates, one row p
   guess. A skewed target key is split by AQE's skew-join handling.
 * NULL keys never match (SQL ``MERGE`` semantics): such target rows stay and such
   update rows are inserted.
+* Replacement is per key: if the target holds several rows for an updated key, all of them
+  are replaced by the one winning update row (an upsert on a key, not SQL ``MERGE``'s
+  row-by-row update).
 
 Never write the result over the path the target was read from: Spark would delete the
 input files before reading them. :func:`merge_into_path` writes to a new path.
