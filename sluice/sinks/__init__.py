@@ -1,4 +1,4 @@
-from sluice.sinks.merge import merge_into_path, merge_partitions, merge_upsert
+from sluice.sinks.merge import merge_into_path, merge_into_table, merge_partitions, merge_upsert
 from sluice.sinks.writer import FORMATS, MODES, WriteResult, partition_manifest, prepare_write, write_table, written_partitions
 
 __all__ = [
@@ -6,6 +6,7 @@ __all__ = [
     "MODES",
     "WriteResult",
     "merge_into_path",
+    "merge_into_table",
     "merge_partitions",
     "merge_upsert",
     "partition_manifest",

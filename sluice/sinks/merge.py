@@ -145,3 +145,34 @@ def merge_partitions(
         if emptied:
             raise ValueError(f"merge would empty partitions {[r.asDict() for r in emptied]}; use merge_into_path for this batch")
     return write_table(published, target_path, format=format, mode="overwrite", partition_cols=parts, overwrite_partitions=True)
+
+
+def merge_into_table(
+    table: str,
+    updates: DataFrame,
+    keys: str | Sequence[str],
+    order_by: str | Sequence[str] | None = None,
+    delete_col: str | None = None,
+) -> None:
+    """Keyed upsert into a catalog table whose format supports row-level ``MERGE`` (Delta,
+    Iceberg, ...), through ``DataFrame.mergeInto``. The update batch is deduplicated per key
+    first (the format would reject several source rows for one target row). Plain parquet
+    tables do not support it; use :func:`merge_partitions` or :func:`merge_into_path`."""
+    from pyspark.sql import functions as F
+
+    keys = as_list(keys)
+    require_columns(updates, keys, "update key")
+    latest = dedupe(updates, keys, order_by=order_by, keep="last").alias("s")
+    on = None
+    for k in keys:
+        eq = F.col(f"{table}.{k}") == F.col(f"s.{k}")
+        on = eq if on is None else (on & eq)
+    merge = latest.mergeInto(table, on)
+    if delete_col:
+        merge = merge.whenMatched(F.col(f"s.{delete_col}")).delete()
+        latest_cols = [c for c in updates.columns if c != delete_col]
+        assignments = {c: F.col(f"s.{c}") for c in latest_cols}
+        merge = merge.whenMatched().update(assignments).whenNotMatched(~F.col(f"s.{delete_col}")).insert(assignments)
+    else:
+        merge = merge.whenMatched().updateAll().whenNotMatched().insertAll()
+    merge.merge()

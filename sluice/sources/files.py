@@ -29,6 +29,7 @@ def read_table(
     merge_schema: bool = False,
     options: Mapping[str, str] | None = None,
     with_source_file: bool = False,
+    sampling_ratio: float | None = None,
 ) -> DataFrame:
     """Read a table.
 
@@ -39,6 +40,8 @@ def read_table(
     a full extra pass over a large table.
     ``with_source_file``: add ``_source_file`` from the hidden ``_metadata`` column at the scan
     (needed for file lineage; it must be taken before any shuffle).
+    ``sampling_ratio``: for CSV / JSON without a schema, infer types from this fraction of the
+    rows instead of a full extra pass over the input.
     """
     fmt = format.lower()
     if fmt not in FILE_FORMATS:
@@ -56,6 +59,8 @@ def read_table(
         opts["mode"] = "FAILFAST"
     elif fmt in ("parquet", "orc"):
         opts["mergeSchema"] = "true" if merge_schema else "false"
+    if sampling_ratio is not None and schema is None and fmt in ("csv", "json"):
+        opts["samplingRatio"] = str(sampling_ratio)
     opts.update(dict(options or {}))
     reader = spark.read.format(fmt).options(**opts)
     if schema is not None:

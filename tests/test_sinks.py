@@ -136,3 +136,18 @@ def test_hot_partition_value_is_split_across_tasks(spark, scratch):
     hot_files = list_files(spark, f"{path}/part=hot").count()
     assert hot_files > 1
     assert spark.read.parquet(path).filter("part = 'hot'").count() == 20000
+
+
+def test_merge_into_table_needs_a_row_level_format(spark):
+    from sluice.sinks import merge_into_table
+
+    name = "sluice_merge_probe"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.range(3).selectExpr("id AS k", "'a' AS v").write.format("parquet").saveAsTable(name)
+    try:
+        updates = spark.createDataFrame([(1, "b"), (1, "c")], "k bigint, v string")
+        with pytest.raises(Exception) as e:
+            merge_into_table(name, updates, "k")
+        assert "merge" in str(e.value).lower() or "support" in str(e.value).lower()
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

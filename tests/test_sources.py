@@ -68,3 +68,10 @@ def test_kafka_without_connector_fails_clearly(spark):
 def test_unknown_format(spark):
     with pytest.raises(ValueError):
         read_table(spark, "/nowhere", "xlsx")
+
+
+def test_sampled_inference(spark, scratch):
+    path = scratch("sample")
+    write_table(spark.range(2000).selectExpr("id", "id * 0.5 AS x"), path, format="csv", options={"header": "true"})
+    df = read_table(spark, path, "csv", sampling_ratio=0.1)
+    assert dict(df.dtypes) == {"id": "int", "x": "double"} and df.count() == 2000
