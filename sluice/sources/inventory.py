@@ -20,14 +20,29 @@ _EXT = r"\.(parquet|orc|json|csv|avro|txt)(\.[A-Za-z0-9]+)?$"
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, modificationTime, format`` for every data file below ``path``."""
+    """``path, length, modificationTime, format`` for every data file below ``path``.
+
+    The data files of a Delta table root (one holding ``_delta_log/``) are labelled ``delta``.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
         .select("path", "length", "modificationTime")
     )
-    return files.withColumn("format", file_format(F.col("path")))
+    fmt = file_format(F.col("path"))
+    if is_delta_table(spark, path):
+        fmt = F.when(fmt == "parquet", F.lit("delta")).otherwise(fmt)
+    return files.withColumn("format", fmt)
+
+
+def is_delta_table(spark: SparkSession, path: str) -> bool:
+    """True when ``path`` holds a ``_delta_log`` folder (hidden from ordinary listings)."""
+    try:
+        spark.read.format("binaryFile").load(f"{path.rstrip('/')}/_delta_log").select("path").limit(1).collect()
+        return True
+    except Exception:  # noqa: BLE001 - no such folder
+        return False
 
 
 def file_format(path: Column) -> Column:

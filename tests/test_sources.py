@@ -75,3 +75,18 @@ def test_sampled_inference(spark, scratch):
     write_table(spark.range(2000).selectExpr("id", "id * 0.5 AS x"), path, format="csv", options={"header": "true"})
     df = read_table(spark, path, "csv", sampling_ratio=0.1)
     assert dict(df.dtypes) == {"id": "int", "x": "double"} and df.count() == 2000
+
+
+def test_delta_layout_is_recognised(spark, scratch):
+    base = scratch("delta_like")
+    write_table(spark.range(5), base)
+    spark.createDataFrame([('{"commitInfo": {}}',)], "value string").write.text(f"{base}/_delta_log")
+    inv = {r["format"]: r["files"] for r in source_inventory(spark, base).collect()}
+    assert "delta" in inv and "parquet" not in inv
+
+
+def test_jdbc_partitioning_arguments_are_checked(spark):
+    from sluice.sources import read_jdbc
+
+    with pytest.raises(ValueError):
+        read_jdbc(spark, "jdbc:postgresql://nowhere/db", "t", partition_column="id", lower_bound=0)
