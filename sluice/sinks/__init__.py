@@ -1,5 +1,14 @@
 from sluice.sinks.merge import merge_into_path, merge_into_table, merge_partitions, merge_upsert
-from sluice.sinks.writer import FORMATS, MODES, WriteResult, partition_manifest, prepare_write, write_table, written_partitions
+from sluice.sinks.writer import (
+    FORMATS,
+    MODES,
+    WriteResult,
+    partition_manifest,
+    prepare_write,
+    write_bucketed_table,
+    write_table,
+    written_partitions,
+)
 
 __all__ = [
     "FORMATS",
@@ -11,6 +20,7 @@ __all__ = [
     "merge_upsert",
     "partition_manifest",
     "prepare_write",
+    "write_bucketed_table",
     "write_table",
     "written_partitions",
 ]

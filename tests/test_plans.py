@@ -67,3 +67,29 @@ def test_merge_update_keys_are_pruned_to_a_distinct(spark):
     p = plan(m)
     assert "LeftAnti" in p
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in p  # key side reads two columns
+
+
+def test_merge_into_a_bucketed_target_does_not_shuffle_the_target(spark):
+    from sluice.sinks import write_bucketed_table
+
+    name = "sluice_bucketed_orders"
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    orders = spark.read.parquet(f"{SF01}/orders.parquet")
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        res = write_bucketed_table(orders, name, "o_orderkey", 8)
+        assert res.rows_written == orders.count()
+        # the sort-merge plan, as it is when the update side is too big to broadcast
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        m = merge_upsert(spark.table(name), orders.filter("o_orderdate >= '2000-01-01'"), "o_orderkey")
+        lines = plan(m).splitlines()
+        smj = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+        target = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+        assert smj < target
+        assert not any("Exchange" in line for line in lines[smj:target])  # target side: no shuffle
+        assert m.count() == orders.count()
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
