@@ -1,4 +1,4 @@
-from sluice.sinks.merge import merge_into_path, merge_into_table, merge_partitions, merge_upsert
+from sluice.sinks.merge import merge_into_path, merge_into_table, merge_partitions, merge_upsert, republish
 from sluice.sinks.writer import (
     FORMATS,
     MODES,
@@ -20,6 +20,7 @@ __all__ = [
     "merge_upsert",
     "partition_manifest",
     "prepare_write",
+    "republish",
     "write_bucketed_table",
     "write_table",
     "written_partitions",

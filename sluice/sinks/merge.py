@@ -21,6 +21,7 @@ input files before reading them. :func:`merge_into_path` writes to a new path.
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -144,7 +145,19 @@ def merge_partitions(
         emptied = touched.subtract(published.select(*parts).distinct()).limit(5).collect()
         if emptied:
             raise ValueError(f"merge would empty partitions {[r.asDict() for r in emptied]}; use merge_into_path for this batch")
-    return write_table(published, target_path, format=format, mode="overwrite", partition_cols=parts, overwrite_partitions=True)
+    return republish(spark, staged, target_path, parts, format=format, columns=target.columns)
+
+
+def republish(spark, staging_path: str, target_path: str, partition_cols: Sequence[str], format: str = "parquet", columns: Sequence[str] | None = None) -> WriteResult:
+    """Replace the target's partitions present in a staged copy (dynamic partition overwrite).
+
+    Idempotent: if a publish failed part-way, call it again with the ``staging_path`` the
+    failed call's ``WriteResult`` (or the error) carried."""
+    staged = spark.read.format(format).load(staging_path)
+    if columns is not None:
+        staged = staged.select(*columns)
+    result = write_table(staged, target_path, format=format, mode="overwrite", partition_cols=list(partition_cols), overwrite_partitions=True)
+    return dataclasses.replace(result, staging_path=staging_path)
 
 
 def merge_into_table(

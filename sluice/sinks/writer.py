@@ -37,6 +37,7 @@ class WriteResult:
     mode: str
     partition_cols: tuple[str, ...]
     rows_written: int
+    staging_path: str | None = None  # staged copy a failed publish can be replayed from
 
 
 def write_table(
