@@ -1,8 +1,9 @@
 """Command line: ``python -m sluice {run,dq,stream} ...`` (or through ``spark-submit``).
 
 * ``run``    F1: read -> steps -> DQ gate -> write (append / overwrite / upsert).
-* ``dq``     F3: one-pass DQ report over a table, published to a report path.
-* ``stream`` F2: files arriving in a folder -> hourly (or daily) parquet, drained now.
+* ``dq``     F3: one-pass DQ report over a table, published to a report path (DQ-suite preset:
+  null threshold 0.005, duplicates, and a 2-hour freshness check when a time column is given).
+* ``stream`` F2: files arriving in a folder, or a Kafka topic -> hourly (or daily) parquet, drained now.
 
 The session comes from ``SparkSession.builder.getOrCreate()``: cluster settings belong to
 ``spark-submit`` / ``spark-defaults.conf``, not to this tool.
@@ -14,6 +15,8 @@ import argparse
 import json
 import sys
 
+from sluice.quality.rules import DQ_SUITE_RULES
+
 # The transformation list of the original tool's ETL goal, in its order.
 DEFAULT_STEPS = ["deduplicate", "cast_types", "fill_nulls", "add_audit_columns"]
 
@@ -51,8 +54,11 @@ def _rules(args) -> dict | None:
     rules = {"null_threshold": args.null_threshold, "dupe_check": not args.no_dupe_check}
     if args.dupe_keys:
         rules["dupe_keys"] = _csv(args.dupe_keys)
-    if args.freshness_hours is not None:
-        rules.update(freshness_hours=args.freshness_hours, freshness_column=args.freshness_column, as_of=args.as_of)
+    hours = args.freshness_hours
+    if hours is None and args.freshness_column and args.command == "dq":
+        hours = DQ_SUITE_RULES["freshness_hours"]  # the DQ-suite preset checks freshness too
+    if hours is not None:
+        rules.update(freshness_hours=hours, freshness_column=args.freshness_column, as_of=args.as_of)
     return rules
 
 
@@ -60,8 +66,8 @@ def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="python -m sluice", description=__doc__.split("\n\n")[0])
     sub = p.add_subparsers(dest="command", required=True)
 
-    def dq_flags(sp):
-        sp.add_argument("--null-threshold", type=float, default=0.01)
+    def dq_flags(sp, threshold=0.01):
+        sp.add_argument("--null-threshold", type=float, default=threshold)
         sp.add_argument("--no-dupe-check", action="store_true")
         sp.add_argument("--dupe-keys", help="comma-separated; default: first column")
         sp.add_argument("--freshness-hours", type=float)
@@ -94,10 +100,14 @@ def build_parser() -> argparse.ArgumentParser:
     dq.add_argument("--input-format", default="parquet")
     dq.add_argument("--report", required=True, help="path the report table is written to")
     dq.add_argument("--no-dq", action="store_true", help=argparse.SUPPRESS)
-    dq_flags(dq)
-
-    st = sub.add_parser("stream", help="stream ingest (F2) from a folder of arriving files")
-    st.add_argument("--source", required=True)
+    dq_flags(dq, threshold=DQ_SUITE_RULES["null_threshold"])  # the DQ-suite preset
+
+    st = sub.add_parser("stream", help="stream ingest (F2) from a folder of arriving files or a Kafka topic")
+    st.add_argument("--source", help="folder of arriving files (or use --kafka-servers/--topic)")
+    st.add_argument("--kafka-servers")
+    st.add_argument("--topic")
+    st.add_argument("--value-schema", help="DDL schema of the JSON message value, e.g. 'id bigint, ts timestamp'")
+    st.add_argument("--max-offsets-per-trigger", type=int)
     st.add_argument("--input-format", default="parquet")
     st.add_argument("--target", required=True)
     st.add_argument("--checkpoint", required=True)
@@ -149,10 +159,17 @@ def main(argv: list[str] | None = None, spark=None) -> dict:
         rows = [r.asDict() for r in report.collect()]  # C + 3 rows
         out = {"status": "success", "report_path": args.report, "rows_written": written.rows_written, "report": rows}
     else:
-        from sluice.streaming import StreamSpec, read_file_stream, run_stream_ingest
-
-        schema = spark.read.format(args.input_format).load(args.source).schema
-        stream = read_file_stream(spark, args.source, schema, format=args.input_format, max_files_per_trigger=args.max_files_per_trigger)
+        from sluice.streaming import StreamSpec, read_file_stream, read_kafka_stream, run_stream_ingest
+
+        if args.kafka_servers:
+            if not (args.topic and args.value_schema):
+                raise SystemExit("--kafka-servers needs --topic and --value-schema")
+            stream = read_kafka_stream(spark, args.kafka_servers, args.topic, args.value_schema, max_offsets_per_trigger=args.max_offsets_per_trigger)
+        elif args.source:
+            schema = spark.read.format(args.input_format).load(args.source).schema
+            stream = read_file_stream(spark, args.source, schema, format=args.input_format, max_files_per_trigger=args.max_files_per_trigger)
+        else:
+            raise SystemExit("stream needs --source or --kafka-servers/--topic")
         spec = StreamSpec(
             target_path=args.target,
             checkpoint=args.checkpoint,

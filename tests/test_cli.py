@@ -29,3 +29,20 @@ def test_cli_run_dq_and_stream(spark, scratch):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(events)
     st = main(["stream", "--source", events, "--target", scratch("cli_stream"), "--checkpoint", scratch("cli_ckpt"), "--ts-column", "ts", "--grain", "day"], spark=spark)
     assert st["input_rows"] == spark.read.parquet(events).count()
+
+
+def test_cli_dq_preset_and_kafka_arguments(spark, scratch):
+    import pytest
+
+    src = scratch("cli_dq_src")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(src)
+    rep = main(["dq", "--source", src, "--report", scratch("cli_dq_rep"), "--dupe-keys", "event_id",
+                "--freshness-column", "ts", "--as-of", "2024-01-31 00:00:00"], spark=spark)
+    checks = {r["check"]: r for r in rep["report"]}
+    assert checks["freshness"]["threshold"] == 2.0 and checks["null_rate"]["threshold"] == 0.005
+    with pytest.raises(SystemExit):
+        main(["stream", "--kafka-servers", "localhost:1", "--target", "t", "--checkpoint", "c", "--ts-column", "ts"], spark=spark)
+    with pytest.raises(Exception) as e:  # connector absent here: a clear error, not a hang
+        main(["stream", "--kafka-servers", "localhost:1", "--topic", "events", "--value-schema", "ts timestamp",
+              "--target", scratch("k"), "--checkpoint", scratch("kc"), "--ts-column", "ts"], spark=spark)
+    assert "kafka" in str(e.value).lower()
