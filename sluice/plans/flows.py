@@ -87,6 +87,7 @@ class EtlResult:
     report: list[Row] = field(default_factory=list)
     passed: bool = True
     quarantined: WriteResult | None = None
+    staging_path: str | None = None  # staged cleaned table (stage=True / quarantine); publish can be replayed from it
 
 
 def _gate_passed(report: list[Row], gate_on: str) -> bool:
@@ -143,7 +144,7 @@ def run_etl(spark: SparkSession, spec: PipelineSpec) -> EtlResult:
             raise DQGateError(report)
         published = _publish(spark, staged, spec)
         metrics = RunMetrics(rows_in=staged_run.rows_in, rows_out=published.rows_written, write=published)
-        return EtlResult(write=published, metrics=metrics, report=report, passed=True)
+        return EtlResult(write=published, metrics=metrics, report=report, passed=True, staging_path=staged_path)
 
     if rules is not None and spec.gate == "block":
         report = dq_report(checked(apply_steps(src, spec.steps)), rules).collect()  # C + 3 rows
@@ -180,7 +181,7 @@ def _run_with_quarantine(spark, spec: PipelineSpec, src: DataFrame, rules: DQRul
     quarantined = write_table(bad, spec.quarantine_path, mode="append")
     metrics = RunMetrics(rows_in=staged_run.rows_in, rows_out=published.rows_written, write=published)
     passed = _gate_passed(report, spec.gate_on) if report else True
-    return EtlResult(write=published, metrics=metrics, report=report, passed=passed, quarantined=quarantined)
+    return EtlResult(write=published, metrics=metrics, report=report, passed=passed, quarantined=quarantined, staging_path=staged_path)
 
 
 def report_frame(spark: SparkSession, report: Sequence[Row]) -> DataFrame:
