@@ -124,14 +124,11 @@ def merge_partitions(
     if len(listed) <= max_listed_partitions:
         if not listed:
             return WriteResult(path=target_path, format=format, mode="overwrite", partition_cols=tuple(parts), rows_written=0)
-        cond = None
-        for row in listed:
-            match = None
-            for c in parts:
-                eq = F.col(c).isNull() if row[c] is None else (F.col(c) == F.lit(row[c]))
-                match = eq if match is None else (match & eq)
-            cond = match if cond is None else (cond | match)
-        in_scope = target.filter(cond)
+        # One flat IN over struct(partition columns): null-safe (struct comparison treats NULL
+        # fields as equal), a hash-set lookup after Catalyst's OptimizeIn, and a partition
+        # filter the scan prunes with. (10,000 OR-ed equalities would nest 10,000 deep.)
+        values = [F.struct(*[F.lit(row[c]).cast(target.schema[c].dataType).alias(c) for c in parts]) for row in listed]
+        in_scope = target.filter(F.struct(*[F.col(c) for c in parts]).isin(values))
     else:
         in_scope = target.join(touched, on=parts, how="left_semi")
 

@@ -166,3 +166,19 @@ def test_publish_can_be_replayed_from_the_staged_copy(spark, scratch):
     assert again.rows_written == 10
     out = spark.read.parquet(path)
     assert out.count() == 20 and out.filter("k = 2").first()["v"] == "new"
+
+
+def test_merge_partitions_two_partition_columns_with_nulls_prunes_the_scan(spark, scratch):
+    from sluice.sinks import merge_partitions
+
+    base = spark.createDataFrame(
+        [(i, "old", i % 2, None if i % 3 == 0 else f"r{i % 3}") for i in range(12)], "k bigint, v string, a bigint, b string"
+    )
+    path = scratch("mp_nulls")
+    write_table(base, path, partition_cols=["a", "b"])
+    updates = spark.createDataFrame([(0, "new", 0, None), (4, "new", 0, "r1")], "k bigint, v string, a bigint, b string")
+    res = merge_partitions(spark, path, updates, "k", ["a", "b"])
+    out = {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
+    assert len(out) == 12 and out[0] == "new" and out[4] == "new" and out[3] == "old"
+    # only (a=0, b=NULL) and (a=0, b=r1) were rewritten: k in {0, 6} and {4, 10}
+    assert res.rows_written == 4
