@@ -53,7 +53,11 @@ def fill_nulls(df: DataFrame, values: Mapping[str, object] | None = None) -> Dat
         dt = df.schema[c].dataType
         if v is None or not _fill_value_fits(dt, v):
             raise TypeError(f"cannot fill column {c!r} of type {dt.simpleString()} with {v!r}")
-        fills[c] = F.coalesce(F.col(c), F.lit(v).cast(dt))
+        if isinstance(dt, T.TimestampNTZType) and isinstance(v, _dt.datetime):
+            value = F.lit(v.isoformat(sep=" ")).cast(dt)  # wall-clock text -> NTZ: no time zone involved
+        else:
+            value = F.lit(v).cast(dt)
+        fills[c] = F.coalesce(F.col(c), value)
     return df.withColumns(fills)
 
 

@@ -100,3 +100,14 @@ def test_guarded_try_cast_equals_plain_try_cast(spark):
             assert [repr(x) for x in plain] == [repr(x) for x in guarded], t
 
     check()
+
+
+def test_fill_ntz_timestamp_is_zone_free(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame([(None,)], "ts timestamp_ntz")
+        out = ops.fill_nulls(df, {"ts": dt.datetime(2024, 1, 2, 3, 4, 5, 6)}).first()["ts"]
+        assert out == dt.datetime(2024, 1, 2, 3, 4, 5, 6)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
