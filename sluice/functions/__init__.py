@@ -11,6 +11,7 @@ from sluice.functions.columns import (
     require_orderable,
     try_cast_col,
     ts_literal_like,
+    typed_literal,
 )
 
 __all__ = [
@@ -26,4 +27,5 @@ __all__ = [
     "require_orderable",
     "try_cast_col",
     "ts_literal_like",
+    "typed_literal",
 ]

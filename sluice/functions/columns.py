@@ -104,3 +104,13 @@ def try_cast_col(df: DataFrame, c: str, target: str | T.DataType) -> Column:
         if isinstance(dst, _DIGIT_GUARDED):
             return F.when(F.col(c).rlike(r"\p{Nd}"), out)
     return out
+
+
+def typed_literal(value, dt: T.DataType) -> Column:
+    """A literal of type ``dt``. A ``datetime`` for a TIMESTAMP_NTZ column is passed as its
+    wall-clock text, so neither the Python process's nor the session's time zone shifts it."""
+    import datetime as _dt
+
+    if isinstance(dt, T.TimestampNTZType) and isinstance(value, _dt.datetime):
+        return F.lit(value.isoformat(sep=" ")).cast(dt)
+    return F.lit(value).cast(dt)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions import require_columns, try_cast_col
+from sluice.functions import require_columns, try_cast_col, typed_literal
 
 # ---------------------------------------------------------------- T2 fill nulls
 
@@ -53,11 +53,7 @@ def fill_nulls(df: DataFrame, values: Mapping[str, object] | None = None) -> Dat
         dt = df.schema[c].dataType
         if v is None or not _fill_value_fits(dt, v):
             raise TypeError(f"cannot fill column {c!r} of type {dt.simpleString()} with {v!r}")
-        if isinstance(dt, T.TimestampNTZType) and isinstance(v, _dt.datetime):
-            value = F.lit(v.isoformat(sep=" ")).cast(dt)  # wall-clock text -> NTZ: no time zone involved
-        else:
-            value = F.lit(v).cast(dt)
-        fills[c] = F.coalesce(F.col(c), value)
+        fills[c] = F.coalesce(F.col(c), typed_literal(v, dt))
     return df.withColumns(fills)
 
 
@@ -127,7 +123,7 @@ def migrate_schema(
             if df.schema[src].dataType != f.dataType:
                 c = c.cast(f.dataType) if strict else try_cast_col(df, src, f.dataType)
         elif f.name in defaults:
-            c = F.lit(defaults[f.name]).cast(f.dataType)
+            c = typed_literal(defaults[f.name], f.dataType)
         else:
             c = F.lit(None).cast(f.dataType)
         cols.append(c.alias(f.name))
