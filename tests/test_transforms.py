@@ -111,3 +111,12 @@ def test_fill_ntz_timestamp_is_zone_free(spark):
         assert out == dt.datetime(2024, 1, 2, 3, 4, 5, 6)
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_partition_summary_reports_skew(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(1000).select(F.when(F.col("id") < 700, 0).otherwise(F.col("id")).alias("k"))
+    s = ops.partition_summary(ops.repartition_rows(df, 4, "k")).first()
+    assert s["partitions"] <= 4 and s["max_rows"] >= 700
+    assert s["skew_ratio"] == s["max_rows"] / s["mean_rows"] and s["skew_ratio"] > 1.5
