@@ -20,7 +20,7 @@ EVENTS_NULLS = """events_nulls AS (
 HOUR_US = "CAST(3600000000 AS DOUBLE)"
 
 
-def _dedupe_sql(table: str, cols: list[str], keys: list[str], rest_first: list[str] | None = None) -> str:
+def _dedupe_sql(table: str, cols: list[str], keys: list[str]) -> str:
     rest = [c for c in cols if c not in keys]
     order = ", ".join(f"{c} ASC NULLS FIRST" for c in rest)
     return (
