@@ -18,9 +18,12 @@ import duckdb
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+EXACT = "--exact" in sys.argv  # compare floats bit for bit instead of to 6 decimals
+
+
 def norm(v):
     if isinstance(v, float):
-        return round(v, 6)
+        return v if EXACT else round(v, 6)
     if isinstance(v, decimal.Decimal):
         return ("dec", str(v.normalize()) if v == v else "nan")
     if isinstance(v, dt.datetime):
@@ -79,7 +82,7 @@ def compare(spark, sf, names=None):
 
 
 if __name__ == "__main__":
-    args = [a for a in sys.argv[1:] if a != "--plain"]
+    args = [a for a in sys.argv[1:] if a not in ("--plain", "--exact")]
     sf = args[0] if args else "/root/testdata/sf0.01"
     names = args[1:] or None
     if "--plain" in sys.argv:  # a bare session, as an outside driver would build it
