@@ -64,6 +64,7 @@ class PipelineSpec:
     merge_order_by: tuple[str, ...] = ()
     quarantine_rules: Mapping[str, str] | None = None  # rule name -> SQL condition rows must meet
     quarantine_path: str | None = None
+    exact_counts: bool = False  # count the source in its own job (exact even after stage re-runs)
 
     def __post_init__(self):
         if self.gate not in GATES:
@@ -137,7 +138,7 @@ def run_etl(spark: SparkSession, spec: PipelineSpec) -> EtlResult:
         return _run_with_quarantine(spark, spec, src, rules, checked)
     if rules is not None and spec.gate == "block" and spec.stage:
         staged_path = scratch_path(spark, "etl-stage")
-        staged_run = run_with_metrics(src, lambda df: apply_steps(df, spec.steps), staged_path, mode="error")
+        staged_run = run_with_metrics(src, lambda df: apply_steps(df, spec.steps), staged_path, exact_source_count=spec.exact_counts, mode="error")
         staged = spark.read.parquet(staged_path)
         report = dq_report(checked(staged), rules).collect()  # C + 3 rows
         if not _gate_passed(report, spec.gate_on):
@@ -151,9 +152,14 @@ def run_etl(spark: SparkSession, spec: PipelineSpec) -> EtlResult:
         if not _gate_passed(report, spec.gate_on):
             raise DQGateError(report)
 
-    obs_in = Observation("sluice_etl_rows_in")
-    published = _publish(spark, apply_steps(src.observe(obs_in, F.count(F.lit(1)).alias("rows")), spec.steps), spec)
-    metrics = RunMetrics(rows_in=observed_rows(obs_in, src), rows_out=published.rows_written, write=published)
+    if spec.exact_counts:
+        published = _publish(spark, apply_steps(src, spec.steps), spec)
+        rows_in = src.count()
+    else:
+        obs_in = Observation("sluice_etl_rows_in")
+        published = _publish(spark, apply_steps(src.observe(obs_in, F.count(F.lit(1)).alias("rows")), spec.steps), spec)
+        rows_in = observed_rows(obs_in, src)
+    metrics = RunMetrics(rows_in=rows_in, rows_out=published.rows_written, write=published)
     if rules is not None and spec.gate == "report":
         written = read_table(spark, spec.target_path, spec.target_format)
         report = dq_report(checked(written), rules).collect()
@@ -168,7 +174,7 @@ def _run_with_quarantine(spark, spec: PipelineSpec, src: DataFrame, rules: DQRul
     jobs read that staged copy."""
     staged_path = scratch_path(spark, "etl-quarantine-stage")
     tagged = lambda df: tag_rows(apply_steps(df, spec.steps), spec.quarantine_rules)
-    staged_run = run_with_metrics(src, tagged, staged_path, mode="error", partition_cols=[STATUS])
+    staged_run = run_with_metrics(src, tagged, staged_path, exact_source_count=spec.exact_counts, mode="error", partition_cols=[STATUS])
     staged = spark.read.parquet(staged_path)
     clean = staged.filter(F.col(STATUS) == "clean").drop(STATUS, ERRORS)
     bad = staged.filter(F.col(STATUS) == "quarantine").drop(STATUS)

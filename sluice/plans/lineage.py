@@ -84,9 +84,18 @@ def run_with_metrics(
     source: DataFrame,
     transform: Callable[[DataFrame], DataFrame],
     path: str,
+    exact_source_count: bool = False,
     **write_args,
 ) -> RunMetrics:
-    """Observe rows at the source and at the sink in the one write job."""
+    """Observe rows at the source and at the sink in the one write job.
+
+    The sink count is observed in the result stage and is exact. The source count sits
+    before any shuffle of the steps; if an executor loss makes Spark re-run that stage, its
+    observation can count the re-run. ``exact_source_count=True`` counts the source in its
+    own job instead (for Parquet / ORC that reads only file footers)."""
+    if exact_source_count:
+        result = write_table(transform(source), path, **write_args)
+        return RunMetrics(rows_in=source.count(), rows_out=result.rows_written, write=result)
     obs_in = Observation("sluice_rows_in")
     observed = source.observe(obs_in, F.count(F.lit(1)).alias("rows"))
     result = write_table(transform(observed), path, **write_args)

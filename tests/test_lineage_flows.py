@@ -136,3 +136,14 @@ def test_etl_quarantines_broken_rows_and_publishes_the_rest(spark, scratch):
     errs = {r["id"]: r["_dq_errors"] for r in bad.collect()}
     assert errs[0] == ["x_present", "x_small"] and errs[299] == ["x_small"]
     assert res.quarantined.rows_written == bad.count()
+
+
+def test_exact_counts_option(spark, scratch):
+    src = staged(spark, scratch)
+    for stage in (False, True):
+        spec = PipelineSpec(source_path=src, target_path=scratch("exact"), steps=({"op": "deduplicate", "keys": ["id"]},),
+                            rules={"null_threshold": 0.05}, stage=stage, exact_counts=True)
+        res = run_etl(spark, spec)
+        assert (res.metrics.rows_in, res.metrics.rows_out) == (330, 300)
+    m = run_with_metrics(read_table(spark, src, "parquet"), lambda df: ops.dedupe(df, "id"), scratch("rm_exact"), exact_source_count=True)
+    assert (m.rows_in, m.rows_out) == (330, 300)
