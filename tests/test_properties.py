@@ -28,7 +28,7 @@ def _brute_dedupe(rows, keep_last=False):
     return sorted((r for _, r in best.values()), key=repr)
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=20, deadline=None, database=None)
 @given(rows_st, st.booleans())
 def test_dedupe_matches_brute_force(spark, rows, keep_last):
     df = spark.createDataFrame(rows, SCHEMA)
@@ -37,7 +37,7 @@ def test_dedupe_matches_brute_force(spark, rows, keep_last):
     assert got == _brute_dedupe(rows, keep_last)
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=20, deadline=None, database=None)
 @given(rows_st)
 def test_duplicates_and_null_rates_match_brute_force(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
@@ -52,7 +52,7 @@ def test_duplicates_and_null_rates_match_brute_force(spark, rows):
         assert rates[c]["passed"] == (nulls / max(len(rows), 1) <= 0.25)
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=20, deadline=None, database=None)
 @given(
     st.lists(st.tuples(small_int, st.integers(0, 9)), max_size=20),
     st.lists(st.tuples(small_int, st.integers(0, 9), st.integers(0, 3)), max_size=20),
@@ -72,7 +72,7 @@ def test_merge_matches_brute_force(spark, target, updates):
     assert got == sorted(expected, key=repr)
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=10, deadline=None, database=None)
 @given(rows_st, st.integers(1, 6), st.integers(1, 6))
 def test_survivors_do_not_depend_on_partitioning(spark, rows, n1, n2):
     """Recomputing a lost partition (any layout, any row order) yields the same survivors."""

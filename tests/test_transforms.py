@@ -90,7 +90,7 @@ def test_guarded_try_cast_equals_plain_try_cast(spark):
     pieces = st.sampled_from(["1", "2", "9", "0", "-", "+", ".", "e", "E", " ", "\t", "x", "１", "٣", ",", "NaN", "Inf", "9999999999", "1e400"])
     texts = st.one_of(st.none(), st.lists(pieces, max_size=6).map("".join), st.text(max_size=6))
 
-    @settings(max_examples=15, deadline=None)
+    @settings(max_examples=15, deadline=None, database=None)
     @given(st.lists(texts, min_size=1, max_size=40))
     def check(values):
         df = spark.createDataFrame([(v,) for v in values], "s string")
