@@ -3,14 +3,16 @@
 For each language a raw-content zstandard dictionary is cut from a bounded sample of its
 documents. A text is cut into pieces of at most ``piece_bytes``; each piece is compressed on
 its own with every dictionary, and the language whose dictionary gives the smallest total wins.
-(Without the pieces a long text would serve as its own dictionary.) When the two smallest
+(Without the pieces a long text would serve as its own dictionary.) Dictionaries and texts are
+lower-cased, and runs of ASCII characters that are no letters count as one space. Short texts
+are compressed at a higher level, which finds matches of three bytes. When the two smallest
 totals differ by less than ``min_margin`` of the second, the verdict is marked as not accepted.
 
 The sample is the only bounded part: at most ``sample_docs`` training rows per language, those with the
 smallest hash of the text, cut at ``dict_bytes`` bytes of dictionary. Every text is scored whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the
-language that comes first by code point; repeated rows get equal results; no training row at
+language with more training rows, then to the first by code point; repeated rows get equal results; no training row at
 all gives ``und`` for every text; an empty table gives an empty result.
 """
 
@@ -26,39 +28,46 @@ from pyspark.sql import functions as F
 from .common import col, slices
 
 LETTER = re.compile(r"[^\W\d_]")
+#: ASCII characters that are not letters, mapped to a space.
+TO_SPACE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
-def train_dictionaries(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 64, dict_bytes: int = 32 << 10, max_languages: int = 200) -> dict[str, bytes]:
-    """Language -> dictionary content. At most ``max_languages`` languages, the most frequent ones."""
+def letters(text: str) -> bytes:
+    """Lower-case letters with single spaces between, as UTF-8."""
+    return b" ".join(text.lower().encode().translate(TO_SPACE).split())
+
+
+def train_dictionaries(train: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 128, dict_bytes: int = 64 << 10, max_languages: int = 200) -> list[tuple[str, bytes]]:
+    """(language, dictionary content), the most frequent first; at most ``max_languages``."""
     rows = train.select(col(train, lang_col).alias("lang"), col(train, text_col).alias("text")).where("lang IS NOT NULL AND length(text) > 0")
-    # the part of a text that can enter the dictionary is all that moves
-    hashed = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, max(512, dict_bytes // sample_docs)).alias("text"))
-    top = hashed.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= sample_docs)
-    found: dict[str, list[bytes]] = {}
-    for r in top.orderBy("lang", "rank").collect():
-        found.setdefault(r["lang"], []).append(r["text"].encode())
-    names = sorted(found, key=lambda k: (-len(found[k]), k))[:max_languages]
     # an equal share of each sampled text, so that one long text does not fill the dictionary
-    out = {}
-    for name in sorted(names):
-        share = max(512, dict_bytes // len(found[name]))
-        out[name] = b"\n".join(t[:share] for t in found[name])[:dict_bytes]
-    return out
+    share = max(512, dict_bytes // sample_docs)
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, share).alias("text"))
+    names = [r["lang"] for r in hashed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    best = Window.partitionBy("lang").orderBy("h", "text")
+    found: dict[str, list[bytes]] = {n: [] for n in names}
+    for r in hashed.where(F.col("lang").isin(names)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= sample_docs).orderBy("lang", "rank").collect():
+        found[r["lang"]].append(letters(r["text"])[:share])
+    return [(n, b" ".join(found[n])[:dict_bytes]) for n in names]
 
 
 class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 1, piece_bytes: int = 2048):
-        self.names, self.piece = sorted(dictionaries), piece_bytes
-        self.coders = []
-        for n in self.names:
-            d = zstandard.ZstdCompressionDict(dictionaries[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.coders.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+    def __init__(self, dictionaries: list[tuple[str, bytes]], level: int = 5, short_level: int = 19, short_bytes: int = 256, piece_bytes: int = 2048):
+        self.names, self.piece, self.short = [n for n, _ in dictionaries], piece_bytes, short_bytes
+        self.coders = [self._coder(d, level) for _, d in dictionaries]
+        self.short_coders = [self._coder(d, short_level) for _, d in dictionaries]
+
+    @staticmethod
+    def _coder(content: bytes, level: int) -> zstandard.ZstdCompressor:
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def sizes(self, text: str) -> list[int]:
-        data = text.encode()
+        data = letters(text)
+        coders = self.short_coders if len(data) <= self.short else self.coders
         pieces = [data[i : i + self.piece] for i in range(0, len(data), self.piece)]
-        return [sum(len(c.compress(p)) for p in pieces) for c in self.coders]
+        return [sum(len(c.compress(p)) for p in pieces) for c in coders]
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and margin. Score: 0.5 at a tie, 1 at a margin of 20 % or more."""
@@ -69,15 +78,15 @@ class Classifier:
         if len(sizes) == 1:
             return self.names[best], 1.0, 1.0
         second = min(s for i, s in enumerate(sizes) if i != best)
-        margin = (second - sizes[best]) / second
+        margin = (second - sizes[best]) / max(1, second)
         return self.names[best], min(1.0, 0.5 + margin * 2.5), margin
 
 
-def predict_language(docs: DataFrame, dictionaries: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01, level: int = 1, piece_bytes: int = 2048) -> DataFrame:
+def predict_language(docs: DataFrame, dictionaries: list[tuple[str, bytes]], *, id_col: str = "doc_id", text_col: str = "text", min_margin: float = 0.01, level: int = 5, piece_bytes: int = 2048) -> DataFrame:
     """Per row: id, ``lang_pred``, ``score`` (0 to 1), ``margin`` and ``accepted``."""
 
     def predict(batches):
-        classifier = Classifier(dictionaries, level, piece_bytes)
+        classifier = Classifier(dictionaries, level, piece_bytes=piece_bytes)
         for batch in batches:
             for part in slices(batch, "text", 16 << 20):
                 got = [classifier.classify(t) for t in part.column("text").to_pylist()]

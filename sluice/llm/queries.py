@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import in_training
 from .langid import identify_languages
 from .mixing import mix_sources
+from .quality_gbt import classify_quality
 from .secrets import scan_secrets
 
 
@@ -23,6 +24,11 @@ def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    scored = classify_quality(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), train_where=in_training)
+    return scored.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted")
+
+
 def op8_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(_documents(spark, sf)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -33,5 +39,5 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_language, op8_mixing, op9_secrets)
+    for f in (op3_language, op7_quality, op8_mixing, op9_secrets)
 }
