@@ -48,3 +48,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+
+
+#: Space characters as a string, for trimming.
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def words_of(text: Column) -> Column:
+    """Array of the words of a text, by built-in functions; empty for a null or blank text."""
+    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE))
+
+
+def array_literal(numbers, kind: str = "int") -> Column:
+    """A constant array, folded to one literal by the optimizer (a subquery may not stand inside a lambda)."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of the value, which is computed once (a lambda's variable is never inlined)."""
+    return F.transform(F.array(value), body)[0]

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_training
+from .fingerprints import compare_fingerprints
 from .langid import identify_languages
 from .mixing import mix_sources
 from .quality_gbt import classify_quality
+from .quality_rules import apply_quality_rules
 from .secrets import scan_secrets
 
 
@@ -18,6 +20,10 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return apply_quality_rules(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+
+
 def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf)
     found = identify_languages(docs, in_training(docs["doc_id"]))
@@ -37,7 +43,11 @@ def op9_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return scan_secrets(_documents(spark, sf)).drop("found")
 
 
+def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return compare_fingerprints(_documents(spark, sf))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_language, op7_quality, op8_mixing, op9_secrets)
+    for f in (op2_quality_rules, op3_language, op7_quality, op8_mixing, op9_secrets, op10_fingerprints)
 }
