@@ -59,7 +59,7 @@ def mix_sources(
     max_repeats: int = 3,
     budget: float | None = None,
     seed: int = 17,
-    slot_rows: int = 50_000,
+    slot_rows: int = 4096,
 ) -> DataFrame:
     """One row per input row: ``row`` (a number), id, source, size, source_size, target, copies, taken."""
     sized = staged(

@@ -105,7 +105,7 @@ def ratio_model(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
 
 
 def apply_quality_rules(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", slot_bits: int = 17, threshold: float = -0.3,
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", slot_bits: int = 17, threshold: float = -0.15,
 ) -> DataFrame:
     """Per row: id, base counts, ``base_failed``, ``score`` (mean log ratio) and ``kept``."""
     marks = labels.groupBy(col(labels, id_col).alias("doc_id")).agg(F.min(col(labels, label_col)).alias("mark")).where("mark = 1")

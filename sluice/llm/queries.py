@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .quality_gbt import classify_quality
 from .quality_rules import apply_quality_rules
 from .secrets import scan_secrets
+from .substrings import remove_repeated_windows
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -30,6 +31,10 @@ def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeated_windows(_documents(spark, sf)).drop("intervals", "kept_text")
+
+
 def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
     scored = classify_quality(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"), train_where=in_training)
     return scored.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", "predicted")
@@ -49,5 +54,5 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op3_language, op7_quality, op8_mixing, op9_secrets, op10_fingerprints)
+    for f in (op2_quality_rules, op3_language, op6_substrings, op7_quality, op8_mixing, op9_secrets, op10_fingerprints)
 }
