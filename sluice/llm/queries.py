@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import in_training
 from .fingerprints import compare_fingerprints
+from .jaccard import jaccard_components
 from .langid import identify_languages
 from .mixing import mix_sources
 from .quality_gbt import classify_quality
@@ -31,6 +32,10 @@ def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op4_jaccard(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf))
+
+
 def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeated_windows(_documents(spark, sf)).drop("intervals", "kept_text")
 
@@ -54,5 +59,5 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op3_language, op6_substrings, op7_quality, op8_mixing, op9_secrets, op10_fingerprints)
+    for f in (op2_quality_rules, op3_language, op4_jaccard, op6_substrings, op7_quality, op8_mixing, op9_secrets, op10_fingerprints)
 }
