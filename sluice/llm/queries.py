@@ -12,6 +12,7 @@ from .fingerprints import compare_fingerprints
 from .jaccard import jaccard_components
 from .langid import identify_languages
 from .mixing import mix_sources
+from .packing import pack_documents
 from .quality_gbt import classify_quality
 from .quality_rules import apply_quality_rules
 from .secrets import scan_secrets
@@ -36,6 +37,10 @@ def op4_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf))
 
 
+def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf))
+
+
 def op6_substrings(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeated_windows(_documents(spark, sf)).drop("intervals", "kept_text")
 
@@ -59,5 +64,5 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op3_language, op4_jaccard, op6_substrings, op7_quality, op8_mixing, op9_secrets, op10_fingerprints)
+    for f in (op2_quality_rules, op3_language, op4_jaccard, op5_packing, op6_substrings, op7_quality, op8_mixing, op9_secrets, op10_fingerprints)
 }
