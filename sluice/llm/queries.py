@@ -17,12 +17,17 @@ from .quality_gbt import classify_quality
 from .quality_rules import apply_quality_rules
 from .secrets import scan_secrets
 from .substrings import remove_repeated_windows
+from .suffixes import remove_repeated_strings
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def op1_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeated_strings(_documents(spark, sf)).drop("kept")
+
+
 def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return apply_quality_rules(_documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
 
@@ -64,5 +69,5 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_quality_rules, op3_language, op4_jaccard, op5_packing, op6_substrings, op7_quality, op8_mixing, op9_secrets, op10_fingerprints)
+    for f in (op1_suffixes, op2_quality_rules, op3_language, op4_jaccard, op5_packing, op6_substrings, op7_quality, op8_mixing, op9_secrets, op10_fingerprints)
 }

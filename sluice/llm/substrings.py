@@ -44,10 +44,10 @@ class Windows:
 
 
 def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
-    """Flags of n words: inside some [start, start + width)."""
+    """Flags of n words: inside some [start, start + width). The starts are distinct."""
     steps = np.zeros(n + 1, np.int32)
-    np.add.at(steps, starts, 1)
-    np.add.at(steps, np.minimum(starts + width, n), -1)
+    steps[starts] += 1
+    steps[starts + width] -= 1
     return np.cumsum(steps[:-1]) > 0
 
 
