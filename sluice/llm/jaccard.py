@@ -36,11 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ANSWER, KEYS, NO_ID, Layout, bucket_slices, compress, decode_sorted, encode_sorted, joined, per_block, per_bucket, window_hashes, word_hashes
-from .common import staged
+from .common import col, staged
 
 KEY_BITS = 40
-MEASURED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("first", pa.bool_()), ("shared", pa.binary()), ("posted", pa.list_(pa.int64()))])
-MEASURED_SPARK = "doc_id long, n_shingles long, node binary, first boolean, shared binary, posted array<long>"
+MEASURED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("first", pa.bool_()), ("shared", pa.binary()), ("posted", pa.list_(pa.int64())), ("text_md5", pa.string())])
+MEASURED_SPARK = "doc_id long, n_shingles long, node binary, first boolean, shared binary, posted array<long>, text_md5 string"
 
 
 def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,20 +106,20 @@ def measure(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
         for d in range(len(texts)):
             s, e = int(at[d]), int(at[d + 1])
             n, own, rank = e - s, key[s:e], code[s:e]
-            row = None if ids[d] == NO_ID else int(ids[d])
+            row, text = None if ids[d] == NO_ID else int(ids[d]), hashlib.md5(texts[d]).hexdigest()
             shared = own[rank > 1]
             # the lone shingles stand first in the order
             if n == 0 or n - len(shared) >= prefix_length(n, percent):
-                yield row, n, None, False, None, None
+                yield row, n, None, False, None, None, text
                 continue
             node = hashlib.md5(own.tobytes()).digest()
             if node in seen:
-                yield row, n, node, False, None, None
+                yield row, n, node, False, None, None, text
                 continue
             seen.add(node)
             order = np.lexsort((own, rank))[: prefix_length(n, percent)]
             posted = own[order][rank[order] > 1]
-            yield row, n, node, True, shared.tobytes(), posted.view(np.int64).tolist()
+            yield row, n, node, True, shared.tobytes(), posted.view(np.int64).tolist(), text
 
     rows = layout.pack(docs, id_col, text_col)
     sent = per_block(rows, send)
@@ -215,7 +215,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def jaccard_components(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, piece: int = 512, block_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20,
 ) -> DataFrame:
-    """Per row: id, ``n_shingles`` and ``component_id``, the smallest id that links reach."""
+    """Per row: id, ``n_shingles`` and ``component_id``, the smallest id that links reach; ``class_key``, the same for
+    the rows of a component and null for rows that cannot have a link; ``text_md5``, of the text's UTF-8."""
     measured = measure(docs, id_col, text_col, width, percent, block_bytes, bucket_bytes)
     firsts = measured.where("first")
     nodes = staged(firsts.groupBy("node").agg(F.max("n_shingles").alias("n")), "jaccard-nodes")
@@ -271,7 +272,29 @@ def jaccard_components(
 
     member = measured.where("node IS NOT NULL").select("doc_id", "node").join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node")).select("comp", "node", "doc_id")
     smallest = member.groupBy("comp").agg(F.min("doc_id").alias("least"))
-    by_node = comp.join(smallest.withColumnRenamed("comp", "s_comp"), F.col("comp") == F.col("s_comp")).select(F.col("node").alias("r_node"), "least")
-    return measured.select("doc_id", "n_shingles", "node").join(by_node, F.col("node") == F.col("r_node"), "left").select(
-        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")
+    by_node = comp.join(smallest.withColumnRenamed("comp", "s_comp"), F.col("comp") == F.col("s_comp")).select(F.col("node").alias("r_node"), "least", F.col("comp").alias("class_key"))
+    return measured.select("doc_id", "n_shingles", "node", "text_md5").join(by_node, F.col("node") == F.col("r_node"), "left").select(
+        "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "class_key", "text_md5"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, one of each component: the smallest id, then the smallest text hash; rows without a shingle all stay."""
+    found = staged(jaccard_components(docs, id_col=id_col, text_col=text_col, **options).where("class_key IS NOT NULL").select("doc_id", "text_md5", "class_key"), "jaccard-classes")
+    stays = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("w")).select(F.col("class_key").alias("w_key"), F.col("w.doc_id").alias("w_id"), F.col("w.text_md5").alias("w_md5"))
+    goes = found.join(stays, F.col("class_key") == F.col("w_key")).where(~(F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_md5") == F.col("w_md5")))).select(F.col("doc_id").alias("g_id"), F.col("text_md5").alias("g_md5")).distinct()
+    twice = found.groupBy(F.col("doc_id").alias("g_id"), F.col("text_md5").alias("g_md5")).count().where("count > 1").drop("count")
+    return _once(without(docs, goes, id_col, text_col), staged(twice, "jaccard-repeats"), id_col, text_col)
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:
+    """The rows whose (id, md5 of the text) is not among ``keys`` (g_id, g_md5)."""
+    key = col(docs, id_col).cast("long").eqNullSafe(keys["g_id"]) & (F.md5(F.coalesce(col(docs, text_col), F.lit("")).cast("binary")) == keys["g_md5"])
+    return docs.join(keys, key, how)
+
+
+def _once(docs: DataFrame, twice: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows with the same id and text, where there are any, once."""
+    if twice.isEmpty():
+        return docs
+    return without(docs, twice, id_col, text_col).unionByName(without(docs, twice, id_col, text_col, "left_semi").dropDuplicates([id_col, text_col]))

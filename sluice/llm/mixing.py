@@ -61,12 +61,13 @@ def mix_sources(
     seed: int = 17,
     slot_rows: int = 4096,
 ) -> DataFrame:
-    """One row per input row: ``row`` (a number), id, source, size, source_size, target, copies, taken."""
+    """One row per input row: ``row`` (a number), id, source, size, source_size, target, copies, taken, text_md5."""
     sized = staged(
         docs.select(
             col(docs, id_col).alias("doc_id"),
             col(docs, source_col).alias("source"),
             F.coalesce(F.regexp_count(col(docs, text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.md5(F.coalesce(col(docs, text_col), F.lit("")).cast("binary")).alias("text_md5"),
         ).withColumn("row", F.monotonically_increasing_id()),
         "mix-sizes",
     )
@@ -119,6 +120,20 @@ def mix_sources(
         sized.join(sources, same).join(taken, F.col("row") == F.col("t_row"), "left")
         .select(
             "row", "doc_id", sized["source"].alias("source"), "size", "source_size", "target",
-            F.coalesce("n", F.lit(0)).cast("int").alias("copies"), F.coalesce("words", F.lit(0)).alias("taken"),
+            F.coalesce("n", F.lit(0)).cast("int").alias("copies"), F.coalesce("words", F.lit(0)).alias("taken"), "text_md5",
         )
     )
+
+
+def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them. Rows with one id and text count as one document, which
+    appears as often as they are taken together."""
+    mixed = staged(mix_sources(docs, id_col=id_col, text_col=text_col, **options), "mix-result")
+    keys = mixed.groupBy(F.col("doc_id").alias("g_id"), F.col("text_md5").alias("g_md5")).agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows"))
+    keys = staged(keys, "mix-copies")
+    if not keys.where("_rows > 1").isEmpty():
+        docs = docs.dropDuplicates([id_col, text_col])
+    taken = keys.where("_copies > 0").drop("_rows")
+    same = col(docs, id_col).cast("long").eqNullSafe(taken["g_id"]) & (F.md5(F.coalesce(col(docs, text_col), F.lit("")).cast("binary")) == taken["g_md5"])
+    joined = docs.join(taken, same)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[col(docs, c) for c in docs.columns])

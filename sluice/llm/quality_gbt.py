@@ -151,3 +151,17 @@ def classify_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     measured = staged(document_statistics(docs, id_col=id_col, text_col=text_col), "quality-statistics")
     model = train_quality(measured, labels, train_where=train_where(measured["doc_id"]) if train_where else None, **options)
     return score_quality(measured, model, threshold)
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_where=None, threshold: float = 0.3, **options) -> DataFrame:
+    """The rows of ``docs`` whose score is at least the threshold, with all their columns."""
+    measured = staged(document_statistics(docs, id_col=id_col, text_col=text_col), "quality-statistics")
+    model = train_quality(measured, labels, train_where=train_where(measured["doc_id"]) if train_where else None, **options)
+    place = docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            x = np.array([statistics(t) for t in texts_of(batch.column(place))]).reshape(-1, len(STATISTICS))
+            yield batch.filter(pa.array(model.predict(x) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -39,7 +39,7 @@ def op3_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard_components(_documents(spark, sf))
+    return jaccard_components(_documents(spark, sf)).select("doc_id", "n_shingles", "component_id")
 
 
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
