@@ -21,6 +21,10 @@ from sluice.quality.rules import DQ_SUITE_RULES
 DEFAULT_STEPS = ["deduplicate", "cast_types", "fill_nulls", "add_audit_columns"]
 
 
+def _pairs(options: list[str]) -> dict[str, str]:
+    return dict(o.split("=", 1) for o in options)
+
+
 def _csv(text: str | None) -> list[str]:
     return [t for t in (text or "").split(",") if t]
 
@@ -90,8 +94,18 @@ def build_parser() -> argparse.ArgumentParser:
     run.add_argument("--derive", help='JSON, e.g. {"date": "to_date(event_ts)"}')
     run.add_argument("--source-name", default="sluice")
     run.add_argument("--merge-keys")
+    run.add_argument("--merge-order-by", help="update columns; of several updates of a key the largest wins")
+    run.add_argument("--merge-delete-col", help="boolean update column: true deletes the key")
+    run.add_argument("--keys-stay", action="store_true", help="keys never change their partition (skips looking for them)")
+    run.add_argument("--gate-on", default="dq_score", choices=["dq_score", "all_checks"])
+    run.add_argument("--schema", help="DDL schema of the source; without it CSV and JSON types are inferred in an extra pass")
+    run.add_argument("--sampling-ratio", type=float, help="share of the rows that type inference reads")
+    run.add_argument("--merge-schema", action="store_true", help="parquet / orc: union of the files' schemas")
+    run.add_argument("--source-option", action="append", default=[], metavar="NAME=VALUE")
+    run.add_argument("--target-option", action="append", default=[], metavar="NAME=VALUE")
+    run.add_argument("--corrupt-path", help="malformed CSV / JSON records go there (needs --schema)")
     run.add_argument("--gate", default="block", choices=["block", "report", "off"])
-    run.add_argument("--stage", action="store_true", help="stage the cleaned table once before the gate")
+    run.add_argument("--stage", action=argparse.BooleanOptionalAction, help="stage the cleaned table once before the gate (default: if a step shuffles)")
     run.add_argument("--no-dq", action="store_true")
     dq_flags(run)
 
@@ -141,6 +155,16 @@ def main(argv: list[str] | None = None, spark=None) -> dict:
             gate=args.gate,
             stage=args.stage,
             merge_keys=tuple(_csv(args.merge_keys)),
+            merge_order_by=tuple(_csv(args.merge_order_by)),
+            merge_delete_col=args.merge_delete_col,
+            keys_may_move=not args.keys_stay,
+            gate_on=args.gate_on,
+            source_schema=args.schema,
+            source_options=_pairs(args.source_option),
+            target_options=_pairs(args.target_option),
+            merge_schema=args.merge_schema,
+            sampling_ratio=args.sampling_ratio,
+            corrupt_path=args.corrupt_path,
         )
         res = run_etl(spark, spec)
         out = {

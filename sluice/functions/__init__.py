@@ -1,12 +1,14 @@
 from sluice.functions.columns import (
     as_list,
     day_bucket,
-    epoch_micros,
     event_time,
     hour_bucket,
     is_ntz,
     key_struct,
+    micros_between,
+    named,
     null_count,
+    quoted,
     require_columns,
     require_orderable,
     try_cast_col,
@@ -17,12 +19,14 @@ from sluice.functions.columns import (
 __all__ = [
     "as_list",
     "day_bucket",
-    "epoch_micros",
     "event_time",
     "hour_bucket",
     "is_ntz",
     "key_struct",
+    "micros_between",
+    "named",
     "null_count",
+    "quoted",
     "require_columns",
     "require_orderable",
     "try_cast_col",

@@ -17,6 +17,16 @@ def as_list(cols: str | Iterable[str] | None) -> list[str]:
     return list(cols)
 
 
+def quoted(name: str) -> str:
+    """A column name as one identifier: dots and backticks in it are part of the name."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(name: str) -> Column:
+    """The column of exactly this name (``F.col`` would read a dot as a struct field)."""
+    return F.col(quoted(name))
+
+
 def require_columns(df: DataFrame, cols: Sequence[str], what: str = "column") -> None:
     """Raise before any job runs when a named column is missing."""
     missing = [c for c in cols if c not in df.columns]
@@ -43,7 +53,7 @@ def require_orderable(df: DataFrame, cols: Sequence[str], what: str) -> None:
 
 def null_count(c: str) -> Column:
     """Number of SQL NULLs in a column (NaN and '' are values, not nulls)."""
-    return F.count_if(F.col(c).isNull())
+    return F.count_if(named(c).isNull())
 
 
 def key_struct(keys: Sequence[str]) -> Column:
@@ -52,7 +62,7 @@ def key_struct(keys: Sequence[str]) -> Column:
     ``count(DISTINCT struct(k...))`` counts a NULL key once, the way ``dropDuplicates`` does,
     whereas ``count(DISTINCT k)`` would skip it.
     """
-    return F.struct(*[F.col(k) for k in keys])
+    return F.struct(*[named(k) for k in keys])
 
 
 def is_ntz(df: DataFrame, c: str) -> bool:
@@ -63,8 +73,8 @@ def event_time(df: DataFrame, c: str) -> Column:
     """Column ``c`` as a session-zone TIMESTAMP; watermarks reject TIMESTAMP_NTZ."""
     dt = df.schema[c].dataType
     if isinstance(dt, T.TimestampType):
-        return F.col(c)
-    return F.col(c).cast("timestamp")
+        return named(c)
+    return named(c).cast("timestamp")
 
 
 def ts_literal_like(df: DataFrame, c: str, value: str) -> Column:
@@ -74,15 +84,25 @@ def ts_literal_like(df: DataFrame, c: str, value: str) -> Column:
 
 def hour_bucket(c: str) -> Column:
     """Hour of an event as text, e.g. ``2024-01-05-13`` (a path-safe partition value)."""
-    return F.date_format(F.col(c), "yyyy-MM-dd-HH")
+    return _time_text(c, 13)
 
 
 def day_bucket(c: str) -> Column:
-    return F.date_format(F.col(c), "yyyy-MM-dd")
+    return _time_text(c, 10)
+
+
+def _time_text(c: str, chars: int) -> Column:
+    """``yyyy-MM-dd[-HH]`` of a time column. The text of a value is its wall clock (an NTZ value's own,
+    a TIMESTAMP's in the session zone); no cast between the two shifts an hour that the zone skips."""
+    return F.replace(F.substring(named(c).cast("timestamp_ntz").cast("string"), 1, chars), F.lit(" "), F.lit("-"))
 
 
-def epoch_micros(col: Column) -> Column:
-    return F.unix_micros(col.cast("timestamp"))
+def micros_between(later: Column, earlier: Column) -> Column:
+    """Microseconds from ``earlier`` to ``later``, both of one type. NTZ values are compared as wall
+    clocks: their difference does not pass through the session zone."""
+    d = later - earlier
+    parts = {"DAY": 86_400_000_000, "HOUR": 3_600_000_000, "MINUTE": 60_000_000, "SECOND": 1_000_000}
+    return sum((F.extract(F.lit(u), d).cast("decimal(20,6)") * F.lit(m) for u, m in parts.items()), F.lit(0)).cast("bigint")
 
 
 _DIGIT_GUARDED = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
@@ -97,12 +117,12 @@ def try_cast_col(df: DataFrame, c: str, target: str | T.DataType) -> Column:
     non-ASCII digits ``BigDecimal`` accepts), so strings without one are NULL up front; the
     result is identical to a plain ``try_cast``.
     """
-    out = F.col(c).try_cast(target)
+    out = named(c).try_cast(target)
     src = df.schema[c].dataType
     if isinstance(src, T.StringType):
         dst = df.select(out.alias("_t")).schema[0].dataType
         if isinstance(dst, _DIGIT_GUARDED):
-            return F.when(F.col(c).rlike(r"\p{Nd}"), out)
+            return F.when(named(c).rlike(r"\p{Nd}"), out)
     return out
 
 

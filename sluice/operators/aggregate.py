@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions import as_list, require_columns
+from sluice.functions import as_list, named, require_columns
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -40,5 +40,5 @@ def aggregate_by_keys(
     if unknown:
         raise ValueError(f"unknown statistics {unknown}; known: {sorted(fns)}")
     aggs = [F.count(F.lit(1)).alias("row_count")]
-    aggs += [fns[s](F.col(m)).alias(f"{s}_{m}") for m in measures for s in stats]
-    return df.groupBy(*keys).agg(*aggs)
+    aggs += [fns[s](named(m)).alias(f"{s}_{m}") for m in measures for s in stats]
+    return df.groupBy(*[named(k) for k in keys]).agg(*aggs)

@@ -49,5 +49,9 @@ def apply_steps(df: DataFrame, steps: Sequence[str | Mapping[str, Any]]) -> Data
     return df
 
 
+def step_name(step: str | Mapping[str, Any]) -> str:
+    return _parse(step)[0]
+
+
 def step_names(steps: Sequence[str | Mapping[str, Any]]) -> list[str]:
-    return [_parse(s)[0] for s in steps]
+    return [step_name(s) for s in steps]

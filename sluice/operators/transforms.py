@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions import require_columns, try_cast_col, typed_literal
+from sluice.functions import named, require_columns, try_cast_col, typed_literal
 
 # ---------------------------------------------------------------- T2 fill nulls
 
@@ -53,7 +53,7 @@ def fill_nulls(df: DataFrame, values: Mapping[str, object] | None = None) -> Dat
         dt = df.schema[c].dataType
         if v is None or not _fill_value_fits(dt, v):
             raise TypeError(f"cannot fill column {c!r} of type {dt.simpleString()} with {v!r}")
-        fills[c] = F.coalesce(F.col(c), typed_literal(v, dt))
+        fills[c] = F.coalesce(named(c), typed_literal(v, dt))
     return df.withColumns(fills)
 
 
@@ -65,7 +65,7 @@ def cast_types(df: DataFrame, types: Mapping[str, str | T.DataType], strict: boo
     ``strict=True`` uses ``cast``, which raises under ANSI mode."""
     require_columns(df, list(types), "cast column")
     if strict:
-        return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
+        return df.withColumns({c: named(c).cast(t) for c, t in types.items()})
     return df.withColumns({c: try_cast_col(df, c, t) for c, t in types.items()})
 
 
@@ -76,8 +76,8 @@ def cast_failures(df: DataFrame, types: Mapping[str, str | T.DataType]) -> DataF
     """
     require_columns(df, list(types), "cast column")
     names = list(types)
-    target_names = {f.name: f.dataType.simpleString() for f in df.select(*[F.col(c).try_cast(t).alias(c) for c, t in types.items()]).schema.fields}
-    aggs = [F.count_if(F.col(c).isNotNull() & try_cast_col(df, c, t).isNull()).alias(f"_f{i}") for i, (c, t) in enumerate(types.items())]
+    target_names = {f.name: f.dataType.simpleString() for f in df.select(*[named(c).try_cast(t).alias(c) for c, t in types.items()]).schema.fields}
+    aggs = [F.count_if(named(c).isNotNull() & try_cast_col(df, c, t).isNull()).alias(f"_f{i}") for i, (c, t) in enumerate(types.items())]
     aggs.append(F.count(F.lit(1)).alias("_rows"))
     one = df.agg(*aggs)
     rows = F.array(*[
@@ -119,7 +119,7 @@ def migrate_schema(
     for f in target.fields:
         src = source_of.get(f.name, f.name)
         if src in df.columns:
-            c = F.col(src)
+            c = named(src)
             if df.schema[src].dataType != f.dataType:
                 c = c.cast(f.dataType) if strict else try_cast_col(df, src, f.dataType)
         elif f.name in defaults:
@@ -140,4 +140,4 @@ def derive_columns(df: DataFrame, exprs: Mapping[str, str | Column]) -> DataFram
 
 def select_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     require_columns(df, cols)
-    return df.select(*cols)
+    return df.select(*[named(c) for c in cols])

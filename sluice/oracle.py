@@ -1,12 +1,11 @@
 """DuckDB SQL equal in meaning to each registered query (see ``sluice.queries``).
 
-Column names and types are aliased / cast to match the Spark results exactly. The one query
-whose values depend on Spark's physical layout (``partition_skew``: rows per hash partition)
-has no SQL here and gets the driver's rows-only check.
+Column names and types are aliased / cast to match the Spark results exactly. 
 """
 
 from __future__ import annotations
 
+from sluice.operators.layout import LARGEST_TIER_PARTITIONS, SIZE_TIERS, TARGET_PARTITION_BYTES
 from sluice.queries import AS_OF, AS_OF_STALE, EVENT_COLS, LINEITEM_COLS, LINEITEM_KEYS, ORDER_COLS
 
 EVENTS_NULLS = """events_nulls AS (
@@ -67,7 +66,7 @@ def _report_sql(thr: float, with_acceptance: bool) -> str:
     fails = _fails(cols, thr)
     all_ok = f"({fails} = 0 AND _rows - _distinct = 0 AND {_fresh(AS_OF, 2)}"
     if with_acceptance:
-        all_ok += " AND _rows >= 1000"
+        all_ok += " AND _rows >= 1000 AND false"  # value is no decimal(12,2)
     all_ok += ")"
 
     def row(check, column, observed, threshold, passed):
@@ -81,6 +80,7 @@ def _report_sql(thr: float, with_acceptance: bool) -> str:
     if with_acceptance:
         rows.append(row("min_rows", None, "_rows", 1000.0, "_rows >= 1000"))
         rows.append(row("expected_columns", None, "0", 0.0, "true"))
+        rows.append(row("schema_drift", "value", "1", 0.0, "false"))
     rows.append(row("dq_score", None, _score(fails), None, f"{fails} = 0"))
     rows.append(row("all_checks", None, "_rows", None, all_ok))
     return (
@@ -101,7 +101,7 @@ def _expectations_sql() -> str:
     rows += [row(f"null_rate:{c}", f"{_rate(i)} <= {thr}", f"round({_rate(i)}, 6)", thr) for i, c in enumerate(cols)]
     rows.append(row("duplicates:event_id", "_rows - _distinct = 0", "_rows - _distinct", 0))
     rows.append(row("freshness:ts", _fresh(AS_OF, 2), f"round({_lag(AS_OF)}, 6)", 2))
-    all_ok = f"({fails} = 0 AND _rows - _distinct = 0 AND {_fresh(AS_OF, 2)} AND _rows >= 1000)"
+    all_ok = f"({fails} = 0 AND _rows - _distinct = 0 AND {_fresh(AS_OF, 2)} AND _rows >= 1000 AND false)"  # the drift of value
     rows.append(row("all", all_ok, "NULL", None))
     return f"WITH {EVENTS_NULLS}, p AS ({_one_pass('events_nulls', cols, 'event_id', 'ts')})\n" + "\nUNION ALL\n".join(rows)
 
@@ -206,7 +206,7 @@ def _quarantine_sql() -> str:
         "CASE WHEN user_id IS NULL THEN 'user_id_not_null' END, "
         "CASE WHEN NOT coalesce(value <= 400, false) THEN 'value_in_range' END)"
     )
-    return f"WITH {EVENTS_NULLS}\nSELECT * FROM (SELECT *, {errs} AS dq_errors FROM events_nulls) WHERE dq_errors <> ''"
+    return f"WITH {EVENTS_NULLS}\nSELECT *, CASE WHEN dq_errors = '' THEN 'clean' ELSE 'quarantine' END AS status FROM (SELECT *, {errs} AS dq_errors FROM events_nulls)"
 
 
 def _agg_sql() -> str:
@@ -216,8 +216,8 @@ def _agg_sql() -> str:
         parts += [
             f"CAST(sum({d}) AS DECIMAL(18,2)) AS sum_{m}",
             f"round(CAST(avg({d}) AS DOUBLE), 6) AS avg_{m}",
-            f"min({d}) AS min_{m}",
-            f"max({d}) AS max_{m}",
+            f"CAST(min({d}) AS DECIMAL(18,2)) AS min_{m}",
+            f"CAST(max({d}) AS DECIMAL(18,2)) AS max_{m}",
         ]
     return f"SELECT {', '.join(parts)} FROM lineitem GROUP BY l_returnflag, l_linestatus"
 
@@ -263,6 +263,22 @@ def _csv_inferred_sql() -> str:
     )
 
 
+def _case_sql(part: str, raised: str) -> str:
+    """orders with a partition column; the price of some rows raised by one."""
+    return (
+        f"SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN {raised} THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, "
+        f"o_orderdate, o_orderpriority, p FROM (SELECT *, {part} AS p FROM orders)"
+    )
+
+
+def _layout_sql() -> str:
+    tiers = " ".join(f"WHEN total_bytes < {limit} THEN {parts}" for limit, parts in SIZE_TIERS)
+    return (
+        "WITH s AS (SELECT o_orderkey, CAST(step AS INTEGER) AS step, CAST(floor(o_totalprice) AS BIGINT) * CAST(pow(100, step) AS BIGINT) AS total_bytes FROM orders, range(5) t(step))\n"
+        f"SELECT o_orderkey, step, total_bytes, CAST(greatest(CASE {tiers} ELSE {LARGEST_TIER_PARTITIONS} END, ceil(total_bytes / CAST({TARGET_PARTITION_BYTES} AS DOUBLE))) AS INTEGER) AS partitions FROM s"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     etl = _chain_sql("etl", True).replace(
         "'etl' AS _source, true AS has_ingestion_ts", "'etl' AS _source, CAST(ts AS DATE) AS date, true AS has_ingestion_ts"
@@ -285,6 +301,7 @@ def oracle_sql() -> dict[str, str]:
             "o_totalprice, o_orderpriority AS priority, 'migrated' AS note FROM orders"
         ),
         "repartition_rows": "SELECT * FROM orders",
+        "partition_skew": "SELECT CAST(8 AS BIGINT) AS partitions, count(*) AS total_rows, true AS none_empty FROM orders",
         "dq_null_rates": _null_rates_sql(),
         "dq_duplicates": (
             f"WITH {EVENTS_NULLS}, p AS (SELECT count(*) AS _rows, count(DISTINCT user_id) + max(CASE WHEN user_id IS NULL THEN 1 ELSE 0 END) AS _distinct FROM events_nulls)\n"
@@ -310,7 +327,7 @@ def oracle_sql() -> dict[str, str]:
             "o_orderdate, o_orderpriority FROM orders"
         ),
         "partition_manifest": "SELECT 'event_type=' || event_type AS partition, count(*) AS rows FROM events GROUP BY event_type",
-        "write_metrics": "SELECT count(*) AS rows_written, true AS has_files, true AS has_bytes FROM events",
+        "write_metrics": "SELECT count(*) AS rows_written, true AS files_agree, true AS bytes_agree FROM events",
         "scan_csv": "SELECT * FROM orders",
         "scan_csv_inferred": _csv_inferred_sql(),
         "scan_parquet_merged": "SELECT *, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'late' END AS note FROM orders",
@@ -320,15 +337,38 @@ def oracle_sql() -> dict[str, str]:
             "SELECT * FROM (VALUES ('csv', CAST(2 AS BIGINT), true), ('json', CAST(2 AS BIGINT), true), "
             "('orc', CAST(2 AS BIGINT), true), ('parquet', CAST(2 AS BIGINT), true)) t(format, files, has_bytes)"
         ),
-        # the given table is one parquet file of a few MB: the smallest size tier (50 partitions)
-        "sink_layout": "SELECT CAST(1 AS BIGINT) AS files, 50 AS partitions, true AS has_bytes",
+        "sink_layout": _layout_sql(),
         "lineage_edges": _lineage_edges_sql(),
         "lineage_nodes": _lineage_nodes_sql(),
         "run_metrics": _run_metrics_sql(),
         "etl_flow": etl,
-        "dq_suite": _report_sql(0.005, with_acceptance=False),
+        "dq_suite": f"SELECT r.*, u.run_id FROM ({_report_sql(0.005, with_acceptance=False)}) r, (VALUES ('first'), ('second')) u(run_id)",
         "stream_ingest_hourly": "SELECT *, strftime(ts, '%Y-%m-%d-%H') AS hour FROM events",
         "stream_dedupe": "SELECT * FROM events",
+        "merge_zero_padded": _case_sql("strftime(o_orderdate, '%m')", "p <= '03'"),
+        "merge_null_partition": _case_sql("CASE WHEN o_orderpriority <> '1-URGENT' THEN substring(o_orderpriority, 1, 1) END", "o_orderkey % 3 = 0 AND coalesce(p < '3', true)"),
+        "merge_moved_keys": (
+            "SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'O' THEN 'F' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority, "
+            "CASE o_orderstatus WHEN 'O' THEN 'F' ELSE o_orderstatus END AS p FROM orders"
+        ),
+        "etl_upsert": (
+            "SELECT o_orderkey, o_custkey, CASE WHEN late THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice + CASE WHEN late THEN 3 ELSE 1 END AS o_totalprice, "
+            "o_orderdate, o_orderpriority FROM (SELECT *, o_orderdate >= TIMESTAMP '2000-01-01' AS late FROM orders)"
+        ),
+        "csv_bad_rows": "SELECT o_orderkey, o_orderkey % 100 <> 0 AS good FROM orders",
+        "etl_delimited": "SELECT * FROM orders",
+        "etl_merge_schema": "SELECT *, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'late' END AS note FROM orders",
+        "etl_cast_losses": (
+            f"WITH {_cast_input()}, n AS (SELECT count(*) FILTER (WHERE TRY_CAST(prio_code AS INTEGER) IS NULL AND prio_code IS NOT NULL) AS a, "
+            "count(*) FILTER (WHERE TRY_CAST(prio_word AS INTEGER) IS NULL AND prio_word IS NOT NULL) AS b, count(*) AS c FROM oc)\n"
+            "SELECT 'cast_loss' AS \"check\", 'prio_code' AS column_name, a AS observed, a = 0 AS passed FROM n\n"
+            "UNION ALL SELECT 'cast_loss', 'prio_word', b, b = 0 FROM n\n"
+            "UNION ALL SELECT 'all_checks', NULL, c, a = 0 AND b = 0 FROM n"
+        ),
+        "stream_kafka_json": (
+            "SELECT event_id AS message, CASE WHEN ok THEN event_id END AS event_id, CASE WHEN ok THEN ts END AS ts, CASE WHEN ok THEN user_id END AS user_id, "
+            "CASE WHEN ok THEN event_type END AS event_type, CASE WHEN ok THEN value END AS value, NOT ok AS corrupt FROM (SELECT *, event_id % 100 <> 0 AS ok FROM events)"
+        ),
         "stream_transform_chain": (
             f"WITH {EVENTS_NULLS}\nSELECT event_id, ts, coalesce(user_id, -1) AS user_id, event_type, coalesce(value, CAST(0 AS DOUBLE)) AS value, "
             "props, 'stream' AS _source, true AS has_ingestion_ts FROM events_nulls"

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sluice.sinks.writer import WriteResult, write_table
+from sluice.sinks.writer import WriteResult, observed, write_table
 
 SOURCE_FILE = "_source_file"
 
@@ -105,11 +105,8 @@ def run_with_metrics(
 def observed_rows(obs: Observation, source: DataFrame) -> int:
     """The observed row count. When the optimizer removed the observed node (the steps
     folded to an empty result, so the source was never scanned), count the source instead."""
-    try:
-        rows = obs.get.get("rows")
-    except Exception:  # noqa: BLE001 - Spark raises when the observed node never ran
-        rows = None
-    return int(rows) if rows is not None else source.count()
+    rows = observed(obs, missing=None)
+    return rows if rows is not None else source.count()
 
 
 def metrics_frame(spark, m: RunMetrics) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions import epoch_micros, key_struct, null_count, require_columns, ts_literal_like
+from sluice.functions import key_struct, micros_between, named, null_count, require_columns, ts_literal_like
 from sluice.quality.rules import DQRules
 
 MICROS_PER_HOUR = 3_600_000_000
@@ -51,7 +51,7 @@ class _Pass:
         aggs += [null_count(c).alias(f"_n{i}") for i, c in enumerate(self.null_cols)]
         if rules.freshness_hours is not None:
             require_columns(df, [rules.freshness_column], "freshness column")
-            aggs.append(F.max(rules.freshness_column).alias("_max_ts"))
+            aggs.append(F.max(named(rules.freshness_column)).alias("_max_ts"))
         one = df.agg(*aggs)
         if rules.dupe_check:
             require_columns(df, self.keys, "duplicate key")
@@ -90,7 +90,7 @@ class _Pass:
 
     def lag_hours(self) -> Column:
         as_of = ts_literal_like(self.df, self.rules.freshness_column, str(self.rules.as_of))
-        return ((epoch_micros(as_of) - epoch_micros(F.col("_max_ts"))) / F.lit(MICROS_PER_HOUR)).cast("double")
+        return (micros_between(as_of, F.col("_max_ts")) / F.lit(MICROS_PER_HOUR)).cast("double")
 
     def fresh(self) -> Column:
         # NULL max (empty table) is not fresh.
@@ -106,8 +106,16 @@ class _Pass:
             ok = ok & (self.rows >= F.lit(self.rules.min_rows))
         if self.rules.expected_columns is not None:
             ok = ok & F.lit(not self.missing_columns())
+        if self.rules.expected_schema is not None:
+            ok = ok & F.lit(not self.drifted_columns())
         return ok
 
+    def drifted_columns(self) -> list[str]:
+        """Columns added, removed or of another type, in the order of the expected schema."""
+        wanted = {f.name: f.dataType for f in self.rules.expected_schema.fields}
+        actual = {f.name: f.dataType for f in self.df.schema.fields}
+        return [c for c in [*wanted, *(c for c in actual if c not in wanted)] if wanted.get(c) != actual.get(c)]
+
     def missing_columns(self) -> list[str]:
         return [c for c in (self.rules.expected_columns or ()) if c not in self.df.columns]
 
@@ -216,6 +224,9 @@ def dq_report(df: DataFrame, rules: DQRules | Mapping[str, Any] | None = None) -
     if r.expected_columns is not None:
         missing = p.missing_columns()
         rows.append(_report_row("expected_columns", ",".join(missing) or None, F.lit(len(missing)), 0.0, F.lit(not missing)))
+    if r.expected_schema is not None:
+        drifted = p.drifted_columns()
+        rows.append(_report_row("schema_drift", ",".join(drifted) or None, F.lit(len(drifted)), 0.0, F.lit(not drifted)))
     rows.append(_report_row("dq_score", None, p.score(), None, p.null_failures() == 0))
     rows.append(_report_row("all_checks", None, p.rows, None, p.all_passed()))
     return _long(p.one, rows)
@@ -289,7 +300,7 @@ def schema_drift(df: DataFrame, expected: T.StructType) -> DataFrame:
     names = list(wanted) + [c for c in actual if c not in wanted]
     added = [c for c in actual if c not in wanted]
     if added:
-        base = df.agg(*[F.count(F.col(c)).alias(f"_nn{i}") for i, c in enumerate(added)])
+        base = df.agg(*[F.count(named(c)).alias(f"_nn{i}") for i, c in enumerate(added)])
     else:
         base = df.sparkSession.range(1)
     structs = []

@@ -12,13 +12,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.functions import named
 
 ERRORS = "_dq_errors"
 STATUS = "_dq_status"
 
 
 def not_null_rules(cols: Sequence[str]) -> dict[str, Column]:
-    return {f"{c}_not_null": F.col(c).isNotNull() for c in cols}
+    return {f"{c}_not_null": named(c).isNotNull() for c in cols}
 
 
 def _cond(c: str | Column) -> Column:

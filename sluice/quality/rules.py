@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as _dt
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, fields
 from typing import Any
 
+from pyspark.sql import types as T
+
 
 @dataclass(frozen=True)
 class DQRules:
@@ -16,6 +18,7 @@ class DQRules:
     ``dupe_check`` / ``dupe_keys``: duplicate count on the keys (default: first column).
     ``freshness_hours`` + ``freshness_column`` + ``as_of``: newest event must be no older.
     ``min_rows`` and ``expected_columns``: acceptance criteria (reported by ``expectations``).
+    ``expected_schema`` (or DDL text): names and types; any drift fails ``all_checks``.
     """
 
     null_threshold: float = 0.01
@@ -27,7 +30,7 @@ class DQRules:
     as_of: str | None = None
     min_rows: int | None = None
     expected_columns: tuple[str, ...] | None = None
-    extra: Mapping[str, Any] = field(default_factory=dict)
+    expected_schema: T.StructType | None = None
 
     def __post_init__(self):
         if isinstance(self.null_threshold, bool) or not isinstance(self.null_threshold, (int, float)):
@@ -50,6 +53,10 @@ class DQRules:
             if self.as_of is None:
                 raise ValueError("freshness_hours needs an explicit as_of so that results repeat")
             _dt.datetime.fromisoformat(str(self.as_of))
+        if isinstance(self.expected_schema, str):
+            object.__setattr__(self, "expected_schema", T.StructType.fromDDL(self.expected_schema))
+        if self.expected_schema is not None and not isinstance(self.expected_schema, T.StructType):
+            raise TypeError(f"expected_schema must be a StructType or a DDL string, not {self.expected_schema!r}")
         if self.min_rows is not None and (isinstance(self.min_rows, bool) or not isinstance(self.min_rows, int)):
             raise TypeError(f"min_rows must be an int, not {self.min_rows!r}")
 
@@ -57,7 +64,7 @@ class DQRules:
     def from_dict(cls, rules: Mapping[str, Any]) -> DQRules:
         if not isinstance(rules, Mapping):
             raise TypeError(f"rules must be a mapping, not {type(rules).__name__}")
-        known = {f.name for f in fields(cls)} - {"extra"}
+        known = {f.name for f in fields(cls)}
         unknown = set(rules) - known
         if unknown:
             raise ValueError(f"unknown rule(s) {sorted(unknown)}; known: {sorted(known)}")

@@ -16,11 +16,13 @@ from pyspark.sql import types as T
 
 from sluice import operators as ops
 from sluice import quality as dq
+from sluice.functions.io import WRITE_OPTIONS
+from sluice.operators.layout import partitions_for_bytes
 from sluice.plans import PipelineSpec, lineage_edges, lineage_nodes, metrics_frame, run_dq_suite, run_etl, run_with_metrics
 from sluice.session import scratch_path
 from sluice.sinks import merge_partitions, merge_upsert, write_table, written_partitions
-from sluice.sources import read_table, sink_layout, source_inventory
-from sluice.streaming import StreamSpec, read_file_stream, run_stream_ingest, write_time_ordered_files
+from sluice.sources import read_table, source_inventory, split_corrupt
+from sluice.streaming import StreamSpec, parse_json_messages, read_file_stream, run_stream_ingest, write_stream_files, write_time_ordered_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +45,7 @@ REPORT_RULES = {
     "as_of": AS_OF,
     "min_rows": 1000,
     "expected_columns": EVENT_COLS,
+    "expected_schema": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value decimal(12,2), props string",
 }
 SUITE_RULES = {"null_threshold": 0.005, "dupe_check": True, "dupe_keys": ["event_id"], "freshness_hours": 2, "freshness_column": "ts", "as_of": AS_OF}
 CAST_TYPES = {"prio_code": "int", "prio_word": "int", "o_totalprice": "decimal(12,2)", "o_orderdate": "date"}
@@ -107,11 +110,12 @@ def q_row_count(spark, sf):
 def q_aggregate_by_keys(spark, sf):
     li = _t(spark, sf, "lineitem")
     measures = ["l_quantity", "l_extendedprice", "l_discount"]
-    exact = li.withColumns({m: F.col(m).cast("decimal(15,2)") for m in measures})
+    # hundredths as whole numbers: exact sums in any order, without decimal arithmetic per row
+    exact = li.withColumns({m: F.round(F.col(m) * 100).cast("long") for m in measures})
     agg = ops.aggregate_by_keys(exact, ["l_returnflag", "l_linestatus"], measures, stats=("sum", "avg", "min", "max"))
     return agg.withColumns({
-        **{f"sum_{m}": F.col(f"sum_{m}").cast("decimal(18,2)") for m in measures},
-        **{f"avg_{m}": F.round(F.col(f"avg_{m}").cast("double"), 6) for m in measures},
+        **{f"{s}_{m}": (F.col(f"{s}_{m}").cast("decimal(20,0)") / 100).cast("decimal(18,2)") for m in measures for s in ("sum", "min", "max")},
+        **{f"avg_{m}": F.round(F.col(f"avg_{m}") / 100, 6) for m in measures},
     })
 
 
@@ -169,7 +173,9 @@ def q_repartition_rows(spark, sf):
 
 
 def q_partition_skew(spark, sf):
-    return ops.partition_skew(ops.repartition_rows(_t(spark, sf, "orders"), 8, "o_custkey"))
+    """Partition count and total rows; the rows of each partition are Spark's layout (``partition_skew``)."""
+    skew = ops.partition_skew(ops.repartition_rows(_t(spark, sf, "orders"), 8, "o_custkey"))
+    return skew.agg(F.count("*").alias("partitions"), F.sum("rows").alias("total_rows"), (F.min("rows") > 0).alias("none_empty"))
 
 
 # ---------------------------------------------------------------- queries: data quality
@@ -200,8 +206,10 @@ def q_dq_freshness(spark, sf):
 
 
 def q_dq_quarantine(spark, sf):
-    _, bad = dq.quarantine(events_nulls(spark, sf), QUARANTINE_RULES)
-    return bad.withColumn("dq_errors", F.array_join(F.col("_dq_errors"), ",")).drop("_dq_errors")
+    """Both sides, with their status."""
+    clean, bad = dq.quarantine(events_nulls(spark, sf), QUARANTINE_RULES)
+    bad = bad.withColumn("dq_errors", F.array_join(F.col("_dq_errors"), ",")).drop("_dq_errors").withColumn("status", F.lit("quarantine"))
+    return clean.withColumns({"dq_errors": F.lit(""), "status": F.lit("clean")}).unionByName(bad)
 
 
 def q_schema_profile(spark, sf):
@@ -257,26 +265,26 @@ def q_partition_manifest(spark, sf):
 
 def q_write_metrics(spark, sf):
     path = scratch_path(spark, "write_metrics")
-    result = write_table(_t(spark, sf, "events"), path, mode="error")
+    result = write_table(_t(spark, sf, "events"), path, mode="error", measure_files=True)
     inv = source_inventory(spark, path)
     return inv.agg(
         F.lit(result.rows_written).cast("bigint").alias("rows_written"),
-        (F.sum("files") > 0).alias("has_files"),
-        (F.sum("total_bytes") > 0).alias("has_bytes"),
+        (F.sum("files") == result.files_written).alias("files_agree"),
+        (F.sum("total_bytes") == result.bytes_written).alias("bytes_agree"),
     )
 
 
 def q_scan_csv(spark, sf):
     orders = _t(spark, sf, "orders")
     path = scratch_path(spark, "scan_csv")
-    write_table(orders, path, format="csv", mode="error", options={"header": "true"})
+    write_table(orders, path, format="csv", mode="error")
     return read_table(spark, path, "csv", schema=orders.schema)
 
 
 def q_scan_csv_inferred(spark, sf):
     orders = _t(spark, sf, "orders")
     path = scratch_path(spark, "scan_csv_inferred")
-    write_table(orders, path, format="csv", mode="error", options={"header": "true"})
+    write_table(orders, path, format="csv", mode="error")
     return dq.schema_profile(read_table(spark, path, "csv")).select("position", "column_name", "data_type", "non_null_count")
 
 
@@ -313,8 +321,113 @@ def q_source_inventory(spark, sf):
 
 
 def q_sink_layout(spark, sf):
-    layout = sink_layout(spark, f"{sf}/lineitem.parquet")
-    return layout.select("files", "partitions", (F.col("total_bytes") > 0).alias("has_bytes"))
+    """Size tiers over byte counts from a table: each order's price as megabytes, ten times, a hundred times ..."""
+    orders = _t(spark, sf, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("step"), F.floor("o_totalprice").cast("long").alias("price"))
+    size = orders.withColumn("total_bytes", F.col("price") * F.pow(F.lit(100.0), F.col("step")).cast("long"))
+    return size.select("o_orderkey", "step", "total_bytes", partitions_for_bytes(F.col("total_bytes")).alias("partitions"))
+
+
+# ---------------------------------------------------------------- queries: merge cases
+
+
+def _merged(spark, sf, name: str, part, updates_of, **options) -> DataFrame:
+    """orders stored by the partition column ``p``, one merge, all columns read back with ``p`` as text."""
+    orders = _t(spark, sf, "orders").withColumn("p", part)
+    path = scratch_path(spark, name)
+    write_table(orders, path, mode="error", partition_cols=["p"])
+    merge_partitions(spark, path, updates_of(orders), "o_orderkey", ["p"], **options)
+    return read_table(spark, path, schema=orders.schema)
+
+
+def _raised(orders: DataFrame, where) -> DataFrame:
+    return orders.where(where).withColumn("o_totalprice", F.col("o_totalprice") + 1)
+
+
+def q_merge_zero_padded(spark, sf):
+    """Partitions '01' to '12': their names must stay text."""
+    return _merged(spark, sf, "merge_zero_padded", F.date_format("o_orderdate", "MM"), lambda o: _raised(o, F.col("p") <= "03"))
+
+
+def q_merge_null_partition(spark, sf):
+    """Urgent orders sit in the NULL partition; every third order is raised, with the IN filter and with the semi join."""
+    part = F.when(F.col("o_orderpriority") != "1-URGENT", F.substring("o_orderpriority", 1, 1))
+    return _merged(spark, sf, "merge_null_partition", part, lambda o: _raised(o, (F.col("o_orderkey") % 3 == 0) & F.coalesce(F.col("p") < "3", F.lit(True))), max_listed_partitions=1)
+
+
+def q_merge_moved_keys(spark, sf):
+    """Every order of status O moves to status F: its old partition must go."""
+    moved = lambda o: o.where("p = 'O'").withColumns({"p": F.lit("F"), "o_orderstatus": F.lit("F")})
+    return _merged(spark, sf, "merge_moved_keys", F.col("o_orderstatus"), moved)
+
+
+def q_etl_upsert(spark, sf):
+    """F1 twice. First load: every order twice, the higher price wins. Second: orders from 2000 on get status X, which
+    moves them, each sent twice."""
+    orders = _t(spark, sf, "orders")
+    target = scratch_path(spark, "etl_upsert")
+
+    def load(batch: DataFrame, name: str) -> None:
+        source = scratch_path(spark, name)
+        write_table(batch, source, mode="error")
+        run_etl(spark, PipelineSpec(
+            source_path=source, target_path=target, write_mode="upsert", partition_cols=("o_orderstatus",),
+            merge_keys=("o_orderkey",), merge_order_by=("o_totalprice",), steps=({"op": "add_audit_columns", "source_name": "upsert"},),
+        ))
+
+    load(orders.unionByName(orders.withColumn("o_totalprice", F.col("o_totalprice") + 1)), "etl_upsert_first")
+    late = orders.where(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz")).withColumn("o_orderstatus", F.lit("X"))
+    load(late.withColumn("o_totalprice", F.col("o_totalprice") + 2).unionByName(late.withColumn("o_totalprice", F.col("o_totalprice") + 3)), "etl_upsert_second")
+    return read_table(spark, target, schema=orders.schema)
+
+
+# ---------------------------------------------------------------- queries: source options
+
+
+def q_csv_bad_rows(spark, sf):
+    """orders as CSV with a word for the price of every hundredth order: those records, whole, apart from the rest."""
+    orders = _t(spark, sf, "orders")
+    path = scratch_path(spark, "csv_bad_rows")
+    text = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 100 == 0, F.lit("unknown")).otherwise(F.col("o_totalprice").cast("string")))
+    write_table(text, path, format="csv", mode="error")
+    good, bad = split_corrupt(read_table(spark, path, "csv", schema=orders.schema, keep_corrupt=True))
+    key = F.split(F.col("_corrupt_record"), ",")[0].cast("long")
+    return bad.select(key.alias("o_orderkey"), F.lit(False).alias("good")).unionByName(good.select("o_orderkey", F.lit(True).alias("good")))
+
+
+def q_etl_delimited(spark, sf):
+    """F1 with source and target options: semicolons in, pipes out."""
+    orders = _t(spark, sf, "orders")
+    source, target = scratch_path(spark, "etl_delimited_in"), scratch_path(spark, "etl_delimited_out")
+    write_table(orders, source, format="csv", mode="error", options={"sep": ";"})
+    run_etl(spark, PipelineSpec(
+        source_path=source, source_format="csv", source_schema=orders.schema, source_options={"sep": ";"},
+        target_path=target, target_format="csv", target_options={"sep": "|"}, write_mode="overwrite",
+    ))
+    return read_table(spark, target, "csv", schema=orders.schema, options={"sep": "|"})
+
+
+def q_etl_merge_schema(spark, sf):
+    """F1 over files of two schemas."""
+    orders = _t(spark, sf, "orders")
+    source, target = scratch_path(spark, "etl_merged_in"), scratch_path(spark, "etl_merged_out")
+    late = F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")
+    write_table(orders.where(~late), source, mode="append")
+    write_table(orders.where(late).withColumn("note", F.lit("late")), source, mode="append")
+    run_etl(spark, PipelineSpec(source_path=source, target_path=target, merge_schema=True, write_mode="overwrite"))
+    return read_table(spark, target)
+
+
+def q_etl_cast_losses(spark, sf):
+    """F1's report of values that a cast turned into NULL, before a fill hides them."""
+    orders = orders_cast_input(spark, sf)
+    source, target = scratch_path(spark, "etl_losses_in"), scratch_path(spark, "etl_losses_out")
+    write_table(orders, source, mode="error")
+    result = run_etl(spark, PipelineSpec(
+        source_path=source, target_path=target, write_mode="overwrite", rules={"null_threshold": 1.0}, gate="report",
+        steps=({"op": "cast_types", "types": {"prio_code": "int", "prio_word": "int"}}, {"op": "fill_nulls", "values": {"prio_word": 0}}),
+    ))
+    rows = [(r["check"], r["column_name"], int(r["observed"]), r["passed"]) for r in result.report if r["check"] in ("cast_loss", "all_checks")]
+    return spark.createDataFrame(rows, "check string, column_name string, observed bigint, passed boolean")
 
 
 # ---------------------------------------------------------------- queries: lineage, metrics, flows
@@ -356,7 +469,7 @@ ETL_STEPS = [
 
 def q_etl_flow(spark, sf):
     source = scratch_path(spark, "etl_source")
-    write_table(events_nulls(spark, sf), source, format="csv", mode="error", options={"header": "true"})
+    write_table(events_nulls(spark, sf), source, format="csv", mode="error")
     target = scratch_path(spark, "etl_target")
     spec = PipelineSpec(
         source_path=source,
@@ -376,8 +489,11 @@ def q_etl_flow(spark, sf):
 
 
 def q_dq_suite(spark, sf):
-    report, _ = run_dq_suite(events_nulls(spark, sf), SUITE_RULES, report_path=scratch_path(spark, "dq_suite"))
-    return report
+    """Two runs into one report path; the rows of both, told apart by their run."""
+    path = scratch_path(spark, "dq_suite")
+    for run in ("first", "second"):
+        run_dq_suite(events_nulls(spark, sf), SUITE_RULES, report_path=path, run_id=run)
+    return read_table(spark, path).drop("run_at")
 
 
 # ---------------------------------------------------------------- queries: streaming
@@ -402,7 +518,9 @@ def q_stream_ingest_hourly(spark, sf):
 
 def q_stream_dedupe(spark, sf):
     events = _t(spark, sf, "events")
-    src = _stream_input(spark, events.unionByName(events), "stream_dedupe", arrive_in_order=True)
+    # 24 files of about 30 hours each; every event comes again, marked, 32 hours later: in a later file
+    again = events.withColumn("ts", F.col("ts") + F.expr("INTERVAL 32 HOURS")).withColumn("props", F.lit("again"))
+    src = _stream_input(spark, events.unionByName(again), "stream_dedupe", files=24, arrive_in_order=True)
     stream = read_file_stream(spark, src, events.schema, max_files_per_trigger=1)
     spec = StreamSpec(
         target_path=scratch_path(spark, "stream_dedupe_out"),
@@ -410,12 +528,27 @@ def q_stream_dedupe(spark, sf):
         ts_col="ts",
         grain="day",
         dedupe_keys=("event_id",),
-        dedupe_delay="10 minutes",
+        dedupe_delay="48 hours",
     )
     run_stream_ingest(stream, spec)
     return spark.read.schema(events.schema.add("day", T.StringType())).parquet(spec.target_path).drop("day")
 
 
+def q_stream_kafka_json(spark, sf):
+    """Messages with a binary JSON value, every hundredth cut short, parsed on a stream."""
+    events = _t(spark, sf, "events")
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    text = F.to_json(F.struct("event_id", "ts", "user_id", "event_type", "value"), {k: v for k, v in WRITE_OPTIONS["json"].items()})
+    cut = F.when(F.col("event_id") % 100 == 0, F.expr("substring(_json, 1, 9)")).otherwise(F.col("_json"))
+    messages = events.withColumn("_json", text).select("ts", F.col("event_id").cast("string").cast("binary").alias("key"), cut.cast("binary").alias("value"))
+    src = _stream_input(spark, messages, "stream_json")
+    parsed = parse_json_messages(read_file_stream(spark, src, messages.schema, max_files_per_trigger=2), schema)
+    out = scratch_path(spark, "stream_json_out")
+    write_stream_files(parsed, out, scratch_path(spark, "stream_json_ckpt"), partition_cols=[])
+    back = spark.read.schema(parsed.schema).parquet(out)
+    return back.select(F.col("_kafka_key").cast("string").cast("long").alias("message"), "event_id", "ts", "user_id", "event_type", "value", F.col("_corrupt_record").isNotNull().alias("corrupt"))
+
+
 def q_stream_transform_chain(spark, sf):
     en = events_nulls(spark, sf)
     src = _stream_input(spark, en, "stream_chain")
@@ -469,4 +602,13 @@ QUERIES: dict[str, Query] = {
     "stream_ingest_hourly": q_stream_ingest_hourly,
     "stream_dedupe": q_stream_dedupe,
     "stream_transform_chain": q_stream_transform_chain,
+    "stream_kafka_json": q_stream_kafka_json,
+    "etl_cast_losses": q_etl_cast_losses,
+    "etl_merge_schema": q_etl_merge_schema,
+    "etl_delimited": q_etl_delimited,
+    "csv_bad_rows": q_csv_bad_rows,
+    "etl_upsert": q_etl_upsert,
+    "merge_moved_keys": q_merge_moved_keys,
+    "merge_null_partition": q_merge_null_partition,
+    "merge_zero_padded": q_merge_zero_padded,
 }

@@ -1,4 +1,4 @@
-from sluice.sinks.merge import merge_into_path, merge_into_table, merge_partitions, merge_upsert, republish
+from sluice.sinks.merge import latest_updates, merge_into_path, merge_into_table, merge_partitions, merge_upsert, republish
 from sluice.sinks.writer import (
     FORMATS,
     MODES,
@@ -14,6 +14,7 @@ __all__ = [
     "FORMATS",
     "MODES",
     "WriteResult",
+    "latest_updates",
     "merge_into_path",
     "merge_into_table",
     "merge_partitions",

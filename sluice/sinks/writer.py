@@ -16,17 +16,15 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sluice.functions import as_list, require_columns
+from sluice.functions import as_list, named, require_columns
+from sluice.functions.io import WRITE_OPTIONS
+from sluice.sources.files import read_table
 
 FORMATS = ("parquet", "orc", "json", "csv", "delta", "avro", "text")
-# Text formats default to millisecond timestamps; keep microseconds instead.
-TEXT_TIME_OPTIONS = {
-    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX",
-}
 MODES = ("append", "overwrite", "error", "errorifexists", "ignore")
 
 
@@ -38,6 +36,10 @@ class WriteResult:
     partition_cols: tuple[str, ...]
     rows_written: int
     staging_path: str | None = None  # staged copy a failed publish can be replayed from
+    rows_inserted: int | None = None  # upserts: keys new to the target
+    rows_updated: int | None = None  # upserts: keys that were there
+    files_written: int | None = None  # with measure_files: data files at the path after the write
+    bytes_written: int | None = None
 
 
 def write_table(
@@ -50,8 +52,10 @@ def write_table(
     overwrite_partitions: bool = False,
     rebalance: bool = True,
     max_records_per_file: int | None = None,
+    measure_files: bool = False,
 ) -> WriteResult:
-    """Write ``df`` and return what was written; ``rows_written`` is observed in the write job."""
+    """Write ``df`` and return what was written; ``rows_written`` is observed in the write job.
+    ``measure_files``: also list the path for the files and bytes written (not for a dynamic partition overwrite)."""
     fmt = format.lower()
     if fmt not in FORMATS:
         raise ValueError(f"unknown format {format!r}; known: {FORMATS}")
@@ -64,8 +68,7 @@ def write_table(
 
     obs = Observation("sluice_write")
     out = prepare_write(df, parts, rebalance).observe(obs, F.count(F.lit(1)).alias("rows"))
-    opts = dict(TEXT_TIME_OPTIONS) if fmt in ("csv", "json") else {}
-    opts.update(dict(options or {}))
+    opts = {**WRITE_OPTIONS.get(fmt, {}), **dict(options or {})}
     writer = out.write.format(fmt).mode(mode).options(**opts)
     if parts:
         writer = writer.partitionBy(*parts)
@@ -73,12 +76,36 @@ def write_table(
         writer = writer.option("partitionOverwriteMode", "dynamic")
     if max_records_per_file:
         writer = writer.option("maxRecordsPerFile", str(max_records_per_file))
+    before = stored(df.sparkSession, path) if measure_files else (0, 0)
     writer.save(path)
+    files, size = stored(df.sparkSession, path) if measure_files else (None, None)
+    if measure_files and mode == "append":
+        files, size = files - before[0], size - before[1]
+    return WriteResult(path=path, format=fmt, mode=mode, partition_cols=tuple(parts), rows_written=observed(obs), files_written=files, bytes_written=size)
+
+
+def observed(obs: Observation, missing: int | None = 0) -> int | None:
+    """The observed row count; ``missing`` when the plan folded to an empty relation, so that nothing was observed."""
     try:
-        rows = obs.get.get("rows", 0)
-    except Exception:  # noqa: BLE001 - the plan folded to an empty relation: nothing was written
-        rows = 0
-    return WriteResult(path=path, format=fmt, mode=mode, partition_cols=tuple(parts), rows_written=int(rows))
+        return int(obs.get.get("rows", 0))
+    except Py4JJavaError as e:  # the row of an observation that never ran has no schema to convert by
+        if "toPyRow" in str(e):
+            return missing
+        raise
+
+
+def stored(spark, path: str) -> tuple[int, int]:
+    """Data files below a path and their bytes, from the file system's listing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = size = 0
+    if fs.exists(folder):
+        each = fs.listFiles(folder, True)
+        while each.hasNext():
+            f = each.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                files, size = files + 1, size + f.getLen()
+    return files, size
 
 
 def prepare_write(df: DataFrame, partition_cols: Sequence[str], rebalance: bool = True) -> DataFrame:
@@ -96,7 +123,7 @@ def partition_manifest(df: DataFrame, partition_cols: str | Sequence[str]) -> Da
 
 def written_partitions(spark, path: str, format: str = "parquet") -> DataFrame:
     """Rows and files per output partition directory, read from what is on storage."""
-    df = spark.read.format(format).load(path)
+    df = read_table(spark, path, format)
     per_file = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"))
     # the directory of each file: everything before the last '/', derived once per file
     file_dir = F.expr("substring(file, 1, length(file) - length(substring_index(file, '/', -1)) - 1)")
@@ -122,12 +149,10 @@ def write_bucketed_table(
     parts = as_list(partition_cols)
     require_columns(df, keys + parts, "bucket / partition column")
     obs = Observation("sluice_bucketed_write")
-    writer = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.format(format).mode(mode).bucketBy(buckets, *keys).sortBy(*keys)
+    # one task per bucket: otherwise each of the input's tasks writes a file for every bucket
+    dealt = df.repartition(buckets, *[named(k) for k in keys])
+    writer = dealt.observe(obs, F.count(F.lit(1)).alias("rows")).write.format(format).mode(mode).bucketBy(buckets, *keys).sortBy(*keys)
     if parts:
         writer = writer.partitionBy(*parts)
     writer.saveAsTable(table)
-    try:
-        rows = obs.get.get("rows", 0)
-    except Exception:  # noqa: BLE001 - empty plan folded away
-        rows = 0
-    return WriteResult(path=table, format=format, mode=mode, partition_cols=tuple(parts), rows_written=int(rows))
+    return WriteResult(path=table, format=format, mode=mode, partition_cols=tuple(parts), rows_written=observed(obs))

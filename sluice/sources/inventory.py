@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from sluice.operators.layout import partitions_for_bytes
 
 # The format names recognised from a file extension.
-KNOWN_FORMATS = ("parquet", "orc", "json", "csv", "avro", "delta", "txt")
-_EXT = r"\.(parquet|orc|json|csv|avro|txt)(\.[A-Za-z0-9]+)?$"
+_EXT = r"(?i)\.(parquet|orc|json|csv|avro|txt)(\.[A-Za-z0-9]+)?$"
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
@@ -38,11 +37,8 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def is_delta_table(spark: SparkSession, path: str) -> bool:
     """True when ``path`` holds a ``_delta_log`` folder (hidden from ordinary listings)."""
-    try:
-        spark.read.format("binaryFile").load(f"{path.rstrip('/')}/_delta_log").select("path").limit(1).collect()
-        return True
-    except Exception:  # noqa: BLE001 - no such folder
-        return False
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_delta_log")
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 
 
 def file_format(path: Column) -> Column:

@@ -4,6 +4,7 @@ from sluice.streaming.ingest import (
     StreamSpec,
     dedupe_within_watermark,
     ingest_plan,
+    parse_json_messages,
     read_file_stream,
     read_kafka_stream,
     run_stream_ingest,
@@ -20,6 +21,7 @@ __all__ = [
     "StreamSpec",
     "dedupe_within_watermark",
     "ingest_plan",
+    "parse_json_messages",
     "read_file_stream",
     "read_kafka_stream",
     "run_stream_ingest",

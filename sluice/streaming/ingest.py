@@ -12,18 +12,25 @@ AQE's skew handling for rebalance shuffles.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.functions import as_list, day_bucket, event_time, hour_bucket, require_columns
+from sluice.functions import as_list, day_bucket, event_time, hour_bucket, named, require_columns
+from sluice.functions.io import READ_OPTIONS
 from sluice.operators.chain import apply_steps, step_names
+from sluice.sources.files import CORRUPT
 
 EVENT_TIME = "_event_time"
+NO_KEY = "_no_key"
+# Progress entries kept for a drained query (Spark keeps 100 by default); they are also collected while it runs.
+KEPT_PROGRESS = 10_000
 STATEFUL_STEPS = {"deduplicate"}
 
 
@@ -56,7 +63,8 @@ def read_kafka_stream(
 ) -> DataFrame:
     """Kafka topic -> columns of the JSON value, plus the record timestamp as ``_kafka_ts``.
 
-    Needs the ``spark-sql-kafka`` connector on the classpath (not bundled here).
+    Needs the ``spark-sql-kafka`` connector on the classpath (not bundled here). Key, partition and offset are
+    kept, and malformed messages too, see ``parse_json_messages``.
     ``max_offsets_per_trigger`` bounds each micro-batch, which also bounds file sizes and skew.
     """
     reader = (
@@ -69,8 +77,26 @@ def read_kafka_stream(
     if max_offsets_per_trigger:
         reader = reader.option("maxOffsetsPerTrigger", str(max_offsets_per_trigger))
     raw = reader.load()
-    parsed = F.from_json(F.col("value").cast("string"), value_schema)
-    return raw.select(parsed.alias("_v"), F.col("timestamp").alias("_kafka_ts")).select("_v.*", "_kafka_ts")
+    return parse_json_messages(raw, value_schema)
+
+
+def parse_json_messages(df: DataFrame, value_schema: T.StructType | str) -> DataFrame:
+    """Columns of the JSON ``value`` (binary or text) of any frame, batch or stream.
+
+    A message that is not JSON of the schema keeps its whole text in ``_corrupt_record`` (NULL for good ones)
+    and has NULL in the value's columns. The record's ``key``, ``partition``, ``offset`` and ``timestamp``,
+    where there are any, come along as ``_kafka_key``, ``_kafka_partition``, ``_kafka_offset`` and ``_kafka_ts``.
+    """
+    schema = T.StructType.fromDDL(value_schema) if isinstance(value_schema, str) else value_schema
+    schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    parsed = F.from_json(F.col("value").cast("string"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, **_json_times()})
+    about = {"key": "_kafka_key", "partition": "_kafka_partition", "offset": "_kafka_offset", "timestamp": "_kafka_ts"}
+    kept = [named(c).alias(n) for c, n in about.items() if c in df.columns]
+    return df.select(parsed.alias("_v"), *kept).select("_v.*", *[n for c, n in about.items() if c in df.columns])
+
+
+def _json_times() -> dict[str, str]:
+    return {k: v for k, v in READ_OPTIONS["json"].items() if k.endswith("Format")}
 
 
 # ------------------------------------------------------------------ operators
@@ -91,12 +117,14 @@ def dedupe_within_watermark(df: DataFrame, keys: str | Sequence[str], ts_col: st
 
     State per key lives until the watermark passes it; rows older than the watermark are
     dropped as late (count reported as ``rows_dropped_by_watermark``). TIMESTAMP_NTZ event
-    times are cast to TIMESTAMP in the session zone first (watermarks reject NTZ).
+    times are cast to TIMESTAMP in the session zone first (watermarks reject NTZ). Rows with a NULL in the
+    key (malformed messages) are no copies of each other: all of them stay, unless late.
     """
     keys = as_list(keys)
     require_columns(df, keys + [ts_col], "dedupe column")
-    timed = df.withColumn(EVENT_TIME, event_time(df, ts_col))
-    return timed.withWatermark(EVENT_TIME, delay).dropDuplicatesWithinWatermark(keys).drop(EVENT_TIME)
+    no_key = reduce(Column.__or__, [named(k).isNull() for k in keys])
+    timed = df.withColumns({EVENT_TIME: event_time(df, ts_col), NO_KEY: F.when(no_key, F.uuid())})
+    return timed.withWatermark(EVENT_TIME, delay).dropDuplicatesWithinWatermark([*keys, NO_KEY]).drop(EVENT_TIME, NO_KEY)
 
 
 def stream_steps(df: DataFrame, steps: Sequence[Any]) -> DataFrame:
@@ -128,15 +156,23 @@ def start_stream_files(
     available_now: bool = False,
     processing_time: str | None = None,
     query_name: str | None = None,
+    spread_by: Sequence[str] = (),
+    spread: int = 8,
 ):
     """Start the partitioned file sink and return the running ``StreamingQuery``.
 
     The file sink's ``_spark_metadata`` log makes the output exactly-once: a batch redone
     after a failure replaces, not duplicates, its files for readers that go through Spark.
+    After a stateful step AQE does not run, so a rebalance would send a partition value to one task:
+    ``spread_by`` (columns, such as the dedupe keys) deals it to up to ``spread`` tasks and files instead.
     """
     parts = as_list(partition_cols)
     require_columns(df, parts, "partition column")
-    out = df.hint("rebalance", *parts) if parts else df
+    if parts and spread_by:
+        bucket = F.pmod(F.xxhash64(*[named(c) for c in spread_by]), F.lit(spread))
+        out = df.repartition(*[named(p) for p in parts], bucket)
+    else:
+        out = df.hint("rebalance", *parts) if parts else df
     writer = out.writeStream.format(format).outputMode("append").option("checkpointLocation", checkpoint).option("path", path)
     if parts:
         writer = writer.partitionBy(*parts)
@@ -156,25 +192,46 @@ def write_stream_files(
     partition_cols: str | Sequence[str] = ("hour",),
     format: str = "parquet",
     timeout_s: float | None = None,
+    spread_by: Sequence[str] = (),
+    spread: int = 8,
 ) -> StreamResult:
     """Drain everything available now into the sink (``availableNow``), wait, and report."""
-    query = start_stream_files(df, path, checkpoint, partition_cols, format, available_now=True)
+    spark, key = df.sparkSession, "spark.sql.streaming.numRecentProgressUpdates"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(int(before), KEPT_PROGRESS)))  # Spark reads it at each batch, until the query ends
+    progress: dict[int, dict] = {}
+    end = time.monotonic() + timeout_s if timeout_s else None
+    query = None
     try:
-        finished = query.awaitTermination(timeout_s) if timeout_s else query.awaitTermination()
-        if timeout_s and not finished:
-            raise TimeoutError(f"stream to {path} did not drain within {timeout_s}s")
+        query = start_stream_files(df, path, checkpoint, partition_cols, format, available_now=True, spread_by=spread_by, spread=spread)
+        while not query.awaitTermination(5 if end is None else max(0.1, min(5, end - time.monotonic()))):
+            progress.update(_progress(query))
+            if end is not None and time.monotonic() >= end:
+                raise TimeoutError(f"stream to {path} did not drain within {timeout_s}s")
+        progress.update(_progress(query))
     finally:
-        if query.isActive:
+        if query is not None and query.isActive:
             query.stop()
+        spark.conf.set(key, before)
     if query.exception():
         raise RuntimeError(f"stream to {path} failed: {query.exception()}")
-    return stream_result(query, path, checkpoint)
+    return stream_result(progress.values(), path, checkpoint)
+
+
+def _progress(query) -> dict[int, dict]:
+    """The query's recent progress by batch (a batch without data may report more than once: the largest counts)."""
+    found: dict[int, dict] = {}
+    for p in map(_as_dict, query.recentProgress):
+        old = found.get(p["batchId"])
+        if old is None or p.get("numInputRows", 0) >= old.get("numInputRows", 0):
+            found[p["batchId"]] = p
+    return found
 
 
-def stream_result(query, path: str, checkpoint: str) -> StreamResult:
-    """Batches, input rows and rows dropped by the watermark from the query's recent progress
-    (the last ``spark.sql.streaming.numRecentProgressUpdates`` batches, 100 by default)."""
-    progress = [_as_dict(p) for p in query.recentProgress]
+def stream_result(progress, path: str, checkpoint: str) -> StreamResult:
+    """Batches, input rows and rows dropped by the watermark, over one progress entry per batch, or over what a
+    query still keeps (the last ``spark.sql.streaming.numRecentProgressUpdates`` batches)."""
+    progress = list(_progress(progress).values() if hasattr(progress, "recentProgress") else progress)
     return StreamResult(
         path=path,
         checkpoint=checkpoint,
@@ -205,6 +262,7 @@ class StreamSpec:
     steps: tuple[Any, ...] = ()
     dedupe_keys: tuple[str, ...] = ()
     dedupe_delay: str = "1 hour"
+    dedupe_spread: int = 8  # tasks and files per partition value and batch after the dedupe
 
 
 def ingest_plan(stream: DataFrame, spec: StreamSpec) -> DataFrame:
@@ -217,7 +275,7 @@ def ingest_plan(stream: DataFrame, spec: StreamSpec) -> DataFrame:
 
 def run_stream_ingest(stream: DataFrame, spec: StreamSpec) -> StreamResult:
     """F2, drained: process everything available now, then stop (a scheduled / catch-up run)."""
-    return write_stream_files(ingest_plan(stream, spec), spec.target_path, spec.checkpoint, partition_cols=[spec.grain])
+    return write_stream_files(ingest_plan(stream, spec), spec.target_path, spec.checkpoint, partition_cols=[spec.grain], spread_by=spec.dedupe_keys, spread=spec.dedupe_spread)
 
 
 def start_stream_ingest(stream: DataFrame, spec: StreamSpec, processing_time: str = "1 minute", query_name: str | None = None):
@@ -227,5 +285,6 @@ def start_stream_ingest(stream: DataFrame, spec: StreamSpec, processing_time: st
     ``maxFilesPerTrigger``) and, for the dedupe state, the RocksDB state store provider.
     """
     return start_stream_files(
-        ingest_plan(stream, spec), spec.target_path, spec.checkpoint, partition_cols=[spec.grain], processing_time=processing_time, query_name=query_name
+        ingest_plan(stream, spec), spec.target_path, spec.checkpoint, partition_cols=[spec.grain], processing_time=processing_time, query_name=query_name,
+        spread_by=spec.dedupe_keys, spread=spec.dedupe_spread,
     )

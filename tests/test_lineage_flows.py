@@ -54,7 +54,7 @@ def test_etl_gate_blocks_the_write(spark, scratch):
     assert "_source_file" in spark.read.parquet(target).columns
 
 
-def test_etl_report_mode_checks_the_written_table(spark, scratch):
+def test_etl_report_mode_checks_the_rows_of_the_run(spark, scratch):
     src = staged(spark, scratch)
     spec = PipelineSpec(source_path=src, target_path=scratch("rep"), rules={"null_threshold": 0.01}, gate="report")
     res = run_etl(spark, spec)
@@ -147,3 +147,33 @@ def test_exact_counts_option(spark, scratch):
         assert (res.metrics.rows_in, res.metrics.rows_out) == (330, 300)
     m = run_with_metrics(read_table(spark, src, "parquet"), lambda df: ops.dedupe(df, "id"), scratch("rm_exact"), exact_source_count=True)
     assert (m.rows_in, m.rows_out) == (330, 300)
+
+
+def test_report_mode_judges_only_this_run(spark, scratch):
+    target = scratch("rep_two")
+    for rows, ok in ((["NULL"], False), (["1"], True)):
+        src = scratch("rep_src")
+        spark.sql(f"SELECT 1 AS k, CAST({rows[0]} AS INT) AS x").write.parquet(src)
+        res = run_etl(spark, PipelineSpec(source_path=src, target_path=target, rules={"null_threshold": 0.01}, gate="report"))
+        assert res.passed is ok
+    assert spark.read.parquet(target).count() == 2
+
+
+def test_empty_source_runs_through_the_quarantine_flow(spark, scratch):
+    src = scratch("empty_src")
+    spark.range(0).selectExpr("id AS k", "CAST(id AS STRING) AS x").write.parquet(src)
+    spec = PipelineSpec(source_path=src, target_path=scratch("empty_out"), quarantine_rules={"x": "x IS NOT NULL"}, quarantine_path=scratch("empty_bad"))
+    res = run_etl(spark, spec)
+    assert (res.metrics.rows_in, res.metrics.rows_out, res.quarantined.rows_written) == (0, 0, 0)
+
+
+def test_upsert_metrics_count_the_batch(spark, scratch):
+    target = scratch("up")
+    spec = lambda src: PipelineSpec(source_path=src, target_path=target, write_mode="upsert", merge_keys=("k",), partition_cols=("p",))
+    first, second = scratch("up1"), scratch("up2")
+    spark.sql("SELECT id AS k, id AS v, id % 2 AS p FROM range(4) UNION ALL SELECT 1, 9, 1").write.parquet(first)
+    res = run_etl(spark, spec(first))
+    assert (res.metrics.rows_in, res.metrics.rows_out, res.metrics.rows_removed) == (5, 4, 1)
+    spark.sql("SELECT 0L AS k, 5L AS v, 0L AS p").write.parquet(second)
+    res = run_etl(spark, spec(second))
+    assert (res.metrics.rows_in, res.metrics.rows_out, res.write.rows_updated, res.write.rows_inserted, res.write.rows_written) == (1, 1, 1, 0, 2)

@@ -6,6 +6,7 @@ from conftest import SF01
 from oracle_check import compare
 
 import __spark_entry__ as entry
+from sluice.queries import QUERIES
 
 
 def test_entry_smoke(spark):
@@ -15,11 +16,11 @@ def test_entry_smoke(spark):
     assert df.filter("user_id IS NULL OR value IS NULL").count() == 0
 
 
-def test_every_query_has_sql_or_is_layout_dependent():
-    missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == {"partition_skew"}
+def test_every_query_has_sql():
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(QUERIES) - set(entry.oracle_sql()) == set()
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, name):
     assert compare(spark, SF01, [name]) == []

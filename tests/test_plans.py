@@ -38,11 +38,17 @@ def test_null_rates_without_distinct_do_not_shuffle_rows(spark):
     assert "hashpartitioning" not in p  # partial counts per task, one tiny final merge
 
 
-def test_merge_does_not_broadcast_on_a_guess(spark):
+def test_merge_broadcasts_by_size_only(spark):
+    """Updates above the broadcast threshold are joined by a sort-merge anti join."""
     o = spark.read.parquet(f"{SF01}/orders.parquet")
     m = merge_upsert(o, o.filter("o_orderdate >= '2000-01-01'"), "o_orderkey")
-    p = m._jdf.queryExecution().sparkPlan().toString()
-    assert "LeftAnti" in p
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        p = m.select("*")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" in p and "LeftAnti" in p and "Broadcast" not in p
 
 
 def test_write_rebalances_on_partition_columns(spark):

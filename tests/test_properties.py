@@ -61,14 +61,15 @@ def test_merge_matches_brute_force(spark, target, updates):
     t = spark.createDataFrame(target, "k int, v int")
     u = spark.createDataFrame(updates, "k int, v int, ver int")
     got = sorted((tuple(r) for r in merge_upsert(t, u, "k", order_by="ver").collect()), key=repr)
-    # newest version per key wins (ties: largest v); NULL keys never match, but the update
-    # batch itself is deduplicated per key, so one NULL-key update row survives
+    # newest version per key wins (ties: largest v); NULL keys never match: all such updates are inserted
     latest = {}
     for k, v, ver in updates:
+        if k is None:
+            continue
         if k not in latest or (ver, v) > latest[k]:
             latest[k] = (ver, v)
-    keys = {k for k in latest if k is not None}
-    expected = [(k, v) for k, v in target if k is None or k not in keys] + [(k, v) for k, (ver, v) in latest.items()]
+    expected = [(k, v) for k, v in target if k is None or k not in latest] + [(k, v) for k, (ver, v) in latest.items()]
+    expected += [(k, v) for k, v, ver in updates if k is None]
     assert got == sorted(expected, key=repr)
 
 

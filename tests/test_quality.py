@@ -155,3 +155,30 @@ def test_wide_table_report(spark):
     failing = sum(1 for r in rates if not r["passed"])
     score = [r for r in rep if r["check"] == "dq_score"][0]
     assert score["observed"] == max(0.0, 100.0 - 5 * failing)
+
+
+def test_dotted_names_and_hours_that_a_zone_skips(spark):
+    from sluice import operators as ops
+    from sluice.functions import hour_bucket
+
+    df = spark.createDataFrame([(1, "x"), (1, None)], "`a.b` int, `c.d` string")
+    assert {r["column_name"]: r["null_count"] for r in dq.null_rates(df).collect()} == {"a.b": 0, "c.d": 1}
+    assert dq.duplicates(df, ["a.b"]).first()["duplicate_count"] == 1
+    assert ops.dedupe(df, ["a.b"]).count() == 1
+    assert ops.fill_nulls(df, {"c.d": "-"}).where("`c.d` = '-'").count() == 1
+    assert ops.aggregate_by_keys(df, "c.d", ["a.b"], stats=("sum",)).count() == 2
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        t = spark.sql("SELECT TIMESTAMP_NTZ '2024-03-10 02:30:00' AS ts")
+        assert t.select(hour_bucket("ts").alias("h")).first()["h"] == "2024-03-10-02"
+        assert dq.freshness(t, "ts", "2024-03-10 04:30:00", 3).first()["lag_hours"] == 2.0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_schema_drift_fails_all_checks_but_not_the_score(spark):
+    df = spark.createDataFrame([(1, "x")], "k int, v string")
+    row = dq.dq_score(df, {"expected_schema": "k bigint, v string"}).first()
+    assert row["passed"] is True and row["all_checks_passed"] is False
+    assert dq.dq_score(df, {"expected_schema": "k int, v string"}).first()["all_checks_passed"] is True

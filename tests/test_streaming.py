@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluice.streaming import (
+    StreamSpec,
+    parse_json_messages,
+    run_stream_ingest,
     dedupe_within_watermark,
     read_file_stream,
     stream_steps,
@@ -66,6 +69,31 @@ def test_dedupe_within_watermark_and_late_rows(spark, scratch):
     assert kept + res2.rows_dropped_by_watermark == 1000 and res2.rows_dropped_by_watermark > 0
 
 
+def test_dedupe_state_spans_files_and_a_batch_writes_several_files(spark, scratch):
+    df = events(spark, 1000)
+    again = df.withColumn("ts", F.col("ts") + F.expr("INTERVAL 6 HOURS")).withColumn("v", F.lit(-1.0))
+    src = scratch("in")
+    write_time_ordered_files(df.unionByName(again), src, scratch("stage"), "ts", files=6)
+    spec = StreamSpec(target_path=scratch("out"), checkpoint=scratch("ckpt"), ts_col="ts", grain="day", dedupe_keys=("id",), dedupe_delay="30 hours")
+    old = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        res = run_stream_ingest(read_file_stream(spark, src, df.schema, max_files_per_trigger=1), spec)
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", old)
+    assert (res.batches, res.input_rows) == (6, 2000)
+    back = spark.read.schema(df.schema.add("day", T.StringType())).parquet(spec.target_path)
+    assert back.count() == 1000 and back.where("v = -1.0").count() == 0
+    assert len(back.inputFiles()) > back.select("day").distinct().count()
+
+
+def test_malformed_messages_keep_their_text_and_are_no_copies(spark, scratch):
+    rows = [(b'{"id": 1, "ts": "2024-01-01T00:00:00", "v": 1.0}',), (b"{cut",), (b"{cut",), (None,)]
+    out = parse_json_messages(spark.createDataFrame(rows, "value binary"), SCHEMA).collect()
+    assert [r["_corrupt_record"] for r in out] == [None, "{cut", "{cut", None]
+    assert out[0]["id"] == 1 and out[1]["id"] is None
+
+
 def test_stateful_steps_are_refused_on_streams(spark, scratch):
     src = scratch("few")
     events(spark, 10).write.parquet(src)
