@@ -78,7 +78,7 @@ class BoostedTrees:
         self.feature = np.zeros((0, inner), np.int32)
         self.cut = np.zeros((0, inner))
         self.leaf = np.zeros((0, leaves))
-        if not 0 < share < 1:
+        if not n or not 0 < share < 1:
             return self
         edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(f)]
         binned = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1)  # bin b: x <= edges[b]
