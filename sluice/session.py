@@ -50,6 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
         return current.rstrip("/")
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
+        if configured.startswith("file:") and not sc.master.startswith("local") and sc.getConf().get("spark.sluice.sharedFileSystem", "false") != "true":
+            raise RuntimeError(
+                f"spark.checkpoint.dir is {configured}: on a cluster a file: folder is shared only if it is a network mount; "
+                "if it is one on every machine, set spark.sluice.sharedFileSystem=true"
+            )
         sc.setCheckpointDir(configured)
         return configured.rstrip("/")
     if not sc.master.startswith("local"):
