@@ -117,6 +117,17 @@ def edited(rows):
     return out
 
 
+def fewest_bins(sizes, capacity):
+    """A lower bound of the number of bins (Martello and Toth): pieces that cannot share a bin, and what must stand beside them."""
+    best = -(-sum(sizes) // capacity)
+    for a in range(1, capacity // 2 + 1):
+        alone = sum(s > capacity - a for s in sizes)
+        large = [s for s in sizes if capacity // 2 < s <= capacity - a]
+        small = sum(s for s in sizes if a <= s <= capacity // 2)
+        best = max(best, alone + len(large) + max(0, -(-(small - (len(large) * capacity - sum(large))) // capacity)))
+    return best
+
+
 def targets(sizes, max_repeats=3, weights=(5, 2, 1)):
     """source -> target: shared by weight, cut at the cap, the excess shared again."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))

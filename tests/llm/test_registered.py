@@ -91,5 +91,6 @@ def test_pipeline_stages_one_by_one(spark):
     fill = {}
     for r in packed:
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
-    assert max(fill.values()) <= 1024 and len(fill) <= -(-sum(fill.values()) // 1024) + 3
+    # repeated documents of over half a sequence cannot share one: the total length is no attainable bound here
+    assert max(fill.values()) <= 1024 and len(fill) <= brute.fewest_bins([r["length"] for r in packed], 1024) + 2
     assert sum(1 for r in packed if r["piece"] == 0) == mixed.count()
