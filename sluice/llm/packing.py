@@ -49,8 +49,10 @@ class Tokenizer:
         offsets -= offsets[0]
         parts = lists.flatten().dictionary_encode()
         index, names = parts.indices.to_numpy().astype(np.int64), parts.dictionary.to_pylist()
-        odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in names], bool)
-        tokens = [[] if o else self.encode(" " + p) for p, o in zip(names, odd.tolist(), strict=True)]
+        bare = pc.utf8_trim_whitespace(parts.dictionary)
+        odd = pc.or_(pc.equal(bare, ""), pc.not_equal(bare, parts.dictionary)).to_numpy(zero_copy_only=False).astype(bool)
+        encode = self.encode
+        tokens = [[] if o else encode(" " + p) for p, o in zip(names, odd.tolist(), strict=True)]
         n = len(texts)
         whole = np.zeros(n, bool)
         if odd.any() and len(index):
