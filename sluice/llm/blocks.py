@@ -25,7 +25,7 @@ NO_ID = 2**63 - 1
 ROWS = "block int, kind int, bucket long, ids binary, lens binary, body binary"
 ROWS_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("body", pa.binary())])
 #: Kinds of rows.
-TEXT, KEYS, ANSWER = 0, 1, 2
+TEXT, KEYS, ANSWER, LATER = 0, 1, 2, 3
 
 
 class Layout:
@@ -46,9 +46,10 @@ class Layout:
         bounds = self.bounds
 
         def pack(batches):
+            pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back to the machine
             coder = zstandard.ZstdCompressor(level=3)
             for batch in batches:
-                for part in slices(batch, "text", 32 << 20):
+                for part in slices(batch, "text", 4 << 20):
                     ids = part.column("id").to_numpy(zero_copy_only=False)
                     block = np.searchsorted(bounds, ids, "right")
                     texts = part.column("text").cast(pa.binary()).to_pylist()
@@ -68,37 +69,41 @@ def arrow(rows: list[tuple], schema: pa.Schema = ROWS_ARROW) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def per_block(rows: DataFrame, work, schema: str = ROWS, arrow_schema: pa.Schema = ROWS_ARROW) -> DataFrame:
-    """``work(block, ids, texts, answers)`` for each block yields rows; ids ascend, answers are by bucket."""
+def per_block(rows: DataFrame, work, schema: str = ROWS, arrow_schema: pa.Schema = ROWS_ARROW, answers: DataFrame | None = None) -> DataFrame:
+    """``work(ids, texts, answers)`` for each block, with the block's number first, yields rows; ids ascend, ``answers(kind)``
+    are the bodies of that kind in the order of the buckets. The texts are shuffled alone, not with the answers, so that
+    several passes over them in one plan share one exchange."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(texts_of_block: pa.Table, answered: pa.Table | None) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
         decoder = zstandard.ZstdDecompressor()
-        ids, texts, answers = [], [], []
-        for r in table.to_pylist():
-            if r["kind"] == TEXT:
-                lens, body, at = np.frombuffer(r["lens"], np.int64), decoder.decompress(r["body"], max_output_size=int(np.frombuffer(r["lens"], np.int64).sum()) + 1), 0
-                ids.append(np.frombuffer(r["ids"], np.int64))
-                for n in lens.tolist():
-                    texts.append(body[at : at + n])
-                    at += n
-            else:
-                answers.append((r["bucket"], decoder.decompress(r["body"])))
+        ids, texts = [], []
+        for r in texts_of_block.to_pylist():
+            lens, at = np.frombuffer(r["lens"], np.int64), 0
+            body = decoder.decompress(r["body"], max_output_size=int(lens.sum()) + 1)
+            ids.append(np.frombuffer(r["ids"], np.int64))
+            for n in lens.tolist():
+                texts.append(body[at : at + n])
+                at += n
         if not texts:
             return pa.Table.from_batches([], arrow_schema)
         own = np.concatenate(ids)
         order = sorted(range(len(texts)), key=lambda i: (own[i], texts[i]))
-        block = table.column("block")[0].as_py()
-        del table
-        out = list(work(block, own[order], [texts[i] for i in order], [a for _, a in sorted(answers)]))
+        block = texts_of_block.column("block")[0].as_py()
+        got = [] if answered is None else sorted((r["kind"], r["bucket"], decoder.decompress(r["body"])) for r in answered.select(["kind", "bucket", "body"]).to_pylist())
+        out = list(work(block, own[order], [texts[i] for i in order], lambda kind: [a for k, _, a in got if k == kind]))
         return pa.Table.from_batches([arrow(out, arrow_schema)], arrow_schema)
 
-    return rows.groupBy("block").applyInArrow(run, schema)
+    if answers is None:
+        return rows.groupBy("block").applyInArrow(lambda table: run(table, None), schema)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda left, right: run(left, right), schema)
 
 
 def per_bucket(rows: DataFrame, work, schema: str = ROWS, arrow_schema: pa.Schema = ROWS_ARROW) -> DataFrame:
     """``work(bucket, blocks, bodies)`` for each bucket, in the order of the blocks, yields rows."""
 
     def run(table: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
         parts = sorted(((r["block"], r["body"]) for r in table.select(["block", "body"]).to_pylist()), key=lambda p: p[0])
         bucket = table.column("bucket")[0].as_py()
         del table
@@ -172,7 +177,7 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-def word_hashes(data: bytes, lower: bool = False, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: bytes, lower: bool = False, chunk: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """Start positions and 64-bit polynomial hashes of the words of UTF-8 data."""
     buf, values = np.frombuffer(data, np.uint8), byte_values(lower)
     starts, hashes, at = [], [], 0

@@ -100,7 +100,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     def finish(block, ids, texts, answers):
         doc, key = shingles(texts, width)
         keys, inverse = np.unique(key >> drop, return_inverse=True)
-        code = np.frombuffer(b"".join(answers), np.uint8)[inverse]
+        code = np.frombuffer(b"".join(answers(ANSWER)), np.uint8)[inverse]
         at = np.searchsorted(doc, np.arange(len(texts) + 1))
         seen = set()
         for d in range(len(texts)):
@@ -124,7 +124,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
     rows = layout.pack(docs, id_col, text_col)
     sent = per_block(rows, send)
     answers = per_bucket_with_counts(sent, count)
-    return staged(per_block(rows.unionByName(answers), finish, MEASURED_SPARK, MEASURED), "jaccard-measured")
+    return staged(per_block(rows, finish, MEASURED_SPARK, MEASURED, answers), "jaccard-measured")
 
 
 def per_bucket_with_counts(sent: DataFrame, work) -> DataFrame:
@@ -213,7 +213,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def jaccard_components(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, piece: int = 512, block_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, piece: int = 512, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Per row: id, ``n_shingles`` and ``component_id``, the smallest id that links reach; ``class_key``, the same for
     the rows of a component and null for rows that cannot have a link; ``text_md5``, of the text's UTF-8."""

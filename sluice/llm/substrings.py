@@ -51,7 +51,7 @@ def covered(n: int, starts: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(steps[:-1]) > 0
 
 
-def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 20, block_bytes: int = 8 << 20, bucket_bytes: int = 24 << 20, with_text: bool = False) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 20, block_bytes: int = 4 << 20, bucket_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
     """Per row: id, words, removed words, hash of the kept words, the removal ``intervals`` (word numbers,
     end exclusive) and, on request, ``kept_text`` (kept words joined by one space)."""
     layout = Layout(docs, id_col, text_col, block_bytes, bucket_bytes)
@@ -77,7 +77,7 @@ def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col
     def finish(block, ids, texts, answers):
         w = Windows(texts, width)
         keys, index, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        here = np.concatenate([np.unpackbits(np.frombuffer(a[8:], np.uint8), count=int.from_bytes(a[:8], "little")) for a in answers] or [np.zeros(0, np.uint8)]).astype(bool)
+        here = np.concatenate([np.unpackbits(np.frombuffer(a[8:], np.uint8), count=int.from_bytes(a[:8], "little")) for a in answers(ANSWER)] or [np.zeros(0, np.uint8)]).astype(bool)
         doc = w.doc_of_word[w.at]
         rank = np.concatenate(([0], np.cumsum(ids[1:] != ids[:-1])))
         place = (rank[doc] << 32) | (w.at - w.first_word[doc])
@@ -99,4 +99,4 @@ def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col
 
     rows = layout.pack(docs, id_col, text_col)
     answers = per_bucket(per_block(rows, send), compare)
-    return per_block(rows.unionByName(answers), finish, RESULT_SPARK, RESULT)
+    return per_block(rows, finish, RESULT_SPARK, RESULT, answers)

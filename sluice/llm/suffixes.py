@@ -9,11 +9,12 @@ neither possible in one task nor needed, so the work is cut in three exchanges b
 
 1. Every ``length``-byte string holds an anchor, its smallest ``seed``-byte string by hash (the same
    anchor in every copy). Blocks send each anchor's hash with the hash of its context, all bytes that strings around
-   it can reach. A context with an earlier block settles all its strings; an anchor with a
-   single context in the corpus has no other copies.
-2. Only strings around anchors with several contexts stay open (the ends of shared passages). A block
+   it can reach. A context with an earlier block settles all its strings. A string
+   reaches over at least half of the context on one side of its anchor, so strings on a side whose half
+   no other context of the anchor has are the only copies.
+2. Only strings on a side that several contexts share stay open (the ends of shared passages). A block
    suffix-sorts its open strings per anchor and offset; equal neighbours form a class, and each class is sent once.
-3. Buckets find the first block of each class; the blocks that wait for it finish their documents.
+3. Buckets find the first block of each class, and the blocks finish their documents.
 
 A class is compared between blocks by a 64-bit hash with a 32-bit check; contexts by the anchor's hash and 48 bits more.
 
@@ -25,22 +26,17 @@ result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import pickle
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .blocks import ANSWER, BASE, KEYS, NO_ID, ROWS, ROWS_ARROW, UNBASE, Layout, arrow, bucket_slices, compress, decode_sorted, encode_sorted, joined, mix, per_block, per_bucket, powers
-from .common import staged
+from .blocks import ANSWER, BASE, KEYS, LATER, NO_ID, UNBASE, Layout, bucket_slices, compress, decode_sorted, encode_sorted, joined, mix, per_block, per_bucket, powers
 
-DONE, WAITING = 3, 4
 RESULT_COLUMNS = [("doc_id", pa.int64(), "long"), ("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string"), ("kept", pa.binary(), "binary")]
-MIXED = ROWS + "".join(f", {n} {s}" for n, _, s in RESULT_COLUMNS)
-MIXED_ARROW = pa.schema([*ROWS_ARROW, *[(n, t) for n, t, _ in RESULT_COLUMNS]])
-NOTHING = (None,) * len(RESULT_COLUMNS)
+RESULT = pa.schema([(n, t) for n, t, _ in RESULT_COLUMNS])
+RESULT_SPARK = ", ".join(f"{n} {s}" for n, _, s in RESULT_COLUMNS)
+NO_SIDE = np.uint64(0xFFF)
 #: A number per byte value, none of them even.
 BYTES = mix(np.arange(1, 257, dtype=np.uint64) * BASE) | np.uint64(1)
 
@@ -49,7 +45,7 @@ class Anchors:
     """Anchors of a block: hash ``key``, context hash ``ctx``, and the strings each stands for: starts
     ``first`` to ``first + count`` in the joined data."""
 
-    def __init__(self, data: bytes, starts: np.ndarray, length: int, seed: int, chunk: int = 1 << 20):
+    def __init__(self, data: bytes, starts: np.ndarray, length: int, seed: int, chunk: int = 1 << 18):
         buf = np.frombuffer(data, np.uint8)
         ends = np.append(starts[1:], len(buf)) - 1  # without the line feed
         reach, out = length - seed, []
@@ -78,7 +74,17 @@ class Anchors:
             own = d[first - (at - lo)]
             s, e = np.maximum(a - reach, starts[own] - lo), np.minimum(a + length, ends[own] - lo)
             ctx = mix(((sums[e] - sums[s]) * un[s]) ^ mix(((a - s) * 256 + (e - a)).astype(np.uint64)))
-            out.append((h[a], ctx >> np.uint64(16), first + lo, np.diff(np.append(new, len(valid))), own, a + lo))
+            half = (reach + 1) // 2
+
+            def side(b, whole):
+                """Twelve bits of the hash of half a context, or NO_SIDE at the text's end."""
+                b = np.where(whole, b, a)
+                return np.where(whole, mix((sums[b + half] - sums[b]) * un[b]) % NO_SIDE, NO_SIDE)
+
+            left = side(a - half, a - half >= starts[own] - lo)
+            right = side(a + seed, a + seed + half <= ends[own] - lo)
+            ctx = (left << np.uint64(36)) | (right << np.uint64(24)) | (ctx >> np.uint64(40))
+            out.append((h[a], ctx, first + lo, np.diff(np.append(new, len(valid))), own, a + lo))
         cols = list(zip(*out, strict=True)) if out else [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], *[[np.zeros(0, np.int64)]] * 4]
         self.key, self.ctx, self.first, self.count, self.doc, self.at = (np.concatenate(c) for c in cols)
 
@@ -153,7 +159,7 @@ def sort_suffixes(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.n
     return order, same
 
 
-def string_classes(data: bytes, place: np.ndarray, group: np.ndarray, length: int, slab: int = 50_000):
+def string_classes(data: bytes, place: np.ndarray, group: np.ndarray, length: int, slab: int = 20_000):
     """Class numbers of the strings at ``place`` (equal strings are in one group), and each class's hash and check."""
     buf = np.frombuffer(data, np.uint8)
     cls, hashes, checks, at, classes = np.zeros(len(place), np.int64), [], [], 0, 0
@@ -199,7 +205,7 @@ def finished(ids, texts: list[bytes], repeated: np.ndarray, length: int, with_ke
 
 
 def remove_repeated_strings(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, seed: int = 20, block_bytes: int = 2 << 20, bucket_bytes: int = 24 << 20, with_kept: bool = False,
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 50, seed: int = 20, block_bytes: int = 2 << 20, bucket_bytes: int = 8 << 20, with_kept: bool = False,
 ) -> DataFrame:
     """Per row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, on request, the ``kept`` bytes."""
     layout = Layout(docs, id_col, text_col, block_bytes, bucket_bytes)
@@ -229,24 +235,33 @@ def remove_repeated_strings(
         new_key = np.concatenate(([True], k[1:] != k[:-1]))
         first = new_key | np.concatenate(([True], c[1:] != c[:-1]))
         number = np.cumsum(new_key) - 1
-        several = np.bincount(number, first)[number] > 1
-        code = np.empty(len(k), np.uint8)  # 0 alone, 1 settled by an earlier block, 2 open
-        code[order] = np.where(first, np.where(several, 2, 0), 1)
+        several = first & (np.bincount(number, first)[number] > 1)
+        code = np.empty(len(k), np.uint8)  # 0 alone, 1 settled by an earlier block, 2 and 4 open to the left and right
+        open_ = np.zeros(len(k), np.uint8)
+        some = np.flatnonzero(several)
+        for bit, half in ((2, c[some] >> np.uint64(36)), (4, (c[some] >> np.uint64(24)) & NO_SIDE)):
+            by = np.lexsort((half, number[some]))
+            n, v = number[some][by], half[by]
+            group = np.cumsum(np.concatenate(([True], (n[1:] != n[:-1]) | (v[1:] != v[:-1])))) - 1 if len(by) else by
+            shared = (np.bincount(group)[group] > 1) & (v != NO_SIDE) if len(by) else by
+            open_[some[by]] |= np.where(shared, bit, 0).astype(np.uint8)
+        code[order] = np.where(first, open_, 1)
         at = 0
         for block, n in zip(blocks, sizes, strict=True):
             yield block, ANSWER, bucket, None, None, compress(code[at : at + n].tobytes())
             at += n
 
-    def settle(block, ids, texts, answers):
+    def opened(ids, texts, codes):
+        """Flags of the strings settled as repeated; the open strings' places, classes, and whether a smaller id of
+        the block has the class; the classes' hashes and checks, ascending."""
         data, starts = joined(texts)
         a = Anchors(data, starts, length, seed)
         key, _, entry = a.entries(drop)
-        code = np.frombuffer(b"".join(answers), np.uint8)
         rank = np.concatenate(([0], np.cumsum(ids[1:] != ids[:-1])))
         own = rank[a.doc]
         least = np.full(len(key), len(ids), np.int64)
         np.minimum.at(least, entry, own)
-        code = code[entry]
+        code = np.frombuffer(b"".join(codes), np.uint8)[entry]
         settled = (code == 1) | (own > least[entry])
         repeated = np.zeros(len(data), bool)
 
@@ -256,32 +271,25 @@ def remove_repeated_strings(
             return of, a.first[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
 
         repeated[strings(np.flatnonzero(settled))[1]] = True
-        of, place = strings(np.flatnonzero(~settled & (code == 2)))
-        waits = np.zeros(len(texts), bool)
-        if len(place):
-            # a string's copies have the same anchor at the same offset
-            _, group = np.unique((a.key[of] >> np.uint64(8) << np.uint64(8)) | (a.at[of] - place).astype(np.uint64), return_inverse=True)
-            cls, hashes, checks = string_classes(data, place, group, length)
-            by = np.lexsort((checks, hashes))
-            renumber = np.empty(len(by), np.int64)
-            renumber[by] = np.arange(len(by))
-            cls, hashes, checks = renumber[cls], hashes[by], checks[by]
-            low = np.full(len(hashes), len(ids), np.int64)
-            np.minimum.at(low, cls, own[of])
-            for b, s, e in bucket_slices(hashes, buckets):
-                head = encode_sorted(hashes[s:e])
-                yield (block, KEYS, b, None, None, len(head).to_bytes(8, "little") + head + checks[s:e].tobytes(), *NOTHING)
-            waits[a.doc[of]] = True
-            at = np.append(starts, len(data))
-            shift = np.concatenate(([0], np.cumsum(np.where(waits, np.diff(at), 0))))[:-1] - starts
-            flags = np.concatenate([repeated[at[d] : at[d + 1]] for d in np.flatnonzero(waits)])
-            body = (ids[waits], [texts[d] for d in np.flatnonzero(waits)], np.packbits(flags), (place + shift[a.doc[of]]).astype(np.int64), cls.astype(np.int32), own[of] > low[cls])
-            yield (block, WAITING, 0, None, None, compress(pickle.dumps(body)), *NOTHING)
-        at = np.append(starts, len(data))
-        rest = np.flatnonzero(~waits)
-        flags = np.concatenate([repeated[at[d] : at[d + 1]] for d in rest] or [np.zeros(0, bool)])
-        for row in finished(ids[rest], [texts[d] for d in rest], flags, length, with_kept):
-            yield (block, DONE, 0, None, None, None, *row)
+        of, place = strings(np.flatnonzero(~settled & (code >= 2)))
+        keep = code[of] & np.where(a.at[of] - place >= (length - seed + 1) // 2, 2, 4) > 0
+        of, place = of[keep], place[keep]
+        # a string's copies have the same anchor at the same offset
+        _, group = np.unique((a.key[of] >> np.uint64(8) << np.uint64(8)) | (a.at[of] - place).astype(np.uint64), return_inverse=True)
+        cls, hashes, checks = string_classes(data, place, group, length)
+        by = np.lexsort((checks, hashes))
+        renumber = np.empty(len(by), np.int64)
+        renumber[by] = np.arange(len(by))
+        cls, hashes, checks = renumber[cls], hashes[by], checks[by]
+        low = np.full(len(hashes), len(ids), np.int64)
+        np.minimum.at(low, cls, own[of])
+        return repeated, place, cls, own[of] > low[cls], hashes, checks
+
+    def send_open(block, ids, texts, answers):
+        *_, hashes, checks = opened(ids, texts, answers(ANSWER))
+        for b, s, e in bucket_slices(hashes, buckets):
+            head = encode_sorted(hashes[s:e])
+            yield block, KEYS, b, None, None, len(head).to_bytes(8, "little") + head + checks[s:e].tobytes()
 
     def earliest(bucket, blocks, bodies):
         hashes, checks = [], []
@@ -295,29 +303,17 @@ def remove_repeated_strings(
         first[order] = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])))
         at = 0
         for block, part in zip(blocks, hashes, strict=True):
-            yield block, ANSWER, bucket, None, None, compress(first[at : at + len(part)].tobytes())
+            yield block, LATER, bucket, None, None, compress(first[at : at + len(part)].tobytes())
             at += len(part)
 
-    result = pa.schema([(n, t) for n, t, _ in RESULT_COLUMNS])
-
-    def finish(table: pa.Table) -> pa.Table:
-        decoder, answers, body = zstandard.ZstdDecompressor(), [], None
-        for r in table.to_pylist():
-            if r["kind"] == WAITING:
-                body = pickle.loads(decoder.decompress(r["body"]))
-            else:
-                answers.append((r["bucket"], decoder.decompress(r["body"])))
-        ids, texts, flags, place, cls, later = body
-        first = np.frombuffer(b"".join(x for _, x in sorted(answers)), bool)
-        repeated = np.unpackbits(flags, count=sum(len(t) + 1 for t in texts)).astype(bool)
+    def finish(block, ids, texts, answers):
+        repeated, place, cls, later, _, _ = opened(ids, texts, answers(ANSWER))
+        first = np.frombuffer(b"".join(answers(LATER)), bool)
         repeated[place[later | ~first[cls]]] = True
-        return pa.Table.from_batches([arrow(list(finished(ids, texts, repeated, length, with_kept)), result)])
+        yield from finished(ids, texts, repeated, length, with_kept)
 
+    # One plan: the texts are shuffled once and read three times, which recomputes the open strings but stores none of them.
     rows = layout.pack(docs, id_col, text_col)
-    answers = per_bucket(per_block(rows, send), compare)
-    settled = staged(per_block(rows.unionByName(answers), settle, MIXED, MIXED_ARROW), "suffix-settled")
-    plain = settled.select(*[f.name for f in ROWS_ARROW])
-    waiting = plain.where(F.col("kind") == WAITING).unionByName(per_bucket(plain, earliest))
-    names = [n for n, _, _ in RESULT_COLUMNS]
-    late = waiting.groupBy("block").applyInArrow(finish, ", ".join(f"{n} {s}" for n, _, s in RESULT_COLUMNS))
-    return settled.where(F.col("kind") == DONE).select(*names).unionByName(late)
+    codes = per_bucket(per_block(rows, send), compare)
+    firsts = per_bucket(per_block(rows, send_open, answers=codes), earliest)
+    return per_block(rows, finish, RESULT_SPARK, RESULT, codes.unionByName(firsts))
