@@ -14,8 +14,10 @@ each document's connected component. Steps:
    is multiplied as an incidence matrix with its transpose, in blocks of shingles: the accumulated counts are the
    overlaps, and pairs under the size bounds are discarded. Links become components; then a
    second round, with hubs outside a node's own component.
-4. What is left, pairs of nodes with a common posting in different components and of fitting size, is
-   verified pair by pair. So no pair is lost, and none is emitted inside a component.
+4. What is left, pairs of nodes with a common posting in different components and inside the bounds, is
+   verified pair by pair. So no pair is lost, and none is emitted inside a component. The bounds: with p
+   shingles before its first common one, a set of n can share n - p at most, which limits its partner's
+   size (``reach``); a linked pair meets this, both ways, at its first common shingle.
 
 Components come from repeated contraction to the smallest neighbour, staged in the shared folder.
 
@@ -224,9 +226,12 @@ def jaccard_components(
     holders = firsts.groupBy("node").agg(F.min("doc_id").alias("holder"), F.count("*").alias("times"))
     sets = firsts.join(holders.select(F.col("node").alias("h_node"), "holder", "times"), (F.col("node") == F.col("h_node")) & F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", F.col("n_shingles").alias("n"), "shared", "posted")
     sets = staged(sets, "jaccard-sets")
-    posted = sets.select("node", "n", F.explode("posted").alias("s"))
-    ends = posted.groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").withColumnRenamed("s", "e_s")
-    posted = staged(posted.join(ends, F.col("s") == F.col("e_s")).select("s", "node", "n", "low", "high"), "jaccard-postings")
+    posted = sets.select("node", "n", "shared", F.posexplode("posted").alias("k", "s"))
+    rest = F.octet_length("shared").cast("long") / 8 - F.col("k")  # shingles from this one on
+    posted = posted.select("s", "node", "n", F.floor((rest * (100 + percent) - percent * F.col("n")) / percent).alias("reach"))
+    widest = F.max(F.struct("reach", "node"))["node"].alias("low")
+    ends = posted.groupBy("s").agg(widest, F.max("node").alias("high"), F.min("node").alias("least")).where("least <> high").withColumnRenamed("s", "e_s")
+    posted = staged(posted.join(ends, F.col("s") == F.col("e_s")).select("s", "node", "n", "reach", "low", "high"), "jaccard-postings")
     groups = max(1, -(-int(sets.agg(F.coalesce(F.sum(F.octet_length("shared")), F.lit(0)).alias("b")).first()["b"]) // (4 << 20)))
 
     def cluster(postings: DataFrame) -> DataFrame:
@@ -243,7 +248,7 @@ def jaccard_components(
 
     def open_postings(comp: DataFrame) -> DataFrame:
         """Postings of more than one component, with the components."""
-        own = posted.select("s", "node", "n").join(comp.select(F.col("node").alias("c_node"), "comp"), F.col("node") == F.col("c_node")).select("s", "node", "n", "comp")
+        own = posted.select("s", "node", "n", "reach").join(comp.select(F.col("node").alias("c_node"), "comp"), F.col("node") == F.col("c_node")).select("s", "node", "n", "reach", "comp")
         mixed = own.groupBy("s").agg(F.min("comp").alias("low_comp"), F.max("comp").alias("high_comp")).where("low_comp <> high_comp").withColumnRenamed("s", "e_s")
         return own.join(mixed, F.col("s") == F.col("e_s")).drop("e_s")
 
@@ -256,15 +261,15 @@ def jaccard_components(
 
     # hubs of the second round: a node of another component in the same posting
     still = open_postings(comp)
-    hub = still.groupBy("s").agg(F.min(F.struct("comp", "node"))["node"].alias("low"), F.max(F.struct("comp", "node"))["node"].alias("high")).withColumnRenamed("s", "h_s")
+    hub = still.groupBy("s").agg(F.max_by("node", F.struct(F.col("comp") == F.col("low_comp"), F.col("reach"), F.col("node"))).alias("low"), F.max_by("node", F.struct(F.col("comp") == F.col("high_comp"), F.col("reach"), F.col("node"))).alias("high")).withColumnRenamed("s", "h_s")
     second = still.join(hub, F.col("s") == F.col("h_s")).select("node", "comp", "low_comp", "high_comp", "low", "high")
     second = second.select("node", F.when(F.col("comp") != F.col("low_comp"), F.col("low")).otherwise(F.col("high")).alias("low"), F.when(F.col("comp") != F.col("high_comp"), F.col("high")).otherwise(F.col("low")).alias("high"))
     comp = rejoin(comp, _linked(cluster(second), percent, groups))
 
     # the rest, pair by pair, inside the size bounds
-    still = staged(open_postings(comp).select("s", "node", "n", "comp"), "jaccard-open")
-    other = still.select(F.col("s").alias("s2"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    fitting = (F.col("s") == F.col("s2")) & (F.col("comp") < F.col("comp2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
+    still = staged(open_postings(comp).select("s", "node", "n", "reach", "comp"), "jaccard-open")
+    other = still.select(F.col("s").alias("s2"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("reach").alias("reach2"), F.col("comp").alias("comp2"))
+    fitting = (F.col("s") == F.col("s2")) & (F.col("comp") < F.col("comp2")) & (F.col("n") <= F.col("reach2")) & (F.col("n2") <= F.col("reach"))
     pairs = still.join(other, fitting).select(F.col("node").alias("a"), "b").distinct()
     rest = pairs.select(F.concat("a", "b").alias("cluster"), F.explode(F.array("a", "b")).alias("p_node"))
     rest = sets.join(rest, F.col("node") == F.col("p_node")).select("cluster", "node", "n", "shared")
