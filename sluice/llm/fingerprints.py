@@ -1,21 +1,27 @@
 """Document fingerprints by I-Match: hashes of a document's sorted distinct terms, for several lexicon subsets.
 
 The lexicon holds the terms whose document frequency lies in a band, ``low`` to ``high`` as
-shares of the documents (that is a band of inverse document frequency). It is split at
+shares of the distinct texts (that is a band of inverse document frequency; copies count once). It is split at
 random, by a hash of the term, into G subsets; a document's signature for a subset is the hash of its sorted
 distinct terms there. G follows the document's number of terms (the powers of two at and above it,
 32 at least), so that a subset holds about one term of the document; 32 subsets
 are kept for each of two adjacent G, so that texts of similar size have one G in common.
 
-Likeness of two fingerprints: the share of equal signatures among the subsets, at a common G, in
-which either document has a term; 0 without a common G (their numbers of terms then differ by a factor of over 2).
+A document has few lexicon terms when they are under ``FEW`` or under ``FEW_SHARE`` of its distinct terms, as in a large
+group of near copies, whose terms are all above the band, or in a rare language, whose terms are all
+below it. Such a document has the signatures of all its distinct terms instead. A document with up to twice as many
+has both, so that two texts on the two sides of the limit still have one kind in common.
+
+Likeness of two fingerprints: the share of equal signatures among the subsets, at a common kind and G, in
+which either document has a term; 0 without a common G (their numbers of terms then differ by a factor of over 2)
+or without a common kind.
 
 The band bounds the lexicon: a document has some D distinct terms on average, so at most D / ``low`` terms
 reach the lower end. It is held in a table of ``2**slot_bits`` slots with an 8-bit tag of the slot's
 term (of two terms in one slot, the one with the higher frequency is in the lexicon), which
 reaches the tasks as a constant. All is DataFrame expressions; nothing runs in Python.
 
-Defined cases: a null text is an empty text; a text without a lexicon term has a hash of the whole
+Defined cases: a null text is an empty text; a text without a word has a hash of the whole
 text as its fingerprint, likeness 1 to an equal one and 0 to others; equal texts have equal
 fingerprints; null ids come after all others; rows with one id are in the order of their texts;
 the document after the last is the first, and a single document follows itself; an
@@ -30,13 +36,15 @@ from pyspark.sql import functions as F
 from .common import array_literal, col, let, words_of
 
 SUBSETS = 32
+#: Under so many lexicon terms, or under this share of all distinct terms, all terms are signed.
+FEW, FEW_SHARE = 8, 0.1
 
 
 def lexicon_table(docs: DataFrame, *, text_col: str = "text", low: float = 0.0005, high: float = 0.02, least: int = 2, slot_bits: int = 18) -> DataFrame:
     """One row with one array: by slot, the tag (1 to 255) of the lexicon term there, or 0."""
     slots = 2**slot_bits
-    texts = docs.select(col(docs, text_col).alias("text"))
-    n = docs.agg(F.count("*").alias("n")).scalar()
+    texts = docs.select(F.coalesce(col(docs, text_col), F.lit("")).alias("text")).distinct()
+    n = texts.agg(F.count("*").alias("n")).scalar()
     terms = texts.select(F.explode(term_hashes(F.col("text"))).alias("term"))
     kept = terms.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= F.greatest(F.lit(least), n * low)) & (F.col("df") <= F.greatest(F.lit(least), n * high)))
     slot = F.pmod("term", F.lit(slots)).alias("slot")
@@ -56,8 +64,8 @@ def term_hashes(text: Column) -> Column:
 
 
 def _level(n: Column) -> Column:
-    """5 or more: the power of two at or above the number of terms; 0 without a term."""
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(5), F.ceil(F.log2(n)).cast("int")))
+    """5 or more: the power of two at or above the number of terms, of which there is one at least."""
+    return F.greatest(F.lit(5), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int"))
 
 
 def _signatures(terms: Column, groups: Column) -> Column:
@@ -72,24 +80,34 @@ def _signatures(terms: Column, groups: Column) -> Column:
 
 
 def with_fingerprint(rows: DataFrame, table: Column, text: str, name: str, slot_bits: int = 18) -> DataFrame:
-    """Add the struct ``name``: level, signatures at two levels, and ``whole`` for texts without terms."""
+    """Add the struct ``name``: ``banded`` for the lexicon terms and ``every`` for all terms, each with its level and signatures at two levels, and ``whole`` for texts without terms."""
     slots = 2**slot_bits
-    known = F.filter(term_hashes(F.col(text)), lambda t: F.get(table, F.pmod(t, F.lit(slots)).cast("int")) == _tag(t))
 
-    def made(terms):
+    def signed(terms):
         level = _level(F.size(terms))
         return F.struct(
             level.alias("level"),
-            F.when(level > 0, let(F.pow(F.lit(2.0), level).cast("long"), lambda g: _signatures(terms, g))).alias("first"),
-            F.when(level > 0, let(F.pow(F.lit(2.0), level + 1).cast("long"), lambda g: _signatures(terms, g))).alias("second"),
-            F.when(level == 0, F.substring(F.sha2(F.col(text), 256), 1, 32)).alias("whole"),
+            let(F.pow(F.lit(2.0), level).cast("long"), lambda g: _signatures(terms, g)).alias("first"),
+            let(F.pow(F.lit(2.0), level + 1).cast("long"), lambda g: _signatures(terms, g)).alias("second"),
+        )
+
+    def made(terms, known):
+        few = F.greatest(F.lit(FEW), F.size(terms) * FEW_SHARE)
+        return F.struct(
+            F.when(F.size(known) >= few, signed(known)).alias("banded"),
+            F.when((F.size(known) < 2 * few) & (F.size(terms) > 0), signed(terms)).alias("every"),
+            F.when(F.size(terms) == 0, F.substring(F.sha2(F.col(text), 256), 1, 32)).alias("whole"),
         )
 
-    return rows.withColumn(name, let(known, made))
+    known = lambda terms: F.filter(terms, lambda t: F.get(table, F.pmod(t, F.lit(slots)).cast("int")) == _tag(t))
+    return rows.withColumn(name, let(term_hashes(F.col(text)), lambda terms: let(known(terms), lambda few: made(terms, few))))
 
 
 def as_text(f: Column) -> Column:
-    return F.when(f["level"] == 0, F.concat(F.lit("0:"), f["whole"])).otherwise(F.concat_ws(":", f["level"].cast("string"), F.array_join(f["first"], ""), F.array_join(f["second"], "")))
+    def of(kind, mark):
+        return F.when(kind.isNotNull(), F.concat_ws(":", F.concat(F.lit(mark), kind["level"].cast("string")), F.array_join(kind["first"], ""), F.array_join(kind["second"], "")))
+
+    return F.when(f["whole"].isNotNull(), F.concat(F.lit("0:"), f["whole"])).otherwise(F.concat_ws(":", of(f["banded"], ""), of(f["every"], "all")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -100,12 +118,19 @@ def likeness(a: Column, b: Column) -> Column:
         sums = F.aggregate(both, F.struct(F.lit(0).alias("any"), F.lit(0).alias("same")), lambda s, z: F.struct((s["any"] + z["any"]).alias("any"), (s["same"] + z["same"]).alias("same")))
         return F.when(sums["any"] == 0, 0.0).otherwise(sums["same"] / F.greatest(sums["any"], F.lit(1)))
 
+    def near(x, y):
+        return (
+            F.when((x["level"] == y["level"]) & (x["first"] == y["first"]) & (x["second"] == y["second"]), 1.0)
+            .when(x["level"] == y["level"], share(x["first"], y["first"]))
+            .when(x["level"] + 1 == y["level"], share(x["second"], y["first"]))
+            .when(x["level"] == y["level"] + 1, share(x["first"], y["second"]))
+            .otherwise(0.0)
+        )
+
     return (
-        F.when((a["level"] == 0) | (b["level"] == 0), (a["whole"].eqNullSafe(b["whole"])).cast("double"))
-        .when((a["level"] == b["level"]) & (a["first"] == b["first"]) & (a["second"] == b["second"]), 1.0)
-        .when(a["level"] == b["level"], share(a["first"], b["first"]))
-        .when(a["level"] + 1 == b["level"], share(a["second"], b["first"]))
-        .when(a["level"] == b["level"] + 1, share(a["first"], b["second"]))
+        F.when(a["whole"].isNotNull() | b["whole"].isNotNull(), (a["whole"].eqNullSafe(b["whole"])).cast("double"))
+        .when(a["banded"].isNotNull() & b["banded"].isNotNull(), near(a["banded"], b["banded"]))
+        .when(a["every"].isNotNull() & b["every"].isNotNull(), near(a["every"], b["every"]))
         .otherwise(0.0)
     )
 

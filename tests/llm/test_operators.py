@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import packing, quality_gbt, suffixes
-from sluice.llm.fingerprints import compare_fingerprints
+from sluice.llm.fingerprints import compare_fingerprints, lexicon_table
 from sluice.llm.jaccard import cluster_links, drop_near_duplicates, jaccard_components
 from sluice.llm.langid import identify_languages
 from sluice.llm.mixing import apply_mix, mix_sources
@@ -187,6 +187,18 @@ def test_fingerprints(docs, rows, nothing):
     assert compare_fingerprints(nothing, slot_bits=10).count() == 0
 
 
+def test_fingerprints_of_a_large_group_of_near_copies_and_of_copies(spark):
+    base = [f"hot{i}" for i in range(150)]
+    near = [(i, " ".join([*base[:i], f"edit{i}", *base[i + 1 :]])) for i in range(40)]
+    rest = [(100 + i, " ".join(f"w{(i * 7 + j) % 400}" for j in range(120))) for i in range(40)]
+    got = {r["doc_id"]: r for r in compare_fingerprints(spark.createDataFrame(near + rest, "doc_id bigint, text string"), slot_bits=12).collect()}
+    assert all(got[i]["near_next"] >= 0.5 for i in range(39)) and got[39]["near_next"] < 0.2
+    # copies count once in the document frequencies
+    once = [(i, " ".join(f"t{(i + j) % 60}" for j in range(12))) for i in range(60)]
+    tables = [lexicon_table(spark.createDataFrame(some, "doc_id bigint, text string"), low=0.1, high=0.3, slot_bits=10).first()["tags"] for some in (once, once + [(100 + k, once[0][1]) for k in range(50)])]
+    assert tables[0] == tables[1] and any(tables[0])
+
+
 def test_one_document_follows_itself(spark):
     one = spark.createDataFrame([(3, "abcdefgh")], "doc_id bigint, text string")
     r = compare_fingerprints(one, slot_bits=10).first()
