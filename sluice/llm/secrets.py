@@ -1,11 +1,14 @@
 """Secret scans: three patterns, and Shannon entropy in windows that slide over candidate strings.
 
 A candidate is a long run of characters of one class (hexadecimal, or base 64 with its URL
-form). A window of fixed length slides over it; the counts of the window's characters, and
-with them its entropy, are updated by the character that enters and the one that leaves. The
-windows whose entropy reaches the class's threshold are merged into spans. Candidates that
-match the allow list (plain words, numbers, identifiers in the 8-4-4-4-12 form, stated
-examples, alphabets) are left alone, and so is an entropy span inside a span of a pattern.
+form), ``SHORTEST`` characters at least with up to two padding signs. Segments that are words around a stated
+example mark ("example", "your"), and alphabets, are cut out of it, so that a key beside them is still
+looked at. A window of fixed length slides over each piece; the counts of the window's characters, and
+with them its entropy, are updated by the character that enters and the one that leaves. A shorter
+piece is one window, with the same share of the largest possible entropy as threshold. The
+windows whose entropy reaches the threshold are merged into spans. Left alone are pieces that
+match the allow list (plain words, numbers, identifiers in the 8-4-4-4-12 form), pieces shorter than
+a window made of words with numbers, spans with an example mark inside, and an entropy span inside a span of a pattern.
 
 Defined cases: a null text is an empty text and has no spans; the whole text is scanned, however
 long; rows stay as they are, repeated rows included; an empty table gives an empty result.
@@ -28,19 +31,25 @@ ASSIGN = r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
 
+#: Least length of a candidate, padding included.
+SHORTEST = 20
 #: Candidate classes: pattern, window length, least entropy in bits of a window.
 CLASSES = (
-    ("hex", r"[0-9a-fA-F]{24,}", 24, 3.0),
-    ("base64", r"[A-Za-z0-9+/_-]{24,}", 24, 3.9),
+    ("hex", r"[0-9a-fA-F]{20,}", 24, 3.0),
+    ("base64", r"[A-Za-z0-9+/_-]{18,}={0,2}", 24, 3.9),
 )
 #: Candidates that are never secrets.
 ALLOW = (
     r"[A-Za-z]+(?:[-_/+][A-Za-z]+)*",
     r"[0-9]+(?:[-_/][0-9]+)*",
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r".*(?i:example|placeholder|changeme|your[-_]).*",
-    r".*(?:0123456789abcdef|abcdefghijklmnop|ABCDEFGHIJKLMNOP).*",
 )
+#: Stated examples, and alphabets.
+MARK = re.compile(r"(?i:example|placeholder|changeme|your(?=[-_]))")
+ALPHABET = re.compile(r"(?:0123456789abcdef(?:ghijklmnop(?:qrstuvwxyz)?)?|(?:abcdefghijklmnop(?:qrstuvwxyz)?|ABCDEFGHIJKLMNOP(?:QRSTUVWXYZ)?)(?:0123456789)?)+")
+SEGMENT = re.compile(r"[^-_/+]+")
+#: A segment of words, in camel case or capitals, or a number.
+WORDY = re.compile(r"[a-z]*(?:[A-Z][a-z]+)*[0-9]*|[A-Z]+[0-9]*")
 
 
 def entropy_spans(candidate: str, window: int, least: float) -> list[tuple[int, int]]:
@@ -92,16 +101,39 @@ class Scanner:
         found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
         return sorted(found)
 
+    def pieces(self, run: str) -> list[tuple[int, int]]:
+        """[start, end) of what is left of a run without alphabets and word-like segments with a mark."""
+        if not self.allow:
+            return [(0, len(run))]
+        cuts = [m.span() for m in ALPHABET.finditer(run)]
+        if MARK.search(run):
+            cuts += [g.span() for g in SEGMENT.finditer(run) if MARK.search(run[g.start() : g.end() + 1]) and WORDY.fullmatch(g[0])]
+        out, at = [], 0
+        for a, b in [*sorted(cuts), (len(run), len(run))]:
+            left = len(run[at:a]) - len(run[at:a].lstrip("-_/+")) if at else 0
+            if a - at - left >= SHORTEST:
+                out.append((at + left, a))
+            at = max(at, b)
+        return out
+
     def spans(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         base, added = self.base(text), set()
         for pattern, window, least in self.classes:
             for m in pattern.finditer(text):
-                if self.allow and self.allow.fullmatch(m[0]):
-                    continue
-                for a, b in entropy_spans(m[0], window, least):
-                    a, b = a + m.start(), b + m.start()
-                    if not any(s <= a and b <= e for s, _, e in base):
-                        added.add((a, 3, b))
+                for start, end in self.pieces(m[0]):
+                    piece = m[0][start:end]
+                    bare = piece.rstrip("=")
+                    if self.allow and self.allow.fullmatch(bare):
+                        continue
+                    if self.allow and len(bare) < window and all(WORDY.fullmatch(g) for g in SEGMENT.findall(bare)):
+                        continue
+                    width = min(window, len(bare))
+                    for a, b in entropy_spans(bare, width, least * math.log2(width) / math.log2(window)):
+                        if self.allow and MARK.search(bare, a, b):
+                            continue
+                        a, b = a + m.start() + start, (len(piece) if b == len(bare) else b) + m.start() + start
+                        if not any(s <= a and b <= e for s, _, e in base):
+                            added.add((a, 3, b))
         kept = [x for x in added if not any(y != x and y[0] <= x[0] and x[2] <= y[2] for y in added)]
         return base, sorted(base + kept)
 

@@ -150,6 +150,19 @@ def test_secrets(docs, rows, nothing):
     assert sorted(map(repr, (t for _, t in rows if not scanner.spans(t or "")[1]))) == sorted(repr(r["text"]) for r in clean.select("text").collect() if "[REDACTED]" not in (r["text"] or ""))
 
 
+def test_secrets_short_padded_and_beside_example_words():
+    found = lambda text: [text[s:e] for s, k, e in Scanner().spans(text)[1] if k == 3]
+    key = "9fK3bQz7LmXw2PsVt8RnYc"
+    assert found(f"use {key}== here") == [f"{key}=="] and found(f"use {key[:20]} here") == [key[:20]]
+    assert found("id 3f9a1c7e5b2d8064af13 end") == ["3f9a1c7e5b2d8064af13"]
+    for before in ("example_app/", "your_", "some/placeholder/", "myExampleApp-", "abcdefghijklmnopqrstuvwxyz/"):
+        got = found(f"{before}{key}{key[::-1]} and")
+        assert len(got) == 1 and key in got[0], before
+    assert found(f"{key}{key[::-1]}/example_app")[0].startswith(key + key[::-1])
+    assert found("report_2024-Q3_final getUserNameFromTable2 wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY") == []
+    assert found("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/ 123e4567-e89b-12d3-a456-426614174000") == []
+
+
 def test_entropy_windows_match_direct_sums():
     rng = np.random.default_rng(1)
     for n, least in ((60, 3.0), (100, 2.5), (30, 3.4), (5, 1.0)):
