@@ -8,8 +8,9 @@ lower-cased, and runs of ASCII characters that are no letters count as one space
 are compressed at a higher level, which finds matches of three bytes. When the two smallest
 totals differ by less than ``min_margin`` of the second, the verdict is marked as not accepted.
 
-The sample is the only bounded part: at most ``sample_docs`` training rows per language, those with the
-smallest hash of the text, cut at ``dict_bytes`` bytes of dictionary. Every text is scored whole.
+The sample is the only bounded part: at most ``sample_docs`` distinct training texts per language, those with the
+smallest hash, each with one passage from a place that a hash of the text chooses, cut at ``dict_bytes`` bytes
+of dictionary. So neither copies nor a shared opening fill a dictionary. Every text is scored whole.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the
 language with more training rows, then to the first by code point; repeated rows get equal results; no training row at
@@ -42,8 +43,9 @@ def train_dictionaries(train: DataFrame, *, text_col: str = "text", lang_col: st
     rows = train.select(col(train, lang_col).alias("lang"), col(train, text_col).alias("text")).where("lang IS NOT NULL AND length(text) > 0")
     # an equal share of each sampled text, so that one long text does not fill the dictionary
     share = max(512, dict_bytes // sample_docs)
-    hashed = rows.select("lang", F.xxhash64("text").alias("h"), F.substring("text", 1, share).alias("text"))
-    names = [r["lang"] for r in hashed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    place = F.pmod(F.xxhash64("text", F.lit("place")), F.greatest(F.char_length("text") - share + 1, F.lit(1))).cast("int") + 1
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"), F.substring(F.col("text"), place, F.lit(share)).alias("text")).distinct()
+    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     best = Window.partitionBy("lang").orderBy("h", "text")
     found: dict[str, list[bytes]] = {n: [] for n in names}
     for r in hashed.where(F.col("lang").isin(names)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= sample_docs).orderBy("lang", "rank").collect():

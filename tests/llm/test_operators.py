@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sluice.llm import packing, quality_gbt, suffixes
 from sluice.llm.fingerprints import compare_fingerprints, lexicon_table
 from sluice.llm.jaccard import cluster_links, drop_near_duplicates, jaccard_components
-from sluice.llm.langid import identify_languages
+from sluice.llm.langid import identify_languages, train_dictionaries
 from sluice.llm.mixing import apply_mix, mix_sources
 from sluice.llm.quality_rules import apply_quality_rules, base_counts
 from sluice.llm.secrets import Scanner, entropy_spans, joined, redact_secrets, scan_secrets
@@ -280,6 +280,14 @@ def test_language_and_quality_on_odd_rows(spark, docs, rows, nothing):
     assert quality_gbt.keep_quality(docs, labels).columns == docs.columns
 
 
+def test_language_sample_has_no_copies_and_no_shared_opening(spark):
+    opening = "licence " * 80
+    rows = [("en", "same words again " * 40)] * 300 + [("en", opening + " ".join(f"en{chr(97 + i % 26)}{chr(97 + j % 26)}" for j in range(300))) for i in range(60)]
+    (name, content), = train_dictionaries(spark.createDataFrame(rows, "lang string, text string"))
+    assert name == "en" and content.count(b"same words again") <= 512 // 17 + 1
+    assert content.count(b"licence") * 8 < len(content) / 2 and content.count(b"en") > 1000
+
+
 def test_flat_trees_match_a_walk_by_hand():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 4))
