@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sluice.llm import packing, quality_gbt, suffixes
 from sluice.llm.fingerprints import compare_fingerprints, lexicon_table
 from sluice.llm.jaccard import cluster_links, drop_near_duplicates, jaccard_components
-from sluice.llm.langid import identify_languages, train_dictionaries
+from sluice.llm.langid import Classifier, identify_languages, train_dictionaries
 from sluice.llm.mixing import apply_mix, mix_sources
 from sluice.llm.quality_rules import apply_quality_rules, base_counts
 from sluice.llm.secrets import Scanner, entropy_spans, joined, redact_secrets, scan_secrets
@@ -288,6 +288,16 @@ def test_language_sample_has_no_copies_and_no_shared_opening(spark):
     assert content.count(b"licence") * 8 < len(content) / 2 and content.count(b"en") > 1000
 
 
+def test_every_language_has_a_dictionary(spark):
+    word = lambda i, j: f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j)}{chr(97 + (i * j) % 26)}q"
+    texts = [(i, f"l{i:03}", " ".join(word(i, j) for j in range(26))) for i in range(230)]
+    got = identify_languages(spark.createDataFrame(texts, "doc_id bigint, lang string, text string").repartition(1), F.lit(True)).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {i: lang for i, lang, _ in texts}
+    some = [(lang, text.encode()) for _, lang, text in texts[:7]]
+    several, one = Classifier(some, group=3), Classifier(some)
+    assert several.classify_all([t for _, _, t in texts[:9]] + [None, "1 2"]) == [one.classify(t) for t in [t for _, _, t in texts[:9]] + [None, "1 2"]]
+
+
 def test_flat_trees_match_a_walk_by_hand():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 4))
