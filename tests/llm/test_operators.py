@@ -248,6 +248,19 @@ def test_packing_round_trip(docs, rows, nothing):
     assert packing.pack_documents(nothing).count() == 0
 
 
+def test_packing_encodes_a_literal_special_token_as_text():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b"]
+    plain = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    plain.encode_special_tokens = True
+    ids, at = packing.Tokenizer(str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN).batch(pa.array(texts), 2)
+    got = [ids[s:e].tolist() for s, e in zip(at, at[1:])]
+    assert got == [plain.encode(t, add_special_tokens=False).ids + [2] for t in texts] and all(50256 not in g for g in got)
+
+
 def test_genetic_packing_improves_and_stays_valid():
     import random
 
