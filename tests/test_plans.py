@@ -6,7 +6,7 @@ from sluice import operators as ops
 from sluice import quality as dq
 from sluice.sinks import merge_upsert
 
-from conftest import SF01
+from paths import SF01
 
 
 def plan(df):
