@@ -15,7 +15,9 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .quality_gbt import classify_quality
 from .quality_rules import apply_quality_rules
+from .resampling import resample
 from .secrets import scan_secrets
+from .simhash import simhash_components
 from .substrings import remove_repeated_windows
 from .suffixes import remove_repeated_strings
 
@@ -67,7 +69,16 @@ def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return compare_fingerprints(_documents(spark, sf))
 
 
+def op11_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    drawn = resample(_documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash_components(_documents(spark, sf)).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffixes, op2_quality_rules, op3_language, op4_jaccard, op5_packing, op6_substrings, op7_quality, op8_mixing, op9_secrets, op10_fingerprints)
+    for f in (op1_suffixes, op2_quality_rules, op3_language, op4_jaccard, op5_packing, op6_substrings, op7_quality, op8_mixing, op9_secrets, op10_fingerprints, op11_resampling, op12_simhash)
 }
