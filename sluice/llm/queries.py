@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_training
+from .conversations import audit_conversations, damage
 from .fingerprints import compare_fingerprints
 from .jaccard import jaccard_components
 from .langid import identify_languages
@@ -78,7 +79,12 @@ def op12_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_components(_documents(spark, sf)).select("doc_id", "fingerprint", "component_id")
 
 
+def op13_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/conversations.parquet")
+    return audit_conversations(damage(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffixes, op2_quality_rules, op3_language, op4_jaccard, op5_packing, op6_substrings, op7_quality, op8_mixing, op9_secrets, op10_fingerprints, op11_resampling, op12_simhash)
+    for f in (op1_suffixes, op2_quality_rules, op3_language, op4_jaccard, op5_packing, op6_substrings, op7_quality, op8_mixing, op9_secrets, op10_fingerprints, op11_resampling, op12_simhash, op13_conversations)
 }
