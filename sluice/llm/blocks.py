@@ -7,19 +7,21 @@ bucket compares the blocks' keys and answers each block with a few bits per key,
 order. A key that occurs in a third of all documents is thus at most one entry per block.
 
 Null texts are empty texts. Null ids count as one id after all others. Rows with one id are in
-one block, in the order of their texts. ``block_bytes`` and ``bucket_bytes`` (bytes of text per
-bucket) bound a task's memory.
+one block, in the order of their texts, or in several blocks of that id alone. ``block_bytes`` (bytes of text; a longer single
+text is a block of its own) and ``bucket_bytes`` (bytes of text per bucket) bound a task's memory.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, col, slices
+from .common import IS_SPACE, col, slices, staged
 
 NO_ID = 2**63 - 1
 ROWS = "block int, kind int, bucket long, ids binary, lens binary, body binary"
@@ -29,39 +31,106 @@ TEXT, KEYS, ANSWER, LATER = 0, 1, 2, 3
 
 
 class Layout:
-    """Bounds of the blocks and the number of buckets, from one pass over sizes and one over ids."""
+    """Which block a row belongs to.
+
+    Blocks are ranges of ids with about ``block_bytes`` of text each: quantiles of the ids are cut finer where they hold
+    more, and neighbours are merged while they fit. An id of more than ``block_bytes`` in several rows (a null id, say)
+    has several blocks of its own, by a hash of the text, and its equal rows travel as one row with a number.
+    Blocks of one id have the same ``rank``; otherwise ranks ascend with the ids.
+    """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, block_bytes: int, bucket_bytes: int):
-        key, text = F.coalesce(col(docs, id_col).cast("long"), F.lit(NO_ID)), col(docs, text_col)
-        total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()["b"]
-        blocks = max(1, -(-total // block_bytes))
-        at = docs.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)] or [0.5], max(10_000, 20 * blocks)).alias("at")).first()["at"]
-        self.bounds = np.unique(np.array(at or [0], np.int64)) if blocks > 1 else np.zeros(0, np.int64)
-        self.blocks = len(self.bounds) + 1
-        self.buckets = max(1, -(-total // bucket_bytes))
-        self.total = total
-
-    def pack(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """Rows of kind TEXT: the documents of a batch that belong to one block, compressed together."""
-        bounds = self.bounds
+        self.two = docs.select(F.coalesce(col(docs, id_col).cast("long"), F.lit(NO_ID)).alias("id"), col(docs, text_col).alias("text"))
+        sizes = staged(self.two.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")), "layout-sizes")
+        self.total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first()["b"]
+        self.buckets = max(1, -(-self.total // bucket_bytes))
+        blocks = max(1, -(-self.total // block_bytes))
+        bounds = np.zeros(0, np.int64)
+        if blocks > 1:
+            at = sizes.agg(F.percentile_approx("id", [i / (4 * blocks) for i in range(1, 4 * blocks)], max(10_000, 80 * blocks)).alias("at")).first()["at"]
+            bounds = np.unique(np.array(at, np.int64))
+        cells = _cell_sizes(sizes, bounds)
+        while blocks > 1 and (heavy := [c for c, (n, least, most, _) in cells.items() if n > block_bytes and least < most]):
+            cuts = _placed(sizes, bounds, heavy).groupBy("cell").agg(F.percentile_approx("id", [i / 16 for i in range(1, 16)], 10_000).alias("at"), F.min("id").alias("least")).collect()
+            found = {x for r in cuts for x in r["at"] if x > r["least"]} | {cells[c][2] for c in heavy}  # the largest id of a cell ends it in any case
+            bounds = np.unique(np.concatenate((bounds, np.array(sorted(found), np.int64))))
+            cells = _cell_sizes(sizes, bounds)
+        # ranks: neighbours merged up to block_bytes; a repeated id of more has blocks of its own
+        starts, numbers, held = [], [], block_bytes + 1
+        self.hot: list[int] = []
+        for c in sorted(cells):
+            n, least, _, rows = cells[c]
+            many = n > block_bytes and rows > 1 and blocks > 1
+            if held + n > block_bytes or many:
+                starts.append(least)
+                numbers.append(-(-n // block_bytes) if many else 1)
+                held = 0
+            held = block_bytes + 1 if many else held + n
+            self.hot += [least] if many else []
+        self.bounds = np.array(starts[1:], np.int64)
+        self.parts = np.array(numbers or [1], np.int64)
+        self.rank = np.repeat(np.arange(len(self.parts)), self.parts)
+        self.blocks = len(self.rank)
+
+    def shared(self, block: int) -> bool:
+        """True if the block is one of several of an id."""
+        return bool(self.parts[self.rank[block]] > 1)
+
+    def pack(self) -> DataFrame:
+        """Rows of kind TEXT: the documents of a batch that belong to one block, compressed together; ``ids`` and then the
+        numbers of equal rows, which are 1 but for an id with blocks of its own."""
+        bounds, parts = self.bounds, self.parts
+        first = np.cumsum(parts) - parts
 
         def pack(batches):
             pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back to the machine
             coder = zstandard.ZstdCompressor(level=3)
             for batch in batches:
                 for part in slices(batch, "text", 4 << 20):
-                    ids = part.column("id").to_numpy(zero_copy_only=False)
-                    block = np.searchsorted(bounds, ids, "right")
+                    ids, times = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "times"))
+                    place = np.searchsorted(bounds, ids, "right")
+                    block = first[place]
                     texts = part.column("text").cast(pa.binary()).to_pylist()
+                    for i in np.flatnonzero(parts[place] > 1).tolist():
+                        block[i] += zlib.crc32(texts[i] or b"") % int(parts[place[i]])
                     rows = []
                     for b in np.unique(block):
                         own = np.flatnonzero(block == b)
                         got = [texts[i] or b"" for i in own]
-                        rows.append((int(b), TEXT, 0, ids[own].tobytes(), np.array([len(g) for g in got], np.int64).tobytes(), coder.compress(b"".join(got))))
+                        rows.append((int(b), TEXT, 0, ids[own].tobytes() + times[own].tobytes(), np.array([len(g) for g in got], np.int64).tobytes(), coder.compress(b"".join(got))))
                     yield arrow(rows)
 
-        two = docs.select(F.coalesce(col(docs, id_col).cast("long"), F.lit(NO_ID)).alias("id"), col(docs, text_col).alias("text"))
-        return two.mapInArrow(pack, ROWS)
+        rows = self.two.withColumn("times", F.lit(1).cast("long"))
+        if self.hot:
+            ids = self.two.sparkSession.createDataFrame([(i,) for i in self.hot], "h_id long")
+            equal = self.two.join(ids, F.col("id") == F.col("h_id"), "left_semi").groupBy("id", F.coalesce("text", F.lit("")).alias("text")).agg(F.count("*").alias("times"))
+            rows = rows.join(ids, F.col("id") == F.col("h_id"), "left_anti").unionByName(equal)
+        return rows.mapInArrow(pack, ROWS)
+
+    def expanded(self, result: DataFrame) -> DataFrame:
+        """Each row as often as its column ``times`` says."""
+        if not self.hot:
+            return result.drop("times")
+        return result.withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("times")
+
+
+def _placed(sizes: DataFrame, bounds: np.ndarray, only: list[int] | None = None) -> DataFrame:
+    """cell, id, bytes; of the cells ``only``."""
+    chosen = None if only is None else np.array(only)
+
+    def work(batches):
+        for batch in batches:
+            cell = np.searchsorted(bounds, batch.column("id").to_numpy(), "right")
+            out = pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), batch.column("id"), batch.column("bytes")], ["cell", "id", "bytes"])
+            yield out if chosen is None else out.filter(pa.array(np.isin(cell, chosen)))
+
+    return sizes.mapInArrow(work, "cell long, id long, bytes long")
+
+
+def _cell_sizes(sizes: DataFrame, bounds: np.ndarray) -> dict[int, tuple[int, int, int, int]]:
+    """cell -> bytes, least and largest id, rows."""
+    found = _placed(sizes, bounds).groupBy("cell").agg(F.sum("bytes").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("rows")).collect()
+    return {r["cell"]: (r["n"], r["least"], r["most"], r["rows"]) for r in found}
 
 
 def arrow(rows: list[tuple], schema: pa.Schema = ROWS_ARROW) -> pa.RecordBatch:
@@ -69,19 +138,24 @@ def arrow(rows: list[tuple], schema: pa.Schema = ROWS_ARROW) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def per_block(rows: DataFrame, work, schema: str = ROWS, arrow_schema: pa.Schema = ROWS_ARROW, answers: DataFrame | None = None) -> DataFrame:
-    """``work(ids, texts, answers)`` for each block, with the block's number first, yields rows; ids ascend, ``answers(kind)``
+def per_block(rows: DataFrame, work, schema: str = ROWS, arrow_schema: pa.Schema = ROWS_ARROW, answers: DataFrame | None = None, with_times: bool = False) -> DataFrame:
+    """``work(block, ids, texts, answers)`` for each block yields rows; ids ascend, ``answers(kind)``
     are the bodies of that kind in the order of the buckets. The texts are shuffled alone, not with the answers, so that
-    several passes over them in one plan share one exchange."""
+    several passes over them in one plan share one exchange. ``with_times``: work yields one row per text, which gets
+    the number of equal rows as its last column, ``times``."""
+    if with_times:
+        schema, arrow_schema = schema + ", times long", arrow_schema.append(pa.field("times", pa.int64()))
 
     def run(texts_of_block: pa.Table, answered: pa.Table | None) -> pa.Table:
         pa.set_memory_pool(pa.system_memory_pool())
         decoder = zstandard.ZstdDecompressor()
-        ids, texts = [], []
+        ids, times, texts = [], [], []
         for r in texts_of_block.to_pylist():
             lens, at = np.frombuffer(r["lens"], np.int64), 0
             body = decoder.decompress(r["body"], max_output_size=int(lens.sum()) + 1)
-            ids.append(np.frombuffer(r["ids"], np.int64))
+            both = np.frombuffer(r["ids"], np.int64)
+            ids.append(both[: len(both) // 2])
+            times.append(both[len(both) // 2 :])
             for n in lens.tolist():
                 texts.append(body[at : at + n])
                 at += n
@@ -92,6 +166,8 @@ def per_block(rows: DataFrame, work, schema: str = ROWS, arrow_schema: pa.Schema
         block = texts_of_block.column("block")[0].as_py()
         got = [] if answered is None else sorted((r["kind"], r["bucket"], decoder.decompress(r["body"])) for r in answered.select(["kind", "bucket", "body"]).to_pylist())
         out = list(work(block, own[order], [texts[i] for i in order], lambda kind: [a for k, _, a in got if k == kind]))
+        if with_times:
+            out = [(*row, n) for row, n in zip(out, np.concatenate(times)[order].tolist(), strict=True)]
         return pa.Table.from_batches([arrow(out, arrow_schema)], arrow_schema)
 
     if answers is None:

@@ -76,7 +76,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def measure(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block_bytes: int, bucket_bytes: int) -> DataFrame:
+def measure(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, block_bytes: int, bucket_bytes: int) -> tuple[Layout, DataFrame]:
     """Per document: its number of shingles and, if one of its first shingles occurs elsewhere, its node,
     the shingles it shares with others (sorted 64-bit numbers) and its postings (once per block and node)."""
     layout = Layout(docs, id_col, text_col, block_bytes, bucket_bytes)
@@ -123,10 +123,10 @@ def measure(docs: DataFrame, id_col: str, text_col: str, width: int, percent: in
             posted = own[order][rank[order] > 1]
             yield row, n, node, True, shared.tobytes(), posted.view(np.int64).tolist(), text
 
-    rows = layout.pack(docs, id_col, text_col)
+    rows = layout.pack()
     sent = per_block(rows, send)
     answers = per_bucket_with_counts(sent, count)
-    return staged(per_block(rows, finish, MEASURED_SPARK, MEASURED, answers), "jaccard-measured")
+    return layout, staged(per_block(rows, finish, MEASURED_SPARK, MEASURED, answers, with_times=True), "jaccard-measured")
 
 
 def per_bucket_with_counts(sent: DataFrame, work) -> DataFrame:
@@ -219,12 +219,12 @@ def jaccard_components(
 ) -> DataFrame:
     """Per row: id, ``n_shingles`` and ``component_id``, the smallest id that links reach; ``class_key``, the same for
     the rows of a component and null for rows that cannot have a link; ``text_md5``, of the text's UTF-8."""
-    measured = measure(docs, id_col, text_col, width, percent, block_bytes, bucket_bytes)
+    layout, measured = measure(docs, id_col, text_col, width, percent, block_bytes, bucket_bytes)
     firsts = measured.where("first")
     nodes = staged(firsts.groupBy("node").agg(F.max("n_shingles").alias("n")), "jaccard-nodes")
     # the shingles of a node, from one of the blocks that hold it
-    holders = firsts.groupBy("node").agg(F.min("doc_id").alias("holder"), F.count("*").alias("times"))
-    sets = firsts.join(holders.select(F.col("node").alias("h_node"), "holder", "times"), (F.col("node") == F.col("h_node")) & F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", F.col("n_shingles").alias("n"), "shared", "posted")
+    holders = firsts.groupBy("node").agg(F.min(F.struct("doc_id", "text_md5")).alias("holder"))
+    sets = firsts.join(holders.select(F.col("node").alias("h_node"), "holder"), (F.col("node") == F.col("h_node")) & F.struct("doc_id", "text_md5").eqNullSafe(F.col("holder"))).select("node", F.col("n_shingles").alias("n"), "shared", "posted")
     sets = staged(sets, "jaccard-sets")
     posted = sets.select("node", "n", "shared", F.posexplode("posted").alias("k", "s"))
     rest = F.octet_length("shared").cast("long") / 8 - F.col("k")  # shingles from this one on
@@ -278,7 +278,8 @@ def jaccard_components(
     member = measured.where("node IS NOT NULL").select("doc_id", "node").join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node")).select("comp", "node", "doc_id")
     smallest = member.groupBy("comp").agg(F.min("doc_id").alias("least"))
     by_node = comp.join(smallest.withColumnRenamed("comp", "s_comp"), F.col("comp") == F.col("s_comp")).select(F.col("node").alias("r_node"), "least", F.col("comp").alias("class_key"))
-    return measured.select("doc_id", "n_shingles", "node", "text_md5").join(by_node, F.col("node") == F.col("r_node"), "left").select(
+    every = layout.expanded(measured.select("doc_id", "n_shingles", "node", "text_md5", "times"))
+    return every.join(by_node, F.col("node") == F.col("r_node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "class_key", "text_md5"
     )
 

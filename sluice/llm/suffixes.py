@@ -209,7 +209,7 @@ def remove_repeated_strings(
 ) -> DataFrame:
     """Per row: id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and, on request, the ``kept`` bytes."""
     layout = Layout(docs, id_col, text_col, block_bytes, bucket_bytes)
-    buckets = layout.buckets
+    buckets, rank_of = layout.buckets, layout.rank
     bits = min(64, max(40, int(layout.total).bit_length() + 12))
     drop = 64 - bits
 
@@ -229,11 +229,13 @@ def remove_repeated_strings(
             c[:, :6] = np.frombuffer(x, np.uint8, offset=8 + n).reshape(6, -1).T
             ctxs.append(c.view(np.uint64).ravel())
         sizes = [len(k) for k in keys]
-        key, ctx = np.concatenate(keys), np.concatenate(ctxs)
+        key, ctx, rank = np.concatenate(keys), np.concatenate(ctxs), np.repeat(rank_of[blocks], sizes)
         order = np.lexsort((ctx, key))  # stable: equal entries stay in the order of their blocks
         k, c = key[order], ctx[order]
         new_key = np.concatenate(([True], k[1:] != k[:-1]))
         first = new_key | np.concatenate(([True], c[1:] != c[:-1]))
+        head = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))
+        earliest_rank = rank[order] == rank[order][head]  # all blocks of one id settle nothing for each other
         number = np.cumsum(new_key) - 1
         several = first & (np.bincount(number, first)[number] > 1)
         code = np.empty(len(k), np.uint8)  # 0 alone, 1 settled by an earlier block, 2 and 4 open to the left and right
@@ -245,7 +247,7 @@ def remove_repeated_strings(
             group = np.cumsum(np.concatenate(([True], (n[1:] != n[:-1]) | (v[1:] != v[:-1])))) - 1 if len(by) else by
             shared = (np.bincount(group)[group] > 1) & (v != NO_SIDE) if len(by) else by
             open_[some[by]] |= np.where(shared, bit, 0).astype(np.uint8)
-        code[order] = np.where(first, open_, 1)
+        code[order] = np.where(earliest_rank, open_[head], 1)
         at = 0
         for block, n in zip(blocks, sizes, strict=True):
             yield block, ANSWER, bucket, None, None, compress(code[at : at + n].tobytes())
@@ -299,8 +301,10 @@ def remove_repeated_strings(
             checks.append(np.frombuffer(x, np.uint32, offset=8 + n))
         h, c = np.concatenate(hashes), np.concatenate(checks)
         order = np.lexsort((c, h))
+        new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])))
+        rank = np.repeat(rank_of[blocks], [len(x) for x in hashes])[order]
         first = np.empty(len(h), bool)
-        first[order] = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])))
+        first[order] = rank == rank[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
         at = 0
         for block, part in zip(blocks, hashes, strict=True):
             yield block, LATER, bucket, None, None, compress(first[at : at + len(part)].tobytes())
@@ -313,7 +317,7 @@ def remove_repeated_strings(
         yield from finished(ids, texts, repeated, length, with_kept)
 
     # One plan: the texts are shuffled once and read three times, which recomputes the open strings but stores none of them.
-    rows = layout.pack(docs, id_col, text_col)
+    rows = layout.pack()
     codes = per_bucket(per_block(rows, send), compare)
     firsts = per_bucket(per_block(rows, send_open, answers=codes), earliest)
-    return per_block(rows, finish, RESULT_SPARK, RESULT, codes.unionByName(firsts))
+    return layout.expanded(per_block(rows, finish, RESULT_SPARK, RESULT, codes.unionByName(firsts), with_times=True))

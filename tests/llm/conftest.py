@@ -48,3 +48,8 @@ def docs(spark):
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="session")
+def schema():
+    return SCHEMA
