@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 - pa.compute
@@ -35,6 +37,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives freed memory of this Python worker, which later tasks reuse, back to the machine (where the C library can)."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean() -> None:
+    """At the start of a task: Arrow allocates where ``trim`` works, and nothing of earlier tasks stays."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    trim()
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of an Arrow string column, null as the empty text."""
     return [t or "" for t in column.to_pylist()]

@@ -20,7 +20,6 @@ from __future__ import annotations
 import base64
 import random
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +27,37 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices, staged
+from .common import col, lean, slices, staged, trim
 
 
 class Tokenizer:
     """Byte-level BPE ids of whole texts. Pre-tokens never span a space between two other characters, so
-    a batch is split there and each distinct part is encoded once."""
+    a batch is split there. Distinct parts are encoded once, all new ones of a batch in one text, and up to ``keep`` of them
+    are kept for later batches."""
 
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, keep: int = 1 << 19):
         import tiktoken
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("documents", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.encoding = tiktoken.Encoding("documents", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
+        self.width[list(ranks.values())] = [len(token) for token in ranks]
+        self.keep = keep
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.ids, self.ends = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def learn(self, parts: pa.Array) -> None:
+        """The ids of each part as after a space: a token ends where a part ends, so widths tell the parts apart."""
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts), " ")[0].as_py()
+        ids = self.encoding.encode_to_numpy(" " + text).astype(np.uint32)
+        stops = np.cumsum(pc.binary_length(parts).to_numpy().astype(np.int64) + 1)
+        ends = np.searchsorted(np.cumsum(self.width[ids]), stops) + 1
+        self.known = pa.concat_arrays([self.known, parts])
+        self.ends = np.concatenate((self.ends, ends + len(self.ids)))
+        self.ids = np.concatenate((self.ids, ids))
 
     def batch(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one document after the other, each closed by ``end``; and where each document starts."""
@@ -48,35 +65,40 @@ class Tokenizer:
         offsets = lists.offsets.to_numpy().astype(np.int64)
         offsets -= offsets[0]
         parts = lists.flatten().dictionary_encode()
-        index, names = parts.indices.to_numpy().astype(np.int64), parts.dictionary.to_pylist()
-        bare = pc.utf8_trim_whitespace(parts.dictionary)
-        odd = pc.or_(pc.equal(bare, ""), pc.not_equal(bare, parts.dictionary)).to_numpy(zero_copy_only=False).astype(bool)
-        encode = self.encode
-        tokens = [[] if o else encode(" " + p) for p, o in zip(names, odd.tolist(), strict=True)]
+        index, names = parts.indices.to_numpy(), parts.dictionary
+        bare = pc.utf8_trim_whitespace(names)
+        odd = pc.or_(pc.equal(bare, ""), pc.not_equal(bare, names)).to_numpy(zero_copy_only=False).astype(bool)
+        if len(self.known) > self.keep:
+            self.forget()
+        place = pc.fill_null(pc.index_in(names, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = (place < 0) & ~odd
+        if new.any():
+            place[new] = len(self.known) + np.arange(int(new.sum()))
+            self.learn(names.filter(pa.array(new)))
         n = len(texts)
         whole = np.zeros(n, bool)
         if odd.any() and len(index):
             whole = np.add.reduceat(odd[index].astype(np.int64), offsets[:-1]) > 0
         # each document's first part has no space before it; a text with other space runs is one part
-        keep = np.ones(len(index), bool)
+        index, keep = place[index], np.ones(len(index), bool)
+        own = []
         for d in range(n):
             s, e = offsets[d], offsets[d + 1]
-            index[s] = len(tokens)
+            index[s] = len(self.ends) + d
+            text = texts[d].as_py()
+            own.append(self.encoding.encode_to_numpy(text if whole[d] else text.split(" ", 1)[0]).astype(np.uint32))
             if whole[d]:
-                tokens.append(self.encode(texts[d].as_py()))
                 keep[s + 1 : e] = False
-            else:
-                tokens.append(self.encode(names[parts.indices[int(s)].as_py()]))
-        tokens.append([end])
+        own.append(np.array([end], np.uint32))
+        stops = np.concatenate((self.ends, len(self.ids) + np.cumsum([len(x) for x in own])))
+        flat = np.concatenate((self.ids, *own))
+        at = np.concatenate(([0], stops[:-1]))
         kept = np.concatenate(([0], np.cumsum(keep)))
         ends = kept[offsets[1:]]
-        index = np.insert(index[keep], ends, len(tokens) - 1)
-        lens = np.array([len(t) for t in tokens], np.int64)
-        flat = np.fromiter(chain.from_iterable(tokens), np.uint32, int(lens.sum()))
-        at = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        own = lens[index]
-        stop = np.cumsum(own)
-        ids = flat[np.repeat(at[index] - (stop - own), own) + np.arange(int(stop[-1]) if len(stop) else 0)]
+        index = np.insert(index[keep], ends, len(stops) - 1)
+        size = stops[index] - at[index]
+        stop = np.cumsum(size)
+        ids = flat[np.repeat(at[index] - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)]
         closes = ends + np.arange(n)
         return ids, np.concatenate(([0], stop[closes]))
 
@@ -92,6 +114,7 @@ def cut_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
 
     def cut(batches):
+        lean()
         path, split = ranks_path, pattern
         if path is None:
             import public_tokenizers
@@ -113,6 +136,8 @@ def cut_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECES, strict=True)], schema=PIECES)
+        tokenizer = None
+        trim()
 
     two = docs.select(col(docs, id_col).cast("long").alias("doc_id"), col(docs, text_col).alias("text"))
     return two.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>")
@@ -150,17 +175,21 @@ def best_fit(bins: list[list[int]], room: list[int], items, size: list[int], cap
 
 
 class Island:
-    """A population of chromosomes over one shard's pieces."""
+    """A population of chromosomes over one shard's pieces. A chromosome is its bins and the room left in each."""
 
     def __init__(self, size: list[int], capacity: int, seed: int, population: int):
         self.size, self.capacity, self.random, self.population = size, capacity, random.Random(seed), population
         self.least = -(-sum(size) // capacity)
-        self.members: list[list[list[int]]] = []
+        self.members: list[tuple[list[list[int]], list[int]]] = []
+
+    def take(self, bins: list[list[int]]) -> None:
+        """A chromosome from elsewhere."""
+        self.members.append((bins, [self.capacity - sum(self.size[i] for i in b) for b in bins]))
 
-    def fitness(self, bins) -> tuple[int, float]:
+    def fitness(self, member) -> tuple[int, float]:
         """Fewer bins, then fuller ones (the sum of squared fills)."""
-        fills = [sum(self.size[i] for i in b) for b in bins]
-        return len(bins), -sum(f * f for f in fills)
+        capacity = self.capacity
+        return len(member[0]), -sum([(capacity - r) ** 2 for r in member[1]])
 
     def start(self) -> None:
         items = list(range(len(self.size)))
@@ -169,30 +198,31 @@ class Island:
             order = sorted(items, key=lambda i: -self.size[i] * (1 if k == 0 else self.random.uniform(0.8, 1.0)))
             bins, room = [], []
             best_fit(bins, room, order, self.size, self.capacity)
-            self.members.append(bins)
+            self.members.append((bins, room))
             if len(bins) <= self.least:
                 break
 
     def done(self) -> bool:
-        return min(map(len, self.members), default=0) <= self.least
+        return min((len(bins) for bins, _ in self.members), default=0) <= self.least
 
     def cross(self, base, donor):
         """Whole well-filled bins of the donor enter the base."""
-        size, capacity = self.size, self.capacity
-        full = [b for b in donor if sum(size[i] for i in b) >= 0.99 * capacity]
-        entered = self.random.sample(full, max(1, len(full) // 2)) if full else donor[:1]
-        twice = {i for b in entered for i in b}
-        bins, displaced = [list(b) for b in entered], []
-        for b in base:
-            rest = [i for i in b if i not in twice]
-            if len(rest) == len(b) and self.random.random() > 0.05:  # a few bins are broken up as mutation
+        size, most = self.size, self.capacity - 0.99 * self.capacity
+        full = [k for k, r in enumerate(donor[1]) if r <= most]
+        entered = self.random.sample(full, max(1, len(full) // 2)) if full else range(min(1, len(donor[0])))
+        bins, room = [list(donor[0][k]) for k in entered], [donor[1][k] for k in entered]
+        twice, displaced = {i for b in bins for i in b}, []
+        for b, r in zip(*base, strict=True):
+            if not twice.isdisjoint(b):
+                displaced += [i for i in b if i not in twice]
+            elif self.random.random() > 0.05:  # a few bins are broken up as mutation
                 bins.append(list(b))
+                room.append(r)
             else:
-                displaced += rest
+                displaced += b
         displaced.sort(key=lambda i: -size[i])
-        room = [capacity - sum(size[i] for i in b) for b in bins]
-        best_fit(bins, room, displaced, size, capacity)
-        return bins
+        best_fit(bins, room, displaced, size, self.capacity)
+        return bins, room
 
     def evolve(self, generations: int) -> None:
         for _ in range(generations):
@@ -202,8 +232,8 @@ class Island:
             children = [self.cross(*self.random.sample(parents, 2)) for _ in range(self.population)] if len(parents) > 1 else []
             self.members = sorted(parents + children, key=self.fitness)[: self.population]
 
-    def elite(self):
-        return min(self.members, key=self.fitness)
+    def elite(self) -> list[list[int]]:
+        return min(self.members, key=self.fitness)[0]
 
 
 def pack_bins(bins: list[list[int]], n: int) -> bytes:
@@ -223,17 +253,19 @@ def _epoch(rows: DataFrame, capacity: int, population: int, generations: int) ->
     """One epoch of each (shard, island) row: ``uids``, ``sizes`` and the ``members`` so far -> the same, evolved."""
 
     def run(batches):
+        lean()
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 size = np.frombuffer(r["sizes"], np.int64).tolist()
                 island = Island(size, capacity, r["shard"] * 1000 + r["island"] * 10 + len(r["members"] or []), population)
-                island.members = [open_bins(m) for m in r["members"] or []]
+                for m in r["members"] or []:
+                    island.take(open_bins(m))
                 if not island.members:
                     island.start()
                 island.evolve(generations)
                 ranked = sorted(island.members, key=island.fitness)
-                out.append((r["shard"], r["island"], r["uids"], r["sizes"], [pack_bins(m, len(size)) for m in ranked], len(ranked[0]), float(island.fitness(ranked[0])[1])))
+                out.append((r["shard"], r["island"], r["uids"], r["sizes"], [pack_bins(m, len(size)) for m, _ in ranked], len(ranked[0][0]), float(island.fitness(ranked[0])[1])))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.int32(), pa.float64()), strict=True)], names=["shard", "island", "uids", "sizes", "members", "bins", "spread"])
 
     return rows.mapInArrow(run, "shard long, island int, uids binary, sizes binary, members array<binary>, bins int, spread double")

@@ -268,7 +268,7 @@ def test_genetic_packing_improves_and_stays_valid():
     size = [rng.choice([6, 7, 9, 11, 13, 17, 23, 31]) for _ in range(300)]
     island = packing.Island(size, 40, 1, 4)
     island.start()
-    before = min(map(len, island.members))
+    before = min(len(bins) for bins, _ in island.members)
     island.evolve(8)
     best = island.elite()
     assert sorted(i for b in best for i in b) == list(range(300)) and all(sum(size[i] for i in b) <= 40 for b in best)
