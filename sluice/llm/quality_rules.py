@@ -1,13 +1,18 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio per document.
 
-Words and pairs of adjacent words are hashed to ``2**slot_bits`` slots. Two multinomials over the slots
-are counted, one over the trusted documents (label 1) and one over the whole corpus, both
-smoothed; a document's score is the mean over its n-grams of log(p trusted / p corpus), so
-length does not matter. A document is kept if it passes the base rules and its score reaches
-``threshold``.
+Words and pairs of adjacent words are hashed to slots, a power of two that follows the corpus (``slot_bytes`` bytes of text
+for each, up to ``2**max_slot_bits``). Two multinomials over the slots are counted, one over the trusted documents (label 1)
+and one over the whole corpus. A document's score is the mean over its n-grams of log(p trusted / p corpus), so
+length does not matter. It is kept if it passes the base rules and its score reaches ``threshold``.
 
-Everything is a DataFrame expression; nothing runs in Python. The model is an array of one whole
-number per slot (thousandths), a fixed size, and reaches the tasks as a constant.
+Two things make scores alike at every size of the corpus. An n-gram is scored without its own occurrence: one is
+taken from its slot's corpus count, and from the trusted count if the document is trusted; otherwise every rare n-gram of a
+trusted document would speak for it, and every one of another document against it. And each count is smoothed by a share
+``smoothing`` of the mean count of a slot, so a slot without other occurrences says nothing, whatever the totals are.
+
+Everything is a DataFrame expression; nothing runs in Python. The model is two whole numbers per slot (thousandths, for
+trusted and for other documents), which reach the tasks as constants; the bound of the slots bounds them. Above that
+bound a slot holds more n-grams, and the ratio follows the more frequent ones.
 
 Defined cases: a null text has no words and is not kept (n_words < 20); labels that are null
 or of unknown ids do not count, and an id labelled twice is trusted only if all its labels are 1; without
@@ -20,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, array_literal, col, let, words_of
+from .common import SPACES, array_literal, col, let, staged, words_of
 
 #: Fixed set of symbol characters.
 SYMBOLS = "#*$%&|<>"
@@ -80,8 +85,15 @@ def base_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def ratio_model(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = 17, smoothing: float = 1.0) -> DataFrame:
-    """One row with one array: thousandths of log(p trusted / p corpus) by slot. ``trusted`` has the column ``doc_id``."""
+def slot_bits_for(docs: DataFrame, text_col: str, slot_bytes: int, max_slot_bits: int) -> int:
+    """The power of two of the slots: one for each ``slot_bytes`` bytes of text."""
+    total = docs.agg(F.sum(F.octet_length(col(docs, text_col))).alias("b")).first()["b"] or 0
+    return max(8, min(max_slot_bits, (total // slot_bytes).bit_length()))
+
+
+def ratio_model(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = 12, smoothing: float = 0.5, group_slots: int = 1 << 14) -> DataFrame:
+    """Rows ``part, own, other``, by part the thousandths of log(p trusted / p corpus) of ``group_slots`` slots each:
+    for the n-grams of trusted documents and of others. ``trusted`` has the column ``doc_id``."""
     slots = 2**slot_bits
     rows = docs.select(col(docs, id_col).alias("doc_id"), col(docs, text_col).alias("text"))
     ids = trusted.select(F.col("doc_id").alias("t_id")).where("t_id IS NOT NULL").distinct().hint("shuffle_hash")
@@ -93,29 +105,42 @@ def ratio_model(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
 
     near = counted(rows.join(ids, F.col("doc_id") == F.col("t_id"), "left_semi"), "trusted")
     every = docs.sparkSession.range(slots).withColumnRenamed("id", "slot").join(counted(rows, "raw"), "slot", "left").join(near, "slot", "left")
-    both = every.agg(
-        F.sort_array(F.collect_list(F.struct("slot", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("trusted", F.lit(0)).alias("trusted")))).alias("cells"),
-        (F.coalesce(F.sum("raw"), F.lit(0)) + smoothing * slots).alias("raw"),
-        (F.coalesce(F.sum("trusted"), F.lit(0)) + smoothing * slots).alias("trusted"),
-        F.coalesce(F.sum("trusted"), F.lit(0)).alias("n_trusted"),
-    )
-    ratio = F.transform("cells", lambda c: F.log((c["trusted"] + smoothing) / F.col("trusted")) - F.log((c["raw"] + smoothing) / F.col("raw")))
-    whole = F.transform(ratio, lambda r: F.when(F.col("n_trusted") > 0, F.round(r * 1000)).otherwise(0).cast("int"))
-    return both.select(whole.alias("ratio"))
+    every = staged(every.select("slot", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("trusted", F.lit(0)).alias("trusted")), "quality-slots")
+    sums = every.agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).first()
+    if not sums["trusted"]:
+        return docs.sparkSession.createDataFrame([], "part long, own array<int>, other array<int>")
+    per_raw, per_trusted = smoothing * sums["raw"] / slots, smoothing * sums["trusted"] / slots
+    scale = F.log(F.lit(sums["raw"] / sums["trusted"]))
+
+    def ratio(trusted_count: Column) -> Column:
+        near_, all_ = F.log(trusted_count + per_trusted), F.log(F.greatest(F.col("raw") - 1, F.lit(0)) + per_raw)
+        return F.round(1000 * (near_ - all_ + scale)).cast("int")
+
+    both = F.struct("slot", ratio(F.greatest(F.col("trusted") - 1, F.lit(0))).alias("own"), ratio(F.col("trusted")).alias("other"))
+    grouped = every.groupBy(F.floor(F.col("slot") / group_slots).alias("part")).agg(F.sort_array(F.collect_list(both)).alias("cells"))
+    return grouped.select("part", F.col("cells.own").alias("own"), F.col("cells.other").alias("other"))
 
 
 def apply_quality_rules(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", slot_bits: int = 17, threshold: float = -0.15,
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", slot_bytes: int = 256, max_slot_bits: int = 19, threshold: float = -0.15, smoothing: float = 0.5,
 ) -> DataFrame:
     """Per row: id, base counts, ``base_failed``, ``score`` (mean log ratio) and ``kept``."""
-    marks = labels.groupBy(col(labels, id_col).alias("doc_id")).agg(F.min(col(labels, label_col)).alias("mark")).where("mark = 1")
-    model = ratio_model(docs, marks, id_col=id_col, text_col=text_col, slot_bits=slot_bits).first()["ratio"]
-    slots = 2**slot_bits
+    marks = staged(labels.groupBy(col(labels, id_col).alias("doc_id")).agg(F.min(col(labels, label_col)).alias("mark")).where("mark = 1 AND doc_id IS NOT NULL").select("doc_id"), "quality-trusted")
+    bits = slot_bits_for(docs, text_col, slot_bytes, max_slot_bits)
+    model = sorted(ratio_model(docs, marks, id_col=id_col, text_col=text_col, slot_bits=bits, smoothing=smoothing).collect(), key=lambda r: r["part"])
+    own, other = ([x for r in model for x in r[name]] or [0] * 2**bits for name in ("own", "other"))
     rows = base_counts(docs, id_col=id_col, text_col=text_col).select("*", F.concat("h1", "h2").alias("grams")).drop("h1", "h2")
-    table = array_literal(model)
-    total = F.aggregate("grams", F.lit(0).cast("long"), lambda acc, h: acc + F.get(table, F.pmod(h, F.lit(slots)).cast("int")))
+
+    def total(table: list[int]) -> Column:
+        values = array_literal(table)
+        return F.aggregate("grams", F.lit(0).cast("long"), lambda acc, h: acc + F.get(values, F.pmod(h, F.lit(2**bits)).cast("int")))
+
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    n = 1000.0 * F.greatest(F.size("grams"), F.lit(1))
+    scored = rows.select("*", (total(own) / n).alias("_own"), (total(other) / n).alias("_other"), failed.alias("base_failed")).drop("grams")
+    ids = marks.select(F.col("doc_id").alias("t_id"))
     return (
-        rows.select("*", (total / (1000.0 * F.greatest(F.size("grams"), F.lit(1)))).alias("score"), failed.alias("base_failed"))
-        .drop("grams").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+        scored.join(ids, F.col("doc_id") == F.col("t_id"), "left")
+        .withColumn("score", F.when(F.col("t_id").isNotNull(), F.col("_own")).otherwise(F.col("_other"))).drop("_own", "_other", "t_id")
+        .withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     )

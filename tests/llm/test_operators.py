@@ -1,5 +1,6 @@
 """Each operator against its plain version on a small table of hard cases, and on an empty one."""
 
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ from sluice.llm.fingerprints import compare_fingerprints, lexicon_table
 from sluice.llm.jaccard import cluster_links, drop_near_duplicates, jaccard_components
 from sluice.llm.langid import Classifier, identify_languages, train_dictionaries
 from sluice.llm.mixing import apply_mix, mix_sources
-from sluice.llm.quality_rules import apply_quality_rules, base_counts
+from sluice.llm.quality_rules import apply_quality_rules, base_counts, slot_bits_for
 from sluice.llm.secrets import Scanner, entropy_spans, joined, redact_secrets, scan_secrets
 from sluice.llm.substrings import remove_repeated_windows
 
@@ -61,13 +62,36 @@ def test_base_counts_and_rules(spark, docs, rows, nothing):
     out = base_counts(docs)
     same(tuples(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), [(d, *brute.base_counts(t)[:5]) for d, t in rows])
     labels = spark.createDataFrame([(1, 1), (2, 1), (2, 0), (None, 1), (777, 1), (5, None)], "doc_id bigint, quality int")
-    ruled = apply_quality_rules(docs, labels, slot_bits=10)
+    ruled = apply_quality_rules(docs, labels, slot_bytes=64)
     same(tuples(ruled, "doc_id", "base_failed"), [(d, brute.base_counts(t)[5]) for d, t in rows])
     assert all(not r["kept"] for r in ruled.where("base_failed").collect())
-    assert ruled.where("score > 0 AND doc_id = 1").count() == 1  # the trusted text itself
-    none = apply_quality_rules(docs, labels.where("false"), slot_bits=10)
+    none = apply_quality_rules(docs, labels.where("false"), slot_bytes=64)
     assert none.where("score <> 0").count() == 0 and none.where("kept = base_failed").count() == 0
-    assert apply_quality_rules(nothing, labels, slot_bits=10).count() == 0
+    assert apply_quality_rules(nothing, labels, slot_bytes=64).count() == 0
+
+
+def test_ratio_scores(spark, docs):
+    """Every score from the counts of the other occurrences, by hand; ids 1 and 12 are trusted, 2 is not (two labels)."""
+    labels = spark.createDataFrame([(1, 1), (12, 1), (2, 1), (2, 0), (None, 1), (777, 1), (5, None)], "doc_id bigint, quality int")
+    bits = slot_bits_for(docs, "text", 64, 19)
+    grams = [(r["doc_id"], [h % 2**bits for h in r["h1"] + r["h2"]]) for r in base_counts(docs).collect()]
+    raw, trusted = Counter(h for _, own in grams for h in own), Counter(h for d, own in grams if d in (1, 12) for h in own)
+    R, T = sum(raw.values()), sum(trusted.values())
+
+    def score(d, own):
+        total = 0
+        for h in own:
+            near = max(0, trusted[h] - (d in (1, 12))) + 0.5 * T / 2**bits
+            total += round(1000 * (math.log(near) - math.log(raw[h] - 1 + 0.5 * R / 2**bits) + math.log(R / T)))
+        return total / (1000 * max(1, len(own)))
+
+    got = tuples(apply_quality_rules(docs, labels, slot_bytes=64).selectExpr("doc_id", "round(score, 6) AS score"), "doc_id", "score")
+    same(got, [(d, round(score(d, own), 6)) for d, own in grams])
+
+
+def test_slots_follow_the_corpus_up_to_a_bound(spark):
+    sizes = [slot_bits_for(spark.createDataFrame([("x" * 1000,)] * n, "text string"), "text", 16, 13) for n in (0, 1, 16, 64, 200)]
+    assert sizes == [8, 8, 10, 12, 13]
 
 
 def test_jaccard_components(docs, rows, nothing):
