@@ -45,16 +45,25 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 LINKS_SPARK = "a long, b long"
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42, chunk: int = 1 << 16) -> int:
-    """The 64-bit SimHash of a text, from counts of its shingles' bits."""
-    words = text.translate(FOLD.tobytes()).split()  # bytes.split() cuts at the six spaces, all of which are 32 by now
-    if not words:
-        return 0
-    n, ones = max(1, len(words) - width + 1), np.zeros(64, np.int64)
+def fingerprint(text: bytes, width: int = 4, seed: int = 42, chunk: int = 1 << 20) -> int:
+    """The 64-bit SimHash of a text, from counts of its shingles' bits; ``chunk`` bytes are split into words at a time."""
+    folded = text.translate(FOLD.tobytes())  # all six spaces are 32 now, which is where bytes.split() cuts
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    for s in range(0, n, chunk):
-        h = np.array([digest(join(words[i : i + width]), seed) for i in range(s, min(n, s + chunk))], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    ones, n, at, words = np.zeros(64, np.int64), 0, 0, []
+
+    def count(hashes: list[int]) -> np.ndarray:
+        return np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+
+    while at < len(folded):
+        end = folded.find(b" ", at + chunk)
+        end = len(folded) if end < 0 else end
+        words += folded[at:end].split()
+        at = end
+        if len(words) >= width:
+            new = [digest(join(words[i : i + width]), seed) for i in range(len(words) - width + 1)]
+            ones, n, words = ones + count(new), n + len(new), words[len(new) :]
+    if not n and words:  # fewer words than a shingle: the whole sequence
+        ones, n = count([digest(join(words), seed)]), 1
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 

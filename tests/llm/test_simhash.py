@@ -50,6 +50,12 @@ def test_simhash_components(docs, rows, nothing):
     assert simhash.simhash_components(nothing).count() == 0
 
 
+def test_fingerprints_do_not_depend_on_the_chunks(rows):
+    for _, t in rows:
+        for chunk in (1, 7, 40, 1 << 20):
+            assert simhash.fingerprint((t or "").encode(), chunk=chunk) == simhash_of(t)
+
+
 def test_one_row_of_each_component_stays(docs, rows):
     kept = simhash.drop_simhash_duplicates(docs)
     assert kept.columns == docs.columns
