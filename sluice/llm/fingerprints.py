@@ -17,9 +17,10 @@ which either document has a term; 0 without a common G (their numbers of terms t
 or without a common kind.
 
 The band bounds the lexicon: a document has some D distinct terms on average, so at most D / ``low`` terms
-reach the lower end. It is held in a table of ``2**slot_bits`` slots with an 8-bit tag of the slot's
-term (of two terms in one slot, the one with the higher frequency is in the lexicon), which
-reaches the tasks as a constant. All is DataFrame expressions; nothing runs in Python.
+reach the lower end. It is held in a table of at least four slots per term (a power of two, ``2**max_slot_bits`` at most) with a
+16-bit tag of the slot's term, which reaches the tasks as a constant. Of two terms in one slot, the one with the higher frequency is in
+the lexicon; another term passes for a lexicon term by chance once in 65,535 look-ups of taken slots. All is DataFrame
+expressions; nothing runs in Python.
 
 Defined cases: a null text is an empty text; a text without a word has a hash of the whole
 text as its fingerprint, likeness 1 to an equal one and 0 to others; equal texts have equal
@@ -33,20 +34,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import array_literal, col, let, words_of
+from .common import array_literal, col, let, staged, words_of
 
 SUBSETS = 32
 #: Under so many lexicon terms, or under this share of all distinct terms, all terms are signed.
 FEW, FEW_SHARE = 8, 0.1
 
 
-def lexicon_table(docs: DataFrame, *, text_col: str = "text", low: float = 0.0005, high: float = 0.02, least: int = 2, slot_bits: int = 18) -> DataFrame:
-    """One row with one array: by slot, the tag (1 to 255) of the lexicon term there, or 0."""
-    slots = 2**slot_bits
+def lexicon_table(docs: DataFrame, *, text_col: str = "text", low: float = 0.0005, high: float = 0.02, least: int = 2, slot_bits: int | None = None, max_slot_bits: int = 20) -> DataFrame:
+    """One row with one array: by slot, the tag (1 to 65,535) of the lexicon term there, or 0."""
     texts = docs.select(F.coalesce(col(docs, text_col), F.lit("")).alias("text")).distinct()
     n = texts.agg(F.count("*").alias("n")).scalar()
     terms = texts.select(F.explode(term_hashes(F.col("text"))).alias("term"))
     kept = terms.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= F.greatest(F.lit(least), n * low)) & (F.col("df") <= F.greatest(F.lit(least), n * high)))
+    kept = staged(kept, "fingerprint-lexicon")
+    slots = 2 ** (slot_bits if slot_bits is not None else min(max_slot_bits, (4 * kept.count()).bit_length()))
     slot = F.pmod("term", F.lit(slots)).alias("slot")
     won = kept.groupBy(slot).agg(F.max(F.struct("df", "term"))["term"].alias("term"))
     cells = docs.sparkSession.range(slots).withColumnRenamed("id", "slot").join(won, "slot", "left")
@@ -55,7 +57,7 @@ def lexicon_table(docs: DataFrame, *, text_col: str = "text", low: float = 0.000
 
 
 def _tag(term: Column) -> Column:
-    return (F.pmod(F.shiftright(term, 40), F.lit(255)) + 1).cast("int")
+    return (F.pmod(F.shiftright(term, 40), F.lit(65535)) + 1).cast("int")
 
 
 def term_hashes(text: Column) -> Column:
@@ -79,7 +81,7 @@ def _signatures(terms: Column, groups: Column) -> Column:
     return let(near, lambda few: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda r: of_subset(few, r)))
 
 
-def with_fingerprint(rows: DataFrame, table: Column, text: str, name: str, slot_bits: int = 18) -> DataFrame:
+def with_fingerprint(rows: DataFrame, table: Column, text: str, name: str, slot_bits: int) -> DataFrame:
     """Add the struct ``name``: ``banded`` for the lexicon terms and ``every`` for all terms, each with its level and signatures at two levels, and ``whole`` for texts without terms."""
     slots = 2**slot_bits
 
@@ -157,20 +159,21 @@ def with_next(rows: DataFrame, carried: list[str], *, slot_rows: int = 4096, max
     return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("_end = 0").drop("_key", "_slot", "_end")
 
 
-def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = 18, **band) -> tuple[DataFrame, Column]:
-    """Per row: id, ``text``, ``fp`` and, for the document after it, ``next_text`` and ``next_fp``; and the lexicon's table."""
+def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slot_bits: int | None = None, **band) -> tuple[DataFrame, Column, int]:
+    """Per row: id, ``text``, ``fp`` and, for the document after it, ``next_text`` and ``next_fp``; the lexicon's table and its slot bits."""
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), F.coalesce(col(docs, text_col), F.lit("")).alias("text"))
-    table = array_literal(lexicon_table(docs, text_col=text_col, slot_bits=slot_bits, **band).first()["tags"])
-    return with_next(with_fingerprint(rows, table, "text", "fp", slot_bits), ["text", "fp"]), table
+    tags = lexicon_table(docs, text_col=text_col, slot_bits=slot_bits, **band).first()["tags"]
+    table, bits = array_literal(tags), len(tags).bit_length() - 1
+    return with_next(with_fingerprint(rows, table, "text", "fp", bits), ["text", "fp"]), table, bits
 
 
-def compare_fingerprints(docs: DataFrame, *, slot_bits: int = 18, **options) -> DataFrame:
+def compare_fingerprints(docs: DataFrame, **options) -> DataFrame:
     """Per row: the fingerprint of the text, of its edited text, and their likeness; likeness to the next."""
-    rows, table = fingerprint_documents(docs, slot_bits=slot_bits, **options)
+    rows, table, bits = fingerprint_documents(docs, **options)
     n = F.char_length("text")
     k = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k)))
-    rows = with_fingerprint(rows.drop("next_text"), table, "edited", "edited_fp", slot_bits)
+    rows = with_fingerprint(rows.drop("next_text"), table, "edited", "edited_fp", bits)
     return rows.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
