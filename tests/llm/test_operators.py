@@ -238,7 +238,7 @@ def test_fingerprints_of_a_large_group_of_near_copies_and_of_copies(spark):
 
 def test_one_document_follows_itself(spark):
     one = spark.createDataFrame([(3, "abcdefgh")], "doc_id bigint, text string")
-    r = compare_fingerprints(one, slot_bits=10).first()
+    r = compare_fingerprints(one).first()
     assert r["near_next"] == 1.0 and r["n_chars"] == 8 and r["edited_sha256"] == brute.edited([(3, "abcdefgh")])[0][2]
 
 
