@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, col, slices, staged
+from .common import IS_SPACE, col, slices, staged, trim
 
 NO_ID = 2**63 - 1
 ROWS = "block int, kind int, bucket long, ids binary, lens binary, body binary"
@@ -99,6 +99,7 @@ class Layout:
                         got = [texts[i] or b"" for i in own]
                         rows.append((int(b), TEXT, 0, ids[own].tobytes() + times[own].tobytes(), np.array([len(g) for g in got], np.int64).tobytes(), coder.compress(b"".join(got))))
                     yield arrow(rows)
+            trim()
 
         rows = self.two.withColumn("times", F.lit(1).cast("long"))
         if self.hot:
@@ -168,7 +169,10 @@ def per_block(rows: DataFrame, work, schema: str = ROWS, arrow_schema: pa.Schema
         out = list(work(block, own[order], [texts[i] for i in order], lambda kind: [a for k, _, a in got if k == kind]))
         if with_times:
             out = [(*row, n) for row, n in zip(out, np.concatenate(times)[order].tolist(), strict=True)]
-        return pa.Table.from_batches([arrow(out, arrow_schema)], arrow_schema)
+        done = pa.Table.from_batches([arrow(out, arrow_schema)], arrow_schema)
+        del out, texts, got
+        trim()
+        return done
 
     if answers is None:
         return rows.groupBy("block").applyInArrow(lambda table: run(table, None), schema)
@@ -183,7 +187,10 @@ def per_bucket(rows: DataFrame, work, schema: str = ROWS, arrow_schema: pa.Schem
         parts = sorted(((r["block"], r["body"]) for r in table.select(["block", "body"]).to_pylist()), key=lambda p: p[0])
         bucket = table.column("bucket")[0].as_py()
         del table
-        return pa.Table.from_batches([arrow(list(work(bucket, [b for b, _ in parts], [x for _, x in parts])), arrow_schema)], arrow_schema)
+        done = pa.Table.from_batches([arrow(list(work(bucket, [b for b, _ in parts], [x for _, x in parts])), arrow_schema)], arrow_schema)
+        del parts
+        trim()
+        return done
 
     return rows.where(F.col("kind") == KEYS).groupBy("bucket").applyInArrow(run, schema)
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import ANSWER, KEYS, NO_ID, Layout, bucket_slices, compress, decode_sorted, encode_sorted, joined, per_block, per_bucket, window_hashes, word_hashes
-from .common import col, staged
+from .common import col, staged, trim
 
 KEY_BITS = 40
 MEASURED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("first", pa.bool_()), ("shared", pa.binary()), ("posted", pa.list_(pa.int64())), ("text_md5", pa.string())])
@@ -192,7 +192,10 @@ def _linked(clusters: DataFrame, percent: int, groups: int) -> DataFrame:
             if len(own) > 1:
                 out += cluster_links([r["node"] for r in own], np.array([r["n"] for r in own], np.int64), [np.frombuffer(r["shared"], np.uint64) for r in own], percent)
             at = end
-        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())}, LINKS)
+        done = pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())}, LINKS)
+        del rows, out
+        trim()
+        return done
 
     return clusters.withColumn("_g", F.pmod(F.xxhash64("cluster"), F.lit(groups))).groupBy("_g").applyInArrow(run, "a binary, b binary")
 

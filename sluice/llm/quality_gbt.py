@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, slices, staged, texts_of
+from .common import col, lean, slices, staged, texts_of
 
 STATISTICS = (
     "log_bytes", "log_words", "word_bytes", "upper", "lower", "digit", "beyond_ascii", "space", "newline",
@@ -55,6 +55,7 @@ def document_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     """Per row: id and ``x``, the array of statistics."""
 
     def measure(batches):
+        lean()
         for batch in batches:
             for part in slices(batch, "text", 16 << 20):
                 rows = [statistics(t) for t in texts_of(part.column("text"))]

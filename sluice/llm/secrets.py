@@ -23,7 +23,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import col, slices, texts_of
+from .common import col, lean, slices, texts_of
 
 #: Fixed patterns of the base kinds, with the least length of the group that counts.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -173,6 +173,7 @@ def redact_secrets(docs: DataFrame, *, text_col: str = "text", mark: str = "[RED
     place = docs.columns.index(text_col)
 
     def clean(batches):
+        lean()
         scanner = Scanner(classes, allow)
         for batch in batches:
             texts = batch.column(place).to_pylist()
