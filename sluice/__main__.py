@@ -1,9 +1,11 @@
-"""Command line: ``python -m sluice {run,dq,stream} ...`` (or through ``spark-submit``).
+"""Command line: ``python -m sluice {run,dq,stream,migrate,aggregate} ...`` (or through ``spark-submit``).
 
 * ``run``    F1: read -> steps -> DQ gate -> write (append / overwrite / upsert).
 * ``dq``     F3: one-pass DQ report over a table, published to a report path (DQ-suite preset:
   null threshold 0.005, duplicates, and a 2-hour freshness check when a time column is given).
 * ``stream`` F2: files arriving in a folder, or a Kafka topic -> hourly (or daily) parquet, drained now.
+* ``migrate`` F4: a table copied into another schema, refused if values would be lost.
+* ``aggregate`` F5: an aggregate table, computed anew or with a batch added to it.
 
 The session comes from ``SparkSession.builder.getOrCreate()``: cluster settings belong to
 ``spark-submit`` / ``spark-defaults.conf``, not to this tool.
@@ -130,6 +132,31 @@ def build_parser() -> argparse.ArgumentParser:
     st.add_argument("--dedup-keys")
     st.add_argument("--delay", default="1 hour", help="watermark delay for --dedup-keys")
     st.add_argument("--max-files-per-trigger", type=int)
+
+    def table_flags(sp):
+        sp.add_argument("--source", required=True)
+        sp.add_argument("--target", required=True)
+        sp.add_argument("--input-format", default="parquet", choices=["csv", "parquet", "orc", "json", "delta"])
+        sp.add_argument("--output-format", default="parquet", choices=["parquet", "orc", "json", "csv", "delta"])
+        sp.add_argument("--schema", help="DDL schema of the source")
+        sp.add_argument("--source-option", action="append", default=[], metavar="NAME=VALUE")
+        sp.add_argument("--partition-cols", default="")
+
+    mi = sub.add_parser("migrate", help="schema migration (F4)")
+    table_flags(mi)
+    mi.add_argument("--target-schema", required=True, help="DDL schema of the new version; NOT NULL is checked")
+    mi.add_argument("--rename", action="append", default=[], metavar="OLD=NEW")
+    mi.add_argument("--defaults", help='JSON values of added columns, e.g. {"channel": "web"}')
+    mi.add_argument("--drop", help="comma-separated source columns that may go (default: any)")
+    mi.add_argument("--on-loss", default="block", choices=["block", "report"])
+
+    ag = sub.add_parser("aggregate", help="aggregate table (F5)")
+    table_flags(ag)
+    ag.add_argument("--keys", required=True)
+    ag.add_argument("--measures", default="", help="comma-separated; default: every numeric column that is no key")
+    ag.add_argument("--derive", help='JSON, e.g. {"day": "to_date(ts)"}')
+    ag.add_argument("--mode", default="overwrite", choices=["overwrite", "add"])
+    ag.add_argument("--batch-id", help="names the batch of --mode add; a batch is added once")
     return p
 
 
@@ -182,6 +209,25 @@ def main(argv: list[str] | None = None, spark=None) -> dict:
         report, written = run_dq_suite(read_table(spark, args.source, args.input_format), _rules(args), report_path=args.report)
         rows = [r.asDict() for r in report.collect()]  # C + 3 rows
         out = {"status": "success", "report_path": args.report, "rows_written": written.rows_written, "report": rows}
+    elif args.command == "migrate":
+        from sluice.plans import MigrationSpec, run_migration
+
+        res = run_migration(spark, MigrationSpec(
+            source_path=args.source, target_path=args.target, target_schema=args.target_schema, source_format=args.input_format, source_schema=args.schema,
+            source_options=_pairs(args.source_option), target_format=args.output_format, renames=_pairs(args.rename), defaults=json.loads(args.defaults or "{}"),
+            drops=None if args.drop is None else tuple(_csv(args.drop)), partition_cols=tuple(_csv(args.partition_cols)), on_loss=args.on_loss,
+        ))
+        out = {"status": "success", "target": args.target, "rows_in": res.metrics.rows_in, "rows_written": res.metrics.rows_out, "changes": [r.asDict() for r in res.changes]}
+    elif args.command == "aggregate":
+        from sluice.plans import AggregationSpec, run_aggregation
+
+        derive = json.loads(args.derive or "{}")
+        res = run_aggregation(spark, AggregationSpec(
+            source_path=args.source, target_path=args.target, keys=tuple(_csv(args.keys)), measures=tuple(_csv(args.measures)), partition_cols=tuple(_csv(args.partition_cols)),
+            mode=args.mode, batch_id=args.batch_id, source_format=args.input_format, source_schema=args.schema, source_options=_pairs(args.source_option),
+            target_format=args.output_format, steps=({"op": "derive_columns", "exprs": derive},) if derive else (),
+        ))
+        out = {"status": "success", "target": args.target, "rows_written": res.write.rows_written, "added": res.added}
     else:
         from sluice.streaming import StreamSpec, read_file_stream, read_kafka_stream, run_stream_ingest
 

@@ -22,6 +22,11 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
+def numeric_measures(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """The numeric columns that are no key."""
+    return [f.name for f in df.schema.fields if f.name not in keys and isinstance(f.dataType, _NUMERIC)]
+
+
 def aggregate_by_keys(
     df: DataFrame,
     keys: str | Sequence[str],
@@ -32,7 +37,7 @@ def aggregate_by_keys(
     keys = as_list(keys)
     require_columns(df, keys, "group key")
     if measures is None:
-        measures = [f.name for f in df.schema.fields if f.name not in keys and isinstance(f.dataType, _NUMERIC)]
+        measures = numeric_measures(df, keys)
     measures = as_list(measures)
     require_columns(df, measures, "measure")
     fns = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}

@@ -111,6 +111,17 @@ def migrate_schema(
 ) -> DataFrame:
     """Bring ``df`` to exactly ``target``: rename, cast, add missing columns (default or
     NULL), drop columns the target lacks, and order as the target does."""
+    return df.select(*migration_columns(df, target, renames, defaults, strict))
+
+
+def migration_columns(
+    df: DataFrame,
+    target: T.StructType,
+    renames: Mapping[str, str] | None = None,
+    defaults: Mapping[str, object] | None = None,
+    strict: bool = False,
+) -> list[Column]:
+    """The columns of ``migrate_schema``, in the order of the target."""
     renames = dict(renames or {})
     defaults = dict(defaults or {})
     require_columns(df, list(renames), "renamed column")
@@ -127,7 +138,7 @@ def migrate_schema(
         else:
             c = F.lit(None).cast(f.dataType)
         cols.append(c.alias(f.name))
-    return df.select(*cols)
+    return cols
 
 
 # ---------------------------------------------------------------- derived columns

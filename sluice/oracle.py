@@ -279,6 +279,31 @@ def _layout_sql() -> str:
     )
 
 
+MIGRATION_SOURCE = "migration_source AS (SELECT *, CASE WHEN o_orderkey % 100 = 0 THEN 'none' ELSE substring(o_orderpriority, 1, 1) END AS priority_code FROM orders)"
+
+
+def _migration_changes_sql() -> str:
+    return f"""WITH {MIGRATION_SOURCE}, n AS (SELECT count(*) FILTER (TRY_CAST(priority_code AS INTEGER) IS NULL) AS lost FROM migration_source)
+SELECT v.column_name, v.source_name, v.change, v.from_type, v.to_type,
+    CASE WHEN v.change = 'dropped' THEN NULL WHEN v.column_name = 'priority_code' THEN lost ELSE 0 END::BIGINT AS lost_values,
+    CASE WHEN v.change = 'dropped' THEN NULL WHEN v.column_name = 'priority_code' THEN lost ELSE 0 END::BIGINT AS null_values
+FROM n, (VALUES
+    ('order_id', 'o_orderkey', 'renamed', 'bigint', 'bigint'),
+    ('customer', 'o_custkey', 'cast', 'bigint', 'string'),
+    ('day', 'o_orderdate', 'cast', 'timestamp_ntz', 'date'),
+    ('price', 'o_totalprice', 'cast', 'double', 'decimal(12,2)'),
+    ('priority_code', 'priority_code', 'cast', 'string', 'int'),
+    ('channel', NULL, 'added', NULL, 'string'),
+    ('o_orderstatus', 'o_orderstatus', 'kept', 'string', 'string'),
+    (NULL, 'o_orderpriority', 'dropped', 'string', NULL)
+) AS v(column_name, source_name, change, from_type, to_type)"""
+
+
+def _aggregation_sql() -> str:
+    stats = ", ".join(f"count({m}) AS count_{m}, sum({m})::{t} AS sum_{m}, min({m}) AS min_{m}, max({m}) AS max_{m}, avg({m}) AS avg_{m}" for m, t in (("value", "DOUBLE"), ("user_id", "BIGINT")))
+    return f"WITH {EVENTS_NULLS} SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS row_count, {stats} FROM events_nulls GROUP BY 1, 2"
+
+
 def oracle_sql() -> dict[str, str]:
     etl = _chain_sql("etl", True).replace(
         "'etl' AS _source, true AS has_ingestion_ts", "'etl' AS _source, CAST(ts AS DATE) AS date, true AS has_ingestion_ts"
@@ -300,6 +325,13 @@ def oracle_sql() -> dict[str, str]:
             "SELECT o_orderkey AS order_id, CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderdate AS DATE) AS o_orderdate, "
             "o_totalprice, o_orderpriority AS priority, 'migrated' AS note FROM orders"
         ),
+        "migration_flow": (
+            f"WITH {MIGRATION_SOURCE} SELECT o_orderkey AS order_id, CAST(o_custkey AS VARCHAR) AS customer, CAST(o_orderdate AS DATE) AS day, "
+            "CAST(o_totalprice AS DECIMAL(12,2)) AS price, TRY_CAST(priority_code AS INTEGER) AS priority_code, 'web' AS channel, o_orderstatus FROM migration_source"
+        ),
+        "migration_changes": _migration_changes_sql(),
+        "aggregation_flow": _aggregation_sql(),
+        "aggregation_add": _aggregation_sql(),
         "repartition_rows": "SELECT * FROM orders",
         "partition_skew": "SELECT CAST(8 AS BIGINT) AS partitions, count(*) AS total_rows, true AS none_empty FROM orders",
         "dq_null_rates": _null_rates_sql(),

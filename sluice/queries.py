@@ -18,7 +18,20 @@ from sluice import operators as ops
 from sluice import quality as dq
 from sluice.functions.io import WRITE_OPTIONS
 from sluice.operators.layout import partitions_for_bytes
-from sluice.plans import PipelineSpec, lineage_edges, lineage_nodes, metrics_frame, run_dq_suite, run_etl, run_with_metrics
+from sluice.plans import (
+    AggregationSpec,
+    MigrationSpec,
+    PipelineSpec,
+    lineage_edges,
+    lineage_nodes,
+    metrics_frame,
+    migration_changes,
+    run_aggregation,
+    run_dq_suite,
+    run_etl,
+    run_migration,
+    run_with_metrics,
+)
 from sluice.session import scratch_path
 from sluice.sinks import merge_partitions, merge_upsert, write_table, written_partitions
 from sluice.sources import read_table, source_inventory, split_corrupt
@@ -380,6 +393,58 @@ def q_etl_upsert(spark, sf):
     return read_table(spark, target, schema=orders.schema)
 
 
+MIGRATION_DDL = "order_id bigint not null, customer string, day date, price decimal(12,2), priority_code int, channel string, o_orderstatus string"
+MIGRATION_RENAMES = {"o_orderkey": "order_id", "o_custkey": "customer", "o_orderdate": "day", "o_totalprice": "price"}
+
+
+def _migration_source(spark, sf) -> DataFrame:
+    """orders with the priority's first character as text, a word for every hundredth order."""
+    code = F.when(F.col("o_orderkey") % 100 == 0, F.lit("none")).otherwise(F.substring("o_orderpriority", 1, 1))
+    return _t(spark, sf, "orders").withColumn("priority_code", code)
+
+
+def q_migration_flow(spark, sf):
+    """orders copied into another schema, partitioned by status."""
+    source, target = scratch_path(spark, "migration_source"), scratch_path(spark, "migration_target")
+    write_table(_migration_source(spark, sf), source, mode="error")
+    run_migration(spark, MigrationSpec(
+        source_path=source, target_path=target, target_schema=MIGRATION_DDL, renames=MIGRATION_RENAMES, defaults={"channel": "web"},
+        drops=("o_orderpriority",), partition_cols=("o_orderstatus",), on_loss="report",
+    ))
+    return read_table(spark, target, schema=MIGRATION_DDL)
+
+
+def q_migration_changes(spark, sf):
+    return migration_changes(_migration_source(spark, sf), MIGRATION_DDL, MIGRATION_RENAMES, {"channel": "web"})
+
+
+AGGREGATE_KEYS = ("day", "event_type")
+AGGREGATE_STEPS = ({"op": "derive_columns", "exprs": {"day": "CAST(ts AS DATE)"}},)
+
+
+def q_aggregation_flow(spark, sf):
+    """events with injected NULLs, per day and type, computed anew."""
+    source, target = scratch_path(spark, "aggregation_source"), scratch_path(spark, "aggregation_target")
+    write_table(events_nulls(spark, sf), source, mode="error")
+    run_aggregation(spark, AggregationSpec(source_path=source, target_path=target, keys=AGGREGATE_KEYS, measures=("value", "user_id"), partition_cols=("day",), steps=AGGREGATE_STEPS))
+    return read_table(spark, target)
+
+
+def q_aggregation_add(spark, sf):
+    """F5 by batches: three slices of events, two of which share days, one of them sent twice."""
+    events, target = events_nulls(spark, sf), scratch_path(spark, "aggregation_add")
+    late = F.col("ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    slices = {"late": events.where(late), "early-even": events.where(~late & (F.col("event_id") % 2 == 0)), "early-odd": events.where(~late & (F.col("event_id") % 2 == 1))}
+    paths = {name: scratch_path(spark, "aggregation_batch") for name in slices}
+    for name, rows in slices.items():
+        write_table(rows, paths[name], mode="error")
+    for name in ("late", "early-even", "early-odd", "late"):
+        run_aggregation(spark, AggregationSpec(
+            source_path=paths[name], target_path=target, keys=AGGREGATE_KEYS, measures=("value", "user_id"), partition_cols=("day",), mode="add", batch_id=name, steps=AGGREGATE_STEPS,
+        ))
+    return read_table(spark, target)
+
+
 # ---------------------------------------------------------------- queries: source options
 
 
@@ -603,6 +668,10 @@ QUERIES: dict[str, Query] = {
     "stream_dedupe": q_stream_dedupe,
     "stream_transform_chain": q_stream_transform_chain,
     "stream_kafka_json": q_stream_kafka_json,
+    "migration_flow": q_migration_flow,
+    "migration_changes": q_migration_changes,
+    "aggregation_flow": q_aggregation_flow,
+    "aggregation_add": q_aggregation_add,
     "etl_cast_losses": q_etl_cast_losses,
     "etl_merge_schema": q_etl_merge_schema,
     "etl_delimited": q_etl_delimited,

@@ -158,17 +158,9 @@ def merge_partitions(
         touched = touched.unionByName(_matching(target.select(*[named(c) for c in dict.fromkeys(keys + parts)]), latest, keys, "left_semi").select(*[named(p) for p in parts]))
     touched = touched.distinct()
 
-    listed = touched.limit(max_listed_partitions + 1).collect()
-    if not listed:
+    in_scope = rows_in_partitions(target, touched, parts, max_listed_partitions)
+    if in_scope is None:
         return WriteResult(path=target_path, format=format, mode="overwrite", partition_cols=tuple(parts), rows_written=0, rows_inserted=0, rows_updated=0)
-    if len(listed) <= max_listed_partitions:
-        # One flat IN over struct(partition columns): null-safe (struct comparison treats NULL
-        # fields as equal), a hash-set lookup after Catalyst's OptimizeIn, and a partition
-        # filter the scan prunes with. (10,000 OR-ed equalities would nest 10,000 deep.)
-        values = [F.struct(*[F.lit(row[c]).cast(target.schema[c].dataType).alias(c) for c in parts]) for row in listed]
-        in_scope = target.where(F.struct(*[named(c) for c in parts]).isin(values))
-    else:
-        in_scope = _matching(target, touched, parts, "left_semi", nulls_match=True)
 
     updated = _matching(latest.select(*[named(k) for k in keys]), in_scope, keys, "left_semi").count()
     deleted = latest.where(F.coalesce(named(delete_col), F.lit(False))).count() if delete_col else 0
@@ -184,6 +176,21 @@ def merge_partitions(
     return dataclasses.replace(result, rows_updated=updated, rows_inserted=max(0, applied - updated - max(0, deleted - updated)))
 
 
+def rows_in_partitions(target: DataFrame, touched: DataFrame, parts: Sequence[str], max_listed_partitions: int = 10_000) -> DataFrame | None:
+    """The rows of ``target`` in the partitions ``touched`` (distinct partition values), NULL partitions included; None if there are
+    no values. Up to ``max_listed_partitions`` values prune the scan, more go through a null-safe semi join."""
+    listed = touched.limit(max_listed_partitions + 1).collect()
+    if not listed:
+        return None
+    if len(listed) <= max_listed_partitions:
+        # One flat IN over struct(partition columns): null-safe (struct comparison treats NULL
+        # fields as equal), a hash-set lookup after Catalyst's OptimizeIn, and a partition
+        # filter the scan prunes with. (10,000 OR-ed equalities would nest 10,000 deep.)
+        values = [F.struct(*[F.lit(row[c]).cast(target.schema[c].dataType).alias(c) for c in parts]) for row in listed]
+        return target.where(F.struct(*[named(c) for c in parts]).isin(values))
+    return _matching(target, touched, parts, "left_semi", nulls_match=True)
+
+
 def drop_folders(spark, table_path: str, folders: Sequence[str]) -> None:
     """Remove partition folders below a table's path (those a merge has emptied)."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -46,3 +46,14 @@ def test_cli_dq_preset_and_kafka_arguments(spark, scratch):
         main(["stream", "--kafka-servers", "localhost:1", "--topic", "events", "--value-schema", "ts timestamp",
               "--target", scratch("k"), "--checkpoint", scratch("kc"), "--ts-column", "ts"], spark=spark)
     assert "kafka" in str(e.value).lower()
+
+
+def test_migrate_and_aggregate(spark, scratch, capsys):
+    source, new, sums = scratch("cli_source"), scratch("cli_new"), scratch("cli_sums")
+    spark.createDataFrame([(1, "a", "2"), (2, "b", "3"), (3, "a", None)], "id bigint, kind string, amount string").write.parquet(source)
+    out = main(["migrate", "--source", source, "--target", new, "--target-schema", "key bigint not null, kind string, amount int, channel string", "--rename", "id=key", "--defaults", '{"channel": "web"}', "--drop", ""], spark)
+    assert (out["rows_in"], out["rows_written"]) == (3, 3) and {r["column_name"]: r["change"] for r in out["changes"]} == {"key": "renamed", "kind": "kept", "amount": "cast", "channel": "added"}
+    args = ["aggregate", "--source", new, "--target", sums, "--keys", "kind", "--measures", "amount", "--partition-cols", "kind", "--mode", "add", "--batch-id", "one"]
+    assert main(args, spark)["added"] and not main(args, spark)["added"]
+    assert {(r["kind"], r["row_count"], r["sum_amount"], r["avg_amount"]) for r in spark.read.parquet(sums).collect()} == {("a", 2, 2, 2.0), ("b", 1, 3, 3.0)}
+    assert '"added": false' in capsys.readouterr().out
