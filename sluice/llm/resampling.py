@@ -277,4 +277,5 @@ def draw_documents(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id"
         docs = docs.dropDuplicates([id_col, text_col])
     taken = keys.where("_copies > 0").drop("_rows")
     same = col(docs, id_col).cast("long").eqNullSafe(taken["g_id"]) & (F.md5(F.coalesce(col(docs, text_col), F.lit("")).cast("binary")) == taken["g_md5"])
-    return docs.join(taken, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[col(docs, c) for c in docs.columns])
+    row = F.struct(*[col(docs, c) for c in docs.columns]).alias("row")
+    return docs.join(taken, same).select(row, F.explode(F.sequence(F.lit(1), taken["_copies"]))).select("row.*")
