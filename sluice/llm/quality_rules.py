@@ -10,9 +10,11 @@ taken from its slot's corpus count, and from the trusted count if the document i
 trusted document would speak for it, and every one of another document against it. And each count is smoothed by a share
 ``smoothing`` of the mean count of a slot, so a slot without other occurrences says nothing, whatever the totals are.
 
-Everything is a DataFrame expression; nothing runs in Python. The model is two whole numbers per slot (thousandths, for
-trusted and for other documents), which reach the tasks as constants; the bound of the slots bounds them. Above that
-bound a slot holds more n-grams, and the ratio follows the more frequent ones.
+Everything is a DataFrame expression; nothing runs in Python. The model is two whole numbers per slot (sixteenths, from -127 to
+127, for trusted and for other documents), which reach the tasks as constants; the bound of the slots bounds them. Spark
+keeps the numbers of a constant array as objects, of which there are only so few when the numbers are small, so look-ups
+stay in the processor's cache; rounding cancels out in a mean. Above the bound a slot holds more n-grams, and the
+ratio follows the more frequent ones.
 
 Defined cases: a null text has no words and is not kept (n_words < 20); labels that are null
 or of unknown ids do not count, and an id labelled twice is trusted only if all its labels are 1; without
@@ -29,6 +31,8 @@ from .common import SPACES, array_literal, col, let, staged, words_of
 
 #: Fixed set of symbol characters.
 SYMBOLS = "#*$%&|<>"
+#: Steps of a log ratio.
+UNIT = 16
 
 
 def _pairs(a: Column, step: int) -> Column:
@@ -92,7 +96,7 @@ def slot_bits_for(docs: DataFrame, text_col: str, slot_bytes: int, max_slot_bits
 
 
 def ratio_model(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slot_bits: int = 12, smoothing: float = 0.5, group_slots: int = 1 << 14) -> DataFrame:
-    """Rows ``part, own, other``, by part the thousandths of log(p trusted / p corpus) of ``group_slots`` slots each:
+    """Rows ``part, own, other``, by part the sixteenths of log(p trusted / p corpus) of ``group_slots`` slots each:
     for the n-grams of trusted documents and of others. ``trusted`` has the column ``doc_id``."""
     slots = 2**slot_bits
     rows = docs.select(col(docs, id_col).alias("doc_id"), col(docs, text_col).alias("text"))
@@ -114,7 +118,7 @@ def ratio_model(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
 
     def ratio(trusted_count: Column) -> Column:
         near_, all_ = F.log(trusted_count + per_trusted), F.log(F.greatest(F.col("raw") - 1, F.lit(0)) + per_raw)
-        return F.round(1000 * (near_ - all_ + scale)).cast("int")
+        return F.least(F.lit(127), F.greatest(F.lit(-127), F.round(UNIT * (near_ - all_ + scale)).cast("int")))
 
     both = F.struct("slot", ratio(F.greatest(F.col("trusted") - 1, F.lit(0))).alias("own"), ratio(F.col("trusted")).alias("other"))
     grouped = every.groupBy(F.floor(F.col("slot") / group_slots).alias("part")).agg(F.sort_array(F.collect_list(both)).alias("cells"))
@@ -136,7 +140,7 @@ def apply_quality_rules(
         return F.aggregate("grams", F.lit(0).cast("long"), lambda acc, h: acc + F.get(values, F.pmod(h, F.lit(2**bits)).cast("int")))
 
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    n = 1000.0 * F.greatest(F.size("grams"), F.lit(1))
+    n = float(UNIT) * F.greatest(F.size("grams"), F.lit(1))
     scored = rows.select("*", (total(own) / n).alias("_own"), (total(other) / n).alias("_other"), failed.alias("base_failed")).drop("grams")
     ids = marks.select(F.col("doc_id").alias("t_id"))
     return (

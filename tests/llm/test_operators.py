@@ -82,8 +82,8 @@ def test_ratio_scores(spark, docs):
         total = 0
         for h in own:
             near = max(0, trusted[h] - (d in (1, 12))) + 0.5 * T / 2**bits
-            total += round(1000 * (math.log(near) - math.log(raw[h] - 1 + 0.5 * R / 2**bits) + math.log(R / T)))
-        return total / (1000 * max(1, len(own)))
+            total += max(-127, min(127, round(16 * (math.log(near) - math.log(raw[h] - 1 + 0.5 * R / 2**bits) + math.log(R / T)))))
+        return total / (16 * max(1, len(own)))
 
     got = tuples(apply_quality_rules(docs, labels, slot_bytes=64).selectExpr("doc_id", "round(score, 6) AS score"), "doc_id", "score")
     same(got, [(d, round(score(d, own), 6)) for d, own in grams])
