@@ -17,10 +17,10 @@ which either document has a term; 0 without a common G (their numbers of terms t
 or without a common kind.
 
 The band bounds the lexicon: a document has some D distinct terms on average, so at most D / ``low`` terms
-reach the lower end. It is held in a table of at least four slots per term (a power of two, ``2**max_slot_bits`` at most) with a
-16-bit tag of the slot's term, which reaches the tasks as a constant. Of two terms in one slot, the one with the higher frequency is in
-the lexicon; another term passes for a lexicon term by chance once in 65,535 look-ups of taken slots. All is DataFrame
-expressions; nothing runs in Python.
+reach the lower end. It is held in two tables of at least four slots per term (a power of two, ``2**max_slot_bits`` at most), each with
+a tag of the slot's term, which reach the tasks as constants (Spark holds their numbers as objects, shared only below 128). Of two
+terms in one slot, the one with the higher frequency is in the lexicon; another term passes for a lexicon term by chance once
+in 65,025 look-ups of taken slots. All is DataFrame expressions; nothing runs in Python.
 
 Defined cases: a null text is an empty text; a text without a word has a hash of the whole
 text as its fingerprint, likeness 1 to an equal one and 0 to others; equal texts have equal
@@ -39,10 +39,11 @@ from .common import array_literal, col, let, staged, words_of
 SUBSETS = 32
 #: Under so many lexicon terms, or under this share of all distinct terms, all terms are signed.
 FEW, FEW_SHARE = 8, 0.1
+EMPTY = -128
 
 
 def lexicon_table(docs: DataFrame, *, text_col: str = "text", low: float = 0.0005, high: float = 0.02, least: int = 2, slot_bits: int | None = None, max_slot_bits: int = 20) -> DataFrame:
-    """One row with one array: by slot, the tag (1 to 65,535) of the lexicon term there, or 0."""
+    """One row with two arrays: by slot, the tags (-127 to 127) of the lexicon term there, or ``EMPTY``."""
     texts = docs.select(F.coalesce(col(docs, text_col), F.lit("")).alias("text")).distinct()
     n = texts.agg(F.count("*").alias("n")).scalar()
     terms = texts.select(F.explode(term_hashes(F.col("text"))).alias("term"))
@@ -52,12 +53,12 @@ def lexicon_table(docs: DataFrame, *, text_col: str = "text", low: float = 0.000
     slot = F.pmod("term", F.lit(slots)).alias("slot")
     won = kept.groupBy(slot).agg(F.max(F.struct("df", "term"))["term"].alias("term"))
     cells = docs.sparkSession.range(slots).withColumnRenamed("id", "slot").join(won, "slot", "left")
-    tag = F.coalesce(_tag(F.col("term")), F.lit(0))
-    return cells.agg(F.sort_array(F.collect_list(F.struct("slot", tag.alias("tag")))).alias("cells")).select(F.col("cells.tag").alias("tags"))
+    one, two = (F.coalesce(tag, F.lit(EMPTY)) for tag in _tags(F.col("term")))
+    return cells.agg(F.sort_array(F.collect_list(F.struct("slot", one.alias("one"), two.alias("two")))).alias("cells")).select(F.col("cells.one").alias("tags"), F.col("cells.two").alias("more"))
 
 
-def _tag(term: Column) -> Column:
-    return (F.pmod(F.shiftright(term, 40), F.lit(65535)) + 1).cast("int")
+def _tags(term: Column) -> list[Column]:
+    return [(F.pmod(F.shiftright(term, bits), F.lit(255)) - 127).cast("int") for bits in (40, 52)]
 
 
 def term_hashes(text: Column) -> Column:
@@ -81,7 +82,7 @@ def _signatures(terms: Column, groups: Column) -> Column:
     return let(near, lambda few: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda r: of_subset(few, r)))
 
 
-def with_fingerprint(rows: DataFrame, table: Column, text: str, name: str, slot_bits: int) -> DataFrame:
+def with_fingerprint(rows: DataFrame, tables: tuple[Column, Column], text: str, name: str, slot_bits: int) -> DataFrame:
     """Add the struct ``name``: ``banded`` for the lexicon terms and ``every`` for all terms, each with its level and signatures at two levels, and ``whole`` for texts without terms."""
     slots = 2**slot_bits
 
@@ -101,7 +102,12 @@ def with_fingerprint(rows: DataFrame, table: Column, text: str, name: str, slot_
             F.when(F.size(terms) == 0, F.substring(F.sha2(F.col(text), 256), 1, 32)).alias("whole"),
         )
 
-    known = lambda terms: F.filter(terms, lambda t: F.get(table, F.pmod(t, F.lit(slots)).cast("int")) == _tag(t))
+    def known(terms):
+        def holds(t, k):
+            return F.get(tables[k], F.pmod(t, F.lit(slots)).cast("int")) == _tags(t)[k]
+
+        return F.filter(terms, lambda t: holds(t, 0) & holds(t, 1))
+
     return rows.withColumn(name, let(term_hashes(F.col(text)), lambda terms: let(known(terms), lambda few: made(terms, few))))
 
 
@@ -159,21 +165,21 @@ def with_next(rows: DataFrame, carried: list[str], *, slot_rows: int = 4096, max
     return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("_end = 0").drop("_key", "_slot", "_end")
 
 
-def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slot_bits: int | None = None, **band) -> tuple[DataFrame, Column, int]:
-    """Per row: id, ``text``, ``fp`` and, for the document after it, ``next_text`` and ``next_fp``; the lexicon's table and its slot bits."""
+def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slot_bits: int | None = None, **band) -> tuple[DataFrame, tuple[Column, Column], int]:
+    """Per row: id, ``text``, ``fp`` and, for the document after it, ``next_text`` and ``next_fp``; the lexicon's tables and their slot bits."""
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), F.coalesce(col(docs, text_col), F.lit("")).alias("text"))
-    tags = lexicon_table(docs, text_col=text_col, slot_bits=slot_bits, **band).first()["tags"]
-    table, bits = array_literal(tags), len(tags).bit_length() - 1
-    return with_next(with_fingerprint(rows, table, "text", "fp", bits), ["text", "fp"]), table, bits
+    found = lexicon_table(docs, text_col=text_col, slot_bits=slot_bits, **band).first()
+    tables, bits = (array_literal(found["tags"]), array_literal(found["more"])), len(found["tags"]).bit_length() - 1
+    return with_next(with_fingerprint(rows, tables, "text", "fp", bits), ["text", "fp"]), tables, bits
 
 
 def compare_fingerprints(docs: DataFrame, **options) -> DataFrame:
     """Per row: the fingerprint of the text, of its edited text, and their likeness; likeness to the next."""
-    rows, table, bits = fingerprint_documents(docs, **options)
+    rows, tables, bits = fingerprint_documents(docs, **options)
     n = F.char_length("text")
     k = F.floor(n / 4).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k)))
-    rows = with_fingerprint(rows.drop("next_text"), table, "edited", "edited_fp", bits)
+    rows = with_fingerprint(rows.drop("next_text"), tables, "edited", "edited_fp", bits)
     return rows.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("edited_fp")).alias("edited_fingerprint"),
