@@ -126,7 +126,7 @@ def ratio_model(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id",
 
 
 def apply_quality_rules(
-    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", slot_bytes: int = 256, max_slot_bits: int = 19, threshold: float = -0.15, smoothing: float = 0.5,
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", slot_bytes: int = 256, max_slot_bits: int = 17, threshold: float = -0.15, smoothing: float = 0.5,
 ) -> DataFrame:
     """Per row: id, base counts, ``base_failed``, ``score`` (mean log ratio) and ``kept``."""
     marks = staged(labels.groupBy(col(labels, id_col).alias("doc_id")).agg(F.min(col(labels, label_col)).alias("mark")).where("mark = 1 AND doc_id IS NOT NULL").select("doc_id"), "quality-trusted")
