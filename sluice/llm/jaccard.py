@@ -273,10 +273,11 @@ def jaccard_components(
     still = staged(open_postings(comp).select("s", "node", "n", "reach", "comp"), "jaccard-open")
     other = still.select(F.col("s").alias("s2"), F.col("node").alias("b"), F.col("n").alias("n2"), F.col("reach").alias("reach2"), F.col("comp").alias("comp2"))
     fitting = (F.col("s") == F.col("s2")) & (F.col("comp") < F.col("comp2")) & (F.col("n") <= F.col("reach2")) & (F.col("n2") <= F.col("reach"))
-    pairs = still.join(other, fitting).select(F.col("node").alias("a"), "b").distinct()
-    rest = pairs.select(F.concat("a", "b").alias("cluster"), F.explode(F.array("a", "b")).alias("p_node"))
-    rest = sets.join(rest, F.col("node") == F.col("p_node")).select("cluster", "node", "n", "shared")
-    comp = rejoin(comp, _linked(rest, percent, groups))
+    pairs = staged(still.join(other, fitting).select(F.col("node").alias("a"), "b").distinct(), "jaccard-pairs")
+    if not pairs.isEmpty():  # else the sets need not be dealt once more
+        rest = pairs.select(F.concat("a", "b").alias("cluster"), F.explode(F.array("a", "b")).alias("p_node"))
+        rest = sets.join(rest, F.col("node") == F.col("p_node")).select("cluster", "node", "n", "shared")
+        comp = rejoin(comp, _linked(rest, percent, groups))
 
     member = measured.where("node IS NOT NULL").select("doc_id", "node").join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node")).select("comp", "node", "doc_id")
     smallest = member.groupBy("comp").agg(F.min("doc_id").alias("least"))
