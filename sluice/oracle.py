@@ -300,8 +300,12 @@ FROM n, (VALUES
 
 
 def _aggregation_sql() -> str:
-    stats = ", ".join(f"count({m}) AS count_{m}, sum({m})::{t} AS sum_{m}, min({m}) AS min_{m}, max({m}) AS max_{m}, avg({m}) AS avg_{m}" for m, t in (("value", "DOUBLE"), ("user_id", "BIGINT")))
-    return f"WITH {EVENTS_NULLS} SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS row_count, {stats} FROM events_nulls GROUP BY 1, 2"
+    stats = ", ".join(
+        f"count({m}) AS count_{m}, sum({m})::{t} AS sum_{m}, min({m})::{t} AS min_{m}, max({m})::{t} AS max_{m}, sum({m})::DOUBLE / nullif(count({m}), 0) AS avg_{m}"
+        for m, t in (("value", "DOUBLE"), ("user_id", "BIGINT"))
+    )
+    exact = "exact AS (SELECT * REPLACE (CAST(value AS DECIMAL(12,2)) AS value) FROM events_nulls)"
+    return f"WITH {EVENTS_NULLS}, {exact} SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS row_count, {stats} FROM exact GROUP BY 1, 2"
 
 
 def oracle_sql() -> dict[str, str]:

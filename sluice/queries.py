@@ -419,7 +419,13 @@ def q_migration_changes(spark, sf):
 
 
 AGGREGATE_KEYS = ("day", "event_type")
-AGGREGATE_STEPS = ({"op": "derive_columns", "exprs": {"day": "CAST(ts AS DATE)"}},)
+# decimals: sums do not depend on the order of the rows
+AGGREGATE_STEPS = ({"op": "derive_columns", "exprs": {"day": "CAST(ts AS DATE)", "value": "CAST(value AS DECIMAL(12,2))"}},)
+
+
+def _plain_numbers(df: DataFrame) -> DataFrame:
+    """The decimals of an aggregate table as doubles."""
+    return df.withColumns({c: F.col(c).cast("double") for c in ("sum_value", "min_value", "max_value")})
 
 
 def q_aggregation_flow(spark, sf):
@@ -427,7 +433,7 @@ def q_aggregation_flow(spark, sf):
     source, target = scratch_path(spark, "aggregation_source"), scratch_path(spark, "aggregation_target")
     write_table(events_nulls(spark, sf), source, mode="error")
     run_aggregation(spark, AggregationSpec(source_path=source, target_path=target, keys=AGGREGATE_KEYS, measures=("value", "user_id"), partition_cols=("day",), steps=AGGREGATE_STEPS))
-    return read_table(spark, target)
+    return _plain_numbers(read_table(spark, target))
 
 
 def q_aggregation_add(spark, sf):
@@ -442,7 +448,7 @@ def q_aggregation_add(spark, sf):
         run_aggregation(spark, AggregationSpec(
             source_path=paths[name], target_path=target, keys=AGGREGATE_KEYS, measures=("value", "user_id"), partition_cols=("day",), mode="add", batch_id=name, steps=AGGREGATE_STEPS,
         ))
-    return read_table(spark, target)
+    return _plain_numbers(read_table(spark, target))
 
 
 # ---------------------------------------------------------------- queries: source options
