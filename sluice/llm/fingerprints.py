@@ -18,8 +18,8 @@ or without a common kind.
 
 The band bounds the lexicon: a document has some D distinct terms on average, so at most D / ``low`` terms
 reach the lower end. It is held in two tables of at least four slots per term (a power of two, ``2**max_slot_bits`` at most), each with
-a tag of the slot's term, which reach the tasks as constants (Spark holds their numbers as objects, shared only below 128). Of two
-terms in one slot, the one with the higher frequency is in the lexicon; another term passes for a lexicon term by chance once
+a tag of the slot's term, a byte each, which reach the tasks as the result of a subquery: never as literals, whose text
+would stand in every description of the plan. Of two terms in one slot, the one with the higher frequency is in the lexicon; another term passes for a lexicon term by chance once
 in 65,025 look-ups of taken slots. All is DataFrame expressions; nothing runs in Python.
 
 Defined cases: a null text is an empty text; a text without a word has a hash of the whole
@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import array_literal, col, let, staged, words_of
+from .common import col, let, staged, words_of
 
 SUBSETS = 32
 #: Under so many lexicon terms, or under this share of all distinct terms, all terms are signed.
@@ -54,7 +54,7 @@ def lexicon_table(docs: DataFrame, *, text_col: str = "text", low: float = 0.000
     won = kept.groupBy(slot).agg(F.max(F.struct("df", "term"))["term"].alias("term"))
     cells = docs.sparkSession.range(slots).withColumnRenamed("id", "slot").join(won, "slot", "left")
     one, two = (F.coalesce(tag, F.lit(EMPTY)) for tag in _tags(F.col("term")))
-    return cells.agg(F.sort_array(F.collect_list(F.struct("slot", one.alias("one"), two.alias("two")))).alias("cells")).select(F.col("cells.one").alias("tags"), F.col("cells.two").alias("more"))
+    return cells.agg(F.sort_array(F.collect_list(F.struct("slot", one.alias("one"), two.alias("two")))).alias("cells")).select(F.col("cells.one").cast("array<tinyint>").alias("tags"), F.col("cells.two").cast("array<tinyint>").alias("more"))
 
 
 def _tags(term: Column) -> list[Column]:
@@ -82,7 +82,7 @@ def _signatures(terms: Column, groups: Column) -> Column:
     return let(near, lambda few: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda r: of_subset(few, r)))
 
 
-def with_fingerprint(rows: DataFrame, tables: tuple[Column, Column], text: str, name: str, slot_bits: int) -> DataFrame:
+def with_fingerprint(rows: DataFrame, tables: Column, text: str, name: str, slot_bits: int) -> DataFrame:
     """Add the struct ``name``: ``banded`` for the lexicon terms and ``every`` for all terms, each with its level and signatures at two levels, and ``whole`` for texts without terms."""
     slots = 2**slot_bits
 
@@ -102,13 +102,17 @@ def with_fingerprint(rows: DataFrame, tables: tuple[Column, Column], text: str,
             F.when(F.size(terms) == 0, F.substring(F.sha2(F.col(text), 256), 1, 32)).alias("whole"),
         )
 
-    def known(terms):
-        def holds(t, k):
-            return F.get(tables[k], F.pmod(t, F.lit(slots)).cast("int")) == _tags(t)[k]
+    def known(x):
+        def holds(t, table, tag):
+            return F.get(table, F.pmod(t, F.lit(slots)).cast("int")) == tag
 
-        return F.filter(terms, lambda t: holds(t, 0) & holds(t, 1))
+        return F.filter(x["terms"], lambda t: holds(t, x["tables"]["tags"], _tags(t)[0]) & holds(t, x["tables"]["more"], _tags(t)[1]))
 
-    return rows.withColumn(name, let(term_hashes(F.col(text)), lambda terms: let(known(terms), lambda few: made(terms, few))))
+    # As it is written, a subquery may not stand in a function that takes lambdas. It is a column used once, beside plain columns only
+    # (the explode ends what is computed before), so the optimizer moves it there and no row holds the tables.
+    rows = rows.withColumn(text, F.explode(F.array(text)))
+    both = F.struct(term_hashes(F.col(text)).alias("terms"), F.col("_tables").alias("tables"))
+    return rows.withColumn("_tables", tables).withColumn(name, let(both, lambda x: let(known(x), lambda few: made(x["terms"], few)))).drop("_tables")
 
 
 def as_text(f: Column) -> Column:
@@ -165,11 +169,12 @@ def with_next(rows: DataFrame, carried: list[str], *, slot_rows: int = 4096, max
     return dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried}).where("_end = 0").drop("_key", "_slot", "_end")
 
 
-def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slot_bits: int | None = None, **band) -> tuple[DataFrame, tuple[Column, Column], int]:
-    """Per row: id, ``text``, ``fp`` and, for the document after it, ``next_text`` and ``next_fp``; the lexicon's tables and their slot bits."""
+def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", slot_bits: int | None = None, **band) -> tuple[DataFrame, Column, int]:
+    """Per row: id, ``text``, ``fp`` and, for the document after it, ``next_text`` and ``next_fp``; the lexicon's tables (a subquery) and their slot bits."""
     rows = docs.select(col(docs, id_col).cast("long").alias("doc_id"), F.coalesce(col(docs, text_col), F.lit("")).alias("text"))
-    found = lexicon_table(docs, text_col=text_col, slot_bits=slot_bits, **band).first()
-    tables, bits = (array_literal(found["tags"]), array_literal(found["more"])), len(found["tags"]).bit_length() - 1
+    found = staged(lexicon_table(docs, text_col=text_col, slot_bits=slot_bits, **band), "fingerprint-tables")
+    bits = found.select(F.size("tags").alias("n")).first()["n"].bit_length() - 1
+    tables = found.select(F.struct("tags", "more").alias("tables")).scalar()
     return with_next(with_fingerprint(rows, tables, "text", "fp", bits), ["text", "fp"]), tables, bits
 
 

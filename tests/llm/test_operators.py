@@ -236,6 +236,13 @@ def test_fingerprints_of_a_large_group_of_near_copies_and_of_copies(spark):
     assert tables[0] == tables[1] and any(t != EMPTY for t in tables[0])
 
 
+def test_the_lexicon_is_no_literal_of_the_plan(spark):
+    some = spark.createDataFrame([(i, " ".join(f"t{(i + j) % 60}" for j in range(12))) for i in range(60)], "doc_id bigint, text string")
+    plans = [compare_fingerprints(some, low=0.1, high=0.3, slot_bits=bits)._jdf.queryExecution() for bits in (8, 14)]
+    assert abs(len(plans[1].toString()) - len(plans[0].toString())) < 2000
+    assert "_tables" not in plans[0].executedPlan().toString()  # nor a column of the rows
+
+
 def test_one_document_follows_itself(spark):
     one = spark.createDataFrame([(3, "abcdefgh")], "doc_id bigint, text string")
     r = compare_fingerprints(one).first()
