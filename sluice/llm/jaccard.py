@@ -289,12 +289,31 @@ def jaccard_components(
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, one of each component: the smallest id, then the smallest text hash; rows without a shingle all stay."""
+    """The rows of ``docs``, one of each component: the smallest id, then the smallest text hash; rows without a shingle all stay.
+
+    Only rows whose id may be among those that go or come twice are shuffled with their texts; the others stay where they are."""
     found = staged(jaccard_components(docs, id_col=id_col, text_col=text_col, **options).where("class_key IS NOT NULL").select("doc_id", "text_md5", "class_key"), "jaccard-classes")
     stays = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("w")).select(F.col("class_key").alias("w_key"), F.col("w.doc_id").alias("w_id"), F.col("w.text_md5").alias("w_md5"))
     goes = found.join(stays, F.col("class_key") == F.col("w_key")).where(~(F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_md5") == F.col("w_md5")))).select(F.col("doc_id").alias("g_id"), F.col("text_md5").alias("g_md5")).distinct()
     twice = found.groupBy(F.col("doc_id").alias("g_id"), F.col("text_md5").alias("g_md5")).count().where("count > 1").drop("count")
-    return _once(without(docs, goes, id_col, text_col), staged(twice, "jaccard-repeats"), id_col, text_col)
+    goes, twice = staged(goes, "jaccard-goes"), staged(twice, "jaccard-repeats")
+    stay, rest = parted(docs, goes.select("g_id").unionByName(twice.select("g_id")), id_col)
+    return stay.unionByName(_once(without(rest, goes, id_col, text_col), twice, id_col, text_col))
+
+
+def parted(docs: DataFrame, ids: DataFrame, id_col: str, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id is surely not among ``ids`` (g_id), and the rest, which holds all that are.
+
+    A bitmap of the ids' hashes is broadcast, ``2**bits`` bits at most; more ids only make the rest larger."""
+    def at(c):
+        return F.pmod(F.xxhash64(c), F.lit(2**bits))
+
+    words = ids.select(at(F.col("g_id")).alias("at")).groupBy(F.shiftright("at", 6).alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("_mask"))
+    words = F.broadcast(staged(words, "jaccard-bitmap"))
+    own = at(col(docs, id_col).cast("long"))
+    marked = docs.join(words, F.shiftright(own, 6) == words["_word"], "left")
+    hit = F.coalesce(F.getbit(words["_mask"], F.pmod(own, F.lit(64)).cast("int")), F.lit(0)) == 1
+    return tuple(marked.where(w).select(*[col(docs, c) for c in docs.columns]) for w in (~hit, hit))
 
 
 def without(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str, how: str = "left_anti") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import packing, quality_gbt, suffixes
 from sluice.llm.fingerprints import EMPTY, compare_fingerprints, lexicon_table
-from sluice.llm.jaccard import cluster_links, drop_near_duplicates, jaccard_components
+from sluice.llm.jaccard import cluster_links, drop_near_duplicates, jaccard_components, parted
 from sluice.llm.langid import Classifier, identify_languages, train_dictionaries
 from sluice.llm.mixing import apply_mix, mix_sources
 from sluice.llm.quality_rules import apply_quality_rules, base_counts, slot_bits_for
@@ -112,6 +112,25 @@ def test_jaccard_components(docs, rows, nothing):
     assert all(any(s == a or _reach(s, a, linked) for a in sets) for s in linked)
 
 
+def test_only_rows_that_may_go_are_shuffled_with_their_texts(spark, docs):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = drop_near_duplicates(docs, **SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert "Union" in plan and "Exchange hashpartitioning" not in plan.split("Union")[1].split("Filter")[0]
+        ids = spark.createDataFrame([(24,), (25,), (None,)], "g_id long")
+        every = sorted(docs.select("doc_id", "text").collect(), key=repr)
+        for bits in (24, 6, 2):  # few bits: more rows in the rest, none lost
+            stay, rest = parted(docs, ids, "doc_id", bits)
+            assert "Exchange hashpartitioning" not in stay._jdf.queryExecution().executedPlan().toString()
+            held = [rest.select("doc_id", "text").collect(), stay.select("doc_id", "text").collect()]
+            assert sorted(held[0] + held[1], key=repr) == every
+            assert {24, 25, None} <= {r["doc_id"] for r in held[0]} and not {24, 25, None} & {r["doc_id"] for r in held[1]}
+        assert parted(docs, ids.where("false"), "doc_id")[1].isEmpty()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def _reach(a, b, every):
     seen, front = {a}, [a]
     while front:
