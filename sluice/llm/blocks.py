@@ -27,7 +27,7 @@ NO_ID = 2**63 - 1
 ROWS = "block int, kind int, bucket long, ids binary, lens binary, body binary"
 ROWS_ARROW = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int64()), ("ids", pa.binary()), ("lens", pa.binary()), ("body", pa.binary())])
 #: Kinds of rows.
-TEXT, KEYS, ANSWER, LATER = 0, 1, 2, 3
+TEXT, KEYS, ANSWER, LATER, STATE = 0, 1, 2, 3, 4
 
 
 class Layout:
@@ -180,10 +180,13 @@ def per_block(rows: DataFrame, work, schema: str = ROWS, arrow_schema: pa.Schema
 
 
 def per_bucket(rows: DataFrame, work, schema: str = ROWS, arrow_schema: pa.Schema = ROWS_ARROW) -> DataFrame:
-    """``work(bucket, blocks, bodies)`` for each bucket, in the order of the blocks, yields rows."""
+    """``work(bucket, blocks, bodies)`` for each bucket, in the order of the blocks, yields rows. Rows of kind STATE, which
+    have a bucket under 0, are handed on unchanged: what a block keeps for its next pass."""
 
     def run(table: pa.Table) -> pa.Table:
         pa.set_memory_pool(pa.system_memory_pool())
+        if table.column("bucket")[0].as_py() < 0:
+            return table.select(arrow_schema.names).cast(arrow_schema)
         parts = sorted(((r["block"], r["body"]) for r in table.select(["block", "body"]).to_pylist()), key=lambda p: p[0])
         bucket = table.column("bucket")[0].as_py()
         del table
@@ -192,7 +195,7 @@ def per_bucket(rows: DataFrame, work, schema: str = ROWS, arrow_schema: pa.Schem
         trim()
         return done
 
-    return rows.where(F.col("kind") == KEYS).groupBy("bucket").applyInArrow(run, schema)
+    return rows.where(F.col("kind").isin(KEYS, STATE)).groupBy("bucket").applyInArrow(run, schema)
 
 
 def encode_sorted(keys: np.ndarray) -> bytes:

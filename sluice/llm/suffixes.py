@@ -14,7 +14,8 @@ neither possible in one task nor needed, so the work is cut in three exchanges b
    no other context of the anchor has are the only copies.
 2. Only strings on a side that several contexts share stay open (the ends of shared passages). A block
    suffix-sorts its open strings per anchor and offset; equal neighbours form a class, and each class is sent once.
-3. Buckets find the first block of each class, and the blocks finish their documents.
+3. Buckets find the first block of each class, and the blocks finish their documents from the flags and open strings that
+   the second pass kept for them; nothing is sorted twice.
 
 A class is compared between blocks by a 64-bit hash with a 32-bit check; contexts by the anchor's hash and 48 bits more.
 
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import ANSWER, BASE, KEYS, LATER, NO_ID, UNBASE, Layout, bucket_slices, compress, decode_sorted, encode_sorted, joined, mix, per_block, per_bucket, powers
+from .blocks import ANSWER, BASE, KEYS, LATER, NO_ID, STATE, UNBASE, Layout, bucket_slices, compress, decode_sorted, encode_sorted, joined, mix, per_block, per_bucket, powers
 
 RESULT_COLUMNS = [("doc_id", pa.int64(), "long"), ("n_bytes", pa.int64(), "long"), ("n_removed", pa.int64(), "long"), ("n_spans", pa.int64(), "long"), ("kept_sha256", pa.string(), "string"), ("kept", pa.binary(), "binary")]
 RESULT = pa.schema([(n, t) for n, t, _ in RESULT_COLUMNS])
@@ -45,7 +46,7 @@ class Anchors:
     """Anchors of a block: hash ``key``, context hash ``ctx``, and the strings each stands for: starts
     ``first`` to ``first + count`` in the joined data."""
 
-    def __init__(self, data: bytes, starts: np.ndarray, length: int, seed: int, chunk: int = 1 << 18):
+    def __init__(self, data: bytes, starts: np.ndarray, length: int, seed: int, chunk: int = 1 << 16):
         buf = np.frombuffer(data, np.uint8)
         ends = np.append(starts[1:], len(buf)) - 1  # without the line feed
         reach, out = length - seed, []
@@ -185,6 +186,22 @@ def string_classes(data: bytes, place: np.ndarray, group: np.ndarray, length: in
 # ---------------------------------------------------------------- the operator
 
 
+def kept_state(repeated: np.ndarray, place: np.ndarray, cls: np.ndarray) -> bytes:
+    """What ``state_of`` reads back: flags of the string starts; places, ascending, with their classes."""
+    by = np.argsort(place)
+    places = encode_sorted(place[by].astype(np.uint64))
+    classes = np.ascontiguousarray(cls[by].astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    sizes = np.array([len(repeated), len(place), len(places)], np.int64)
+    return compress(sizes.tobytes() + places + classes.tobytes() + np.packbits(repeated).tobytes())
+
+
+def state_of(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    total, n, size = np.frombuffer(body, np.int64, 3).tolist()
+    place = decode_sorted(body[24 : 24 + size])[:n].astype(np.int64)
+    cls = np.ascontiguousarray(np.frombuffer(body, np.uint8, 4 * n, 24 + size).reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+    return np.unpackbits(np.frombuffer(body, np.uint8, offset=24 + size + 4 * n), count=total).astype(bool), place, cls
+
+
 def finished(ids, texts: list[bytes], repeated: np.ndarray, length: int, with_kept: bool):
     """Result rows; ``repeated`` flags the string starts of the joined texts."""
     at = 0
@@ -288,7 +305,9 @@ def remove_repeated_strings(
         return repeated, place, cls, own[of] > low[cls], hashes, checks
 
     def send_open(block, ids, texts, answers):
-        *_, hashes, checks = opened(ids, texts, answers(ANSWER))
+        repeated, place, cls, later, hashes, checks = opened(ids, texts, answers(ANSWER))
+        repeated[place[later]] = True
+        yield block, STATE, -1 - block, None, None, kept_state(repeated, place[~later], cls[~later])
         for b, s, e in bucket_slices(hashes, buckets):
             head = encode_sorted(hashes[s:e])
             yield block, KEYS, b, None, None, len(head).to_bytes(8, "little") + head + checks[s:e].tobytes()
@@ -311,13 +330,13 @@ def remove_repeated_strings(
             at += len(part)
 
     def finish(block, ids, texts, answers):
-        repeated, place, cls, later, _, _ = opened(ids, texts, answers(ANSWER))
+        repeated, place, cls = state_of(answers(STATE)[0])
         first = np.frombuffer(b"".join(answers(LATER)), bool)
-        repeated[place[later | ~first[cls]]] = True
+        repeated[place[~first[cls]]] = True
         yield from finished(ids, texts, repeated, length, with_kept)
 
-    # One plan: the texts are shuffled once and read three times, which recomputes the open strings but stores none of them.
+    # One plan: the texts are shuffled once and read three times; the open strings travel with the classes and come back with the answers.
     rows = layout.pack()
     codes = per_bucket(per_block(rows, send), compare)
     firsts = per_bucket(per_block(rows, send_open, answers=codes), earliest)
-    return layout.expanded(per_block(rows, finish, RESULT_SPARK, RESULT, codes.unionByName(firsts), with_times=True))
+    return layout.expanded(per_block(rows, finish, RESULT_SPARK, RESULT, firsts, with_times=True))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from sluice.llm import packing, quality_gbt, suffixes
@@ -35,6 +36,21 @@ def test_repeated_strings(docs, rows, nothing):
     assert suffixes.remove_repeated_strings(nothing).count() == 0
 
 
+def test_open_strings_are_kept_for_the_last_pass_and_sorted_once(docs, monkeypatch):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 900):
+        flags, place, cls = rng.random(5 * n + 1) < 0.3, rng.permutation(5 * n + 1)[:n], rng.integers(0, 70_000, n)
+        a, b, c = suffixes.state_of(zstandard.ZstdDecompressor().decompress(suffixes.kept_state(flags, place, cls)))
+        by = np.argsort(place)
+        assert a.tolist() == flags.tolist() and b.tolist() == place[by].tolist() and c.tolist() == cls[by].tolist()
+    passes = []
+    real = suffixes.per_block
+    monkeypatch.setattr(suffixes, "per_block", lambda rows, work, *more, **named: passes.append(work) or real(rows, work, *more, **named))
+    suffixes.remove_repeated_strings(docs, **SMALL)
+    sorting = [w.__name__ for w in passes if "opened" in w.__code__.co_freevars]
+    assert len(passes) == 3 and sorting == ["send_open"]
+
+
 def test_suffix_sort_is_a_sort_and_survives_hash_collisions(monkeypatch):
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, (400, 12)).astype(np.uint8)
