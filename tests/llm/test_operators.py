@@ -274,7 +274,8 @@ def test_fingerprints_of_a_large_group_of_near_copies_and_of_copies(spark):
 def test_the_lexicon_is_no_literal_of_the_plan(spark):
     some = spark.createDataFrame([(i, " ".join(f"t{(i + j) % 60}" for j in range(12))) for i in range(60)], "doc_id bigint, text string")
     plans = [compare_fingerprints(some, low=0.1, high=0.3, slot_bits=bits)._jdf.queryExecution() for bits in (8, 14)]
-    assert abs(len(plans[1].toString()) - len(plans[0].toString())) < 2000
+    sizes = [len(re.sub(r"\d+", "", p.toString())) for p in plans]  # without numbers: columns and lambda variables are counted on
+    assert abs(sizes[1] - sizes[0]) < 2000
     assert "_tables" not in plans[0].executedPlan().toString()  # nor a column of the rows
 
 
