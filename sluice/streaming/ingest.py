@@ -164,7 +164,8 @@ def start_stream_files(
     The file sink's ``_spark_metadata`` log makes the output exactly-once: a batch redone
     after a failure replaces, not duplicates, its files for readers that go through Spark.
     After a stateful step AQE does not run, so a rebalance would send a partition value to one task:
-    ``spread_by`` (columns, such as the dedupe keys) deals it to up to ``spread`` tasks and files instead.
+    ``spread_by`` (columns, such as the dedupe keys) deals it to up to ``spread`` tasks and files instead, and the
+    query starts with ``state_partitions``.
     """
     parts = as_list(partition_cols)
     require_columns(df, parts, "partition column")
@@ -182,7 +183,29 @@ def start_stream_files(
         writer = writer.trigger(availableNow=True)
     elif processing_time:
         writer = writer.trigger(processingTime=processing_time)
-    return writer.start()
+    spark, key = df.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    bound = state_partitions(spark) if spread_by else int(before)
+    if bound >= int(before):
+        return writer.start()
+    spark.conf.set(key, str(bound))  # a query keeps the number it starts with, or that of its checkpoint
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(key, before)
+
+
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions of a stateful query: the session's shuffle partitions, but no more than the cores.
+
+    A batch commits one store, and so some small files, per partition, whatever it holds: partitions beyond the cores
+    cost each batch time and give no more parallelism, and a store streams its rows, so that larger partitions need
+    no more memory in all. With dynamic allocation the cores at the start say little: the session's number stays.
+    """
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return wanted
+    return min(wanted, max(1, spark.sparkContext.defaultParallelism))
 
 
 def write_stream_files(

@@ -119,3 +119,49 @@ def test_continuous_ingest_query_runs_until_stopped(spark, scratch):
         q.stop()
     assert stream_result(q, spec.target_path, spec.checkpoint).input_rows == 300
     assert spark.read.schema(df.schema.add("day", T.StringType())).parquet(spec.target_path).count() == 300
+
+
+@pytest.mark.parametrize("keeps_times", [True, False])
+def test_files_arrive_in_time_order(spark, scratch, monkeypatch, keeps_times):
+    from sluice.streaming import fixtures
+
+    if not keeps_times:  # as on an object store
+        monkeypatch.setattr(fixtures, "_keeps_times", lambda *a: False)
+    df, jobs = events(spark, 600), []
+    for files in (3, 12):
+        src = scratch("in")
+        spark.sparkContext.setJobGroup(src, "arrivals")
+        try:
+            assert write_time_ordered_files(df.repartition(5), src, scratch("stage"), "ts", files=files) == files
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(src)))
+        back = spark.read.schema(df.schema).parquet(src)
+        at = F.col("_metadata.file_modification_time").alias("at")
+        ranges = back.groupBy("_metadata.file_path", at).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy("at").collect()
+        assert len(ranges) == files
+        for earlier, later in zip(ranges, ranges[1:]):
+            assert earlier["at"] < later["at"] and earlier["hi"] < later["lo"]
+        assert back.count() == 600 and back.exceptAll(df).count() == 0
+    if keeps_times:
+        assert jobs[0] == jobs[1]  # one write, not one copy after another
+
+
+def test_dedupe_keeps_no_more_state_partitions_than_cores(spark, scratch):
+    import pathlib
+
+    df = events(spark, 300)
+    cores = spark.sparkContext.defaultParallelism
+    src, ckpt = scratch("in"), scratch("ckpt")
+    write_time_ordered_files(df.unionByName(df), src, scratch("stage"), "ts", files=3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(3 * cores))
+    try:
+        spec = StreamSpec(target_path=scratch("out"), checkpoint=ckpt, ts_col="ts", grain="day", dedupe_keys=("id",), dedupe_delay="1 hour")
+        run_stream_ingest(read_file_stream(spark, src, df.schema, max_files_per_trigger=1), spec)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(3 * cores)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    stores = [p for p in (pathlib.Path(ckpt.removeprefix("file:")) / "state" / "0").iterdir() if p.name.isdigit()]
+    assert len(stores) == cores
+    assert spark.read.schema(df.schema.add("day", T.StringType())).parquet(spec.target_path).count() == 300
