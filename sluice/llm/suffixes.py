@@ -85,7 +85,8 @@ class Anchors:
             left = side(a - half, a - half >= starts[own] - lo)
             right = side(a + seed, a + seed + half <= ends[own] - lo)
             ctx = (left << np.uint64(36)) | (right << np.uint64(24)) | (ctx >> np.uint64(40))
-            out.append((h[a], ctx, first + lo, np.diff(np.append(new, len(valid))), own, a + lo))
+            # mixed: an anchor's hash is a minimum, and keys as small as minima would crowd into the first buckets
+            out.append((mix(h[a]), ctx, first + lo, np.diff(np.append(new, len(valid))), own, a + lo))
         cols = list(zip(*out, strict=True)) if out else [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], *[[np.zeros(0, np.int64)]] * 4]
         self.key, self.ctx, self.first, self.count, self.doc, self.at = (np.concatenate(c) for c in cols)
 

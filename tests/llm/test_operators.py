@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import functions as F
 
 from sluice.llm import packing, quality_gbt, suffixes
+from sluice.llm.blocks import bucket_slices
+from sluice.llm.blocks import joined as joined_bytes
 from sluice.llm.fingerprints import EMPTY, compare_fingerprints, lexicon_table
 from sluice.llm.jaccard import cluster_links, drop_near_duplicates, jaccard_components, parted
 from sluice.llm.langid import Classifier, identify_languages, train_dictionaries
@@ -51,6 +53,13 @@ def test_open_strings_are_kept_for_the_last_pass_and_sorted_once(docs, monkeypat
     assert len(passes) == 3 and sorting == ["send_open"]
 
 
+def test_anchors_are_dealt_evenly_to_the_buckets():
+    text = np.random.default_rng(5).integers(97, 123, 200_000).astype(np.uint8).tobytes()
+    key, _, _ = suffixes.Anchors(*joined_bytes([text]), 50, 20).entries(64 - 42)
+    sizes = [e - s for _, s, e in bucket_slices(key, 64, 42)]
+    assert sum(sizes) == len(key) > 64 * 100 and max(sizes) < 2 * len(key) / 64
+
+
 def test_suffix_sort_is_a_sort_and_survives_hash_collisions(monkeypatch):
     rng = np.random.default_rng(3)
     data = rng.integers(97, 99, (400, 12)).astype(np.uint8)
