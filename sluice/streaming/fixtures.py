@@ -49,8 +49,9 @@ def _file_system(spark, path: str):
 
 
 def _keeps_times(spark, path: str, staging: str) -> bool:
-    """Whether a file's modification time can be set where ``path`` is: tried on an empty file beside the staged ones."""
-    if _file_system(spark, path)[1].getUri().toString() != _file_system(spark, staging)[1].getUri().toString():
+    """Whether a file's modification time can be set where ``path`` is, a new folder: tried on an empty file beside the staged ones."""
+    folder, there = _file_system(spark, path)
+    if there.getUri().toString() != _file_system(spark, staging)[1].getUri().toString() or there.exists(folder):  # files there keep their place before the new ones
         return False
     probe, fs = _file_system(spark, f"{staging}-times")
     fs.create(probe).close()

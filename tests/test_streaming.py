@@ -145,6 +145,11 @@ def test_files_arrive_in_time_order(spark, scratch, monkeypatch, keeps_times):
         assert back.count() == 600 and back.exceptAll(df).count() == 0
     if keeps_times:
         assert jobs[0] == jobs[1]  # one write, not one copy after another
+    later = df.withColumn("ts", F.col("ts") + F.expr("INTERVAL 1 YEAR"))
+    assert write_time_ordered_files(later, src, scratch("stage"), "ts", files=2) == 2  # arrive after those there
+    back = spark.read.schema(df.schema).parquet(src).select("ts", F.col("_metadata.file_modification_time").alias("at"))
+    first, second = (back.where(w).agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first() for w in ("ts < '2025-01-01'", "ts >= '2025-01-01'"))
+    assert back.count() == 1200 and first["hi"] <= second["lo"]
 
 
 def test_dedupe_keeps_no_more_state_partitions_than_cores(spark, scratch):
